@@ -4,20 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import calendar as cal
-from ..functions.frames import sanitize_names
 from ..functions.labels import room_name_of_spot
 from ..schemas import LOCATION_COLUMNS, NO_META
 from ..scale.skew import lookup_join
 
 
+# Location columns that stay text.
+TEXT_COLUMNS = {"spot_name", "spot_description", "site_name", "room_name", "room_floor_name"}
+
+
+def _leaves(schema: StructType, path: str = "") -> list[str]:
+    """Paths of all fields below nested structs."""
+    out = []
+    for field in schema.fields:
+        inner = f"{path}.{field.name}" if path else field.name
+        out += _leaves(field.dataType, inner) if isinstance(field.dataType, StructType) \
+            else [inner]
+    return out
+
+
 def flatten_locations(objects: DataFrame) -> DataFrame:
-    """Nested ``location_visit`` of the catalogue to one flat row per object and visit."""
-    visit = objects.select(F.col("id").cast("long").alias("refers_to_object_id"),
-                           "location_visit.*")
-    flat = sanitize_names(visit.withColumnsRenamed({"id": "location_id"}))
-    return flat.withColumn("visit_raw", F.col("visit_time").cast("long")) \
+    """Nested ``location_visit`` of the catalogue to one flat row per object and visit: nested
+    names joined by underscores, numbers as numbers, visit time and date from epoch seconds."""
+    columns = [F.col("id").cast("long").alias("refers_to_object_id")]
+    for path in _leaves(objects.schema["location_visit"].dataType):
+        name = path.replace(".", "_")
+        column = F.col(f"location_visit.{path}")
+        if name not in TEXT_COLUMNS:
+            column = column.cast("long")
+        columns.append(column.alias("location_id" if name == "id" else name))
+    return objects.filter(F.col("location_visit").isNotNull()).select(*columns) \
+        .withColumn("visit_raw", F.col("visit_time")) \
         .withColumns({"visit_time": cal.utc_time(F.col("visit_raw")),
                       "visit_date": cal.utc_date(F.col("visit_raw"))})
 
@@ -25,7 +45,8 @@ def flatten_locations(objects: DataFrame) -> DataFrame:
 def dedupe_locations(locations: DataFrame) -> DataFrame:
     """One row per (object, visit date, room, spot): the earliest visit, then the lowest
     location id."""
-    keys = ["refers_to_object_id", "visit_date", "room_id", "spot_id"]
+    room = "spot_room_id" if "spot_room_id" in locations.columns else "room_id"
+    keys = ["refers_to_object_id", "visit_date", room, "spot_id"]
     rest = [c for c in locations.columns if c not in keys]
     first = ["visit_raw", "location_id"]
     row = F.struct(*first, *[c for c in rest if c not in first])
@@ -33,6 +54,10 @@ def dedupe_locations(locations: DataFrame) -> DataFrame:
         .select(*[F.col(c) if c in keys else F.col(f"row.{c}") for c in locations.columns])
 
 
+def locations_flat(objects: DataFrame) -> DataFrame:
+    return dedupe_locations(flatten_locations(objects))
+
+
 def repeated_objects(locations: DataFrame) -> DataFrame:
     """Objects with more than one location row."""
     return locations.groupBy("refers_to_object_id").agg(F.count(F.lit(1)).alias("n")) \

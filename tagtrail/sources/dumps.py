@@ -67,10 +67,9 @@ def site_types(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exhibition_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One document (``_id``, ``objects``) per exhibition; exhibitions without objects drop out.
-    Each page names its exhibition in ``exhibition_id``."""
+    """Documents (``_id``, ``objects``) of exhibitions that list objects. A page names its
+    exhibition in ``exhibition_id``; an exhibition of several pages has a document for each, so
+    a large one is never gathered in one row."""
     pages = spark.read.option("multiLine", True).json(folder)
-    listed = pages.filter(F.size("objects") > 0)
-    # A page holds a few hundred records; the pages of one exhibition are put together.
-    return listed.groupBy(F.col("exhibition_id").cast("string").alias("_id")) \
-        .agg(F.flatten(F.collect_list("objects")).alias("objects"))
+    return pages.filter(F.size("objects") > 0) \
+        .select(F.col("exhibition_id").cast("string").alias("_id"), "objects")
