@@ -21,15 +21,16 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, max_iter: int = 50,
     round changes nothing, as later rounds would not either."""
     ids = cut(vertices.select("id"))
     along = Adjacency(both_ways(edges), rows_per_split)
-    state = ids.withColumn("label", F.col("id"))
+    state = ids.selectExpr("id", "id AS label")
+    # A vote of each vertex for itself with no weight: what a vertex without neighbours keeps.
+    own = ids.selectExpr("id", "id AS label", "0L AS n")
     for i in range(1, max_iter + 1):
-        votes = along.send(state, "label").groupBy("dst", "label") \
-            .agg(F.count(F.lit(1)).alias("n"))
-        chosen = votes.groupBy(F.col("dst").alias("id")) \
-            .agg(F.max(F.struct("n", (-F.col("label")).alias("low"))).alias("best")) \
-            .select("id", (-F.col("best.low")).alias("chosen"))
-        following = ids.join(chosen, "id", "left") \
-            .select("id", F.coalesce("chosen", "id").alias("label"))
+        votes = along.send(state, "label", "label").groupBy("dst", "label") \
+            .agg(F.expr("count(1) AS n"))
+        # The most votes, then the smallest label.
+        following = votes.union(own).groupBy("dst") \
+            .agg(F.expr("max(struct(n, -label AS low)) AS best")) \
+            .selectExpr("dst AS id", "-best.low AS label")
         if i % CUT_EVERY == 0 or i == max_iter:
             before = state.select("id", F.col("label").alias("before"))
             both = cut(following.join(before, "id"))

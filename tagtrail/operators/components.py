@@ -16,24 +16,24 @@ def _spread_min(state: DataFrame, along: Adjacency, rows_per_split: int,
     """Repeat ``value = min(own, values of in-neighbours)`` until nothing changes. With
     ``jump`` each vertex also takes the value of the vertex its value names, so that the number
     of rounds grows with the logarithm of the distance (only for undirected edges)."""
-    state = cut(state)
+    state = cut(state.select("id", "value"))
+    total = state.count() if jump else None
     while True:
-        got = along.send(state, "value").select(F.col("dst").alias("id"), "value")
-        own = state.select("id", "value", F.col("value").alias("before"))
-        best = own.unionByName(got.withColumn("before", F.lit(None).cast("long"))) \
-            .groupBy("id").agg(F.min("value").alias("value"), F.max("before").alias("before")) \
-            .filter(F.col("before").isNotNull())
-        following = cut(best)
-        changed = not following.filter("value <> before").isEmpty()
-        state = following.select("id", "value")
-        if not changed:
-            return state
+        got = along.send(state, "value").selectExpr("dst AS id", "value",
+                                                    "CAST(NULL AS BIGINT) AS before")
+        best = state.selectExpr("id", "value", "value AS before").union(got).groupBy("id") \
+            .agg(F.expr("min(value) AS value"), F.expr("max(before) AS before")) \
+            .filter("before IS NOT NULL")
         if jump:
             # Very many vertices may name the same one: split join.
-            named = state.select(F.col("id").alias("value"), F.col("value").alias("next"))
-            state = cut(lookup_join(state, named, ["value"], ["id"], how="left",
-                                    rows_per_split=rows_per_split)
-                        .select("id", F.coalesce("next", "value").alias("value")))
+            named = state.selectExpr("id AS value", "value AS next")
+            best = lookup_join(best, named, ["value"], ["id"], counted_on=state, total=total,
+                               rows_per_split=rows_per_split) \
+                .selectExpr("id", "least(value, next) AS value", "before")
+        both = cut(best)
+        state = both.select("id", "value")
+        if both.filter("value <> before").isEmpty():
+            return state
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame,

@@ -40,10 +40,11 @@ def graph_edges(edges: DataFrame, vertices: DataFrame,
                 rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
     """The edges whose two ends have metadata."""
     edges = cut(edges)
+    total = edges.count()
     valid = vertices.filter("meta_store = 1").select("id")
     for end, other in (("src", "dst"), ("dst", "src")):
         edges = lookup_join(edges, valid.withColumnRenamed("id", end), [end], [other],
-                            how="left_semi", rows_per_split=rows_per_split)
+                            how="left_semi", rows_per_split=rows_per_split, total=total)
     return edges.select("src", "dst")
 
 
@@ -87,8 +88,9 @@ class Adjacency:
     """Edges kept for repeated passes that send a value along each edge.
 
     They are laid out once by source; sources with very many edges are split, and ``send``
-    copies the value of such a source to each of its splits. A pass then shuffles one row per
-    vertex to the edges and pre-aggregated messages back.
+    copies the value of such a source to each of its splits. Vertex values that come out of a
+    group-by on the vertex id already lie where the edges of that vertex do, so a pass shuffles
+    nothing but its pre-aggregated messages.
     """
 
     def __init__(self, edges: DataFrame, rows_per_split: int = skew.ROWS_PER_SPLIT):
@@ -97,14 +99,16 @@ class Adjacency:
         if self._hot is not None:
             edges = split_rows(edges, ["src"], self._hot, ["dst"])
             self._keys = ["src", skew.SPLIT]
-        self._edges = edges.repartition(*self._keys).persist()
+        # A given number of partitions is kept as it is, so later group-bys match it.
+        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self._edges = edges.repartition(parts, *self._keys).persist()
 
-    def send(self, state: DataFrame, *values: str) -> DataFrame:
-        """(dst, values of src) for each edge."""
-        state = state.select(F.col("id").alias("src"), *values)
+    def send(self, state: DataFrame, value: str, name: str = "value") -> DataFrame:
+        """(dst, value) for each edge; ``value`` is an SQL expression over the source's row."""
+        state = state.selectExpr("id AS src", f"{value} AS {name}")
         if self._hot is not None:
             state = copy_rows(state, ["src"], self._hot)
-        return self._edges.join(state, self._keys).select("dst", *values)
+        return self._edges.join(state, self._keys).select("dst", name)
 
     def release(self) -> None:
         self._edges.unpersist()

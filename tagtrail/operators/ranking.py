@@ -14,15 +14,31 @@ from .summaries import share, top_per_group
 CUT_EVERY = 5
 
 
-def _outgoing(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))
-
-
-def _largest_change(now: DataFrame, before: DataFrame) -> float:
-    """Largest rank difference; one number reaches the driver."""
+def _with_out_degree(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, out_degree); 0 for vertices without outgoing edges."""
+    rows = ids.select("id", F.lit(0).alias("n")) \
+        .unionByName(edges.select(F.col("src").alias("id"), F.lit(1).alias("n")))
+    return rows.groupBy("id").agg(F.sum("n").alias("out_degree"))
+
+
+def _round(along: Adjacency, state: DataFrame, empty: DataFrame, base: float,
+           damping: float) -> DataFrame:
+    """One round: ``base + damping * sum(rank / out_degree)``. ``empty`` holds a message of no
+    weight from each vertex to itself, so that those without incoming edges, and the
+    out-degrees, come along in the one group-by and no join is needed for them."""
+    sent = along.send(state.filter("out_degree > 0"), "pagerank / out_degree", "share")
+    return sent.selectExpr("dst AS id", "CAST(NULL AS BIGINT) AS out_degree", "share") \
+        .union(empty).groupBy("id") \
+        .agg(F.expr("max(out_degree) AS out_degree"),
+             F.expr(f"{base!r}D + {damping!r}D * sum(share) AS pagerank"))
+
+
+def _change(now: DataFrame, before: DataFrame) -> tuple[float, float]:
+    """Largest and total rank difference."""
     old = before.select("id", F.col("pagerank").alias("old"))
-    row = now.join(old, "id").agg(F.max(F.abs(F.col("pagerank") - F.col("old"))).alias("d"))
-    return row.first()["d"] or 0.0
+    moved = F.abs(F.col("pagerank") - F.col("old"))
+    row = now.join(old, "id").agg(F.max(moved).alias("most"), F.sum(moved).alias("all")).first()
+    return row["most"] or 0.0, row["all"] or 0.0
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, tol: float = 0.01,
@@ -30,24 +46,19 @@ def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, tol: fl
              rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
     """Vertices with ``pagerank = reset + (1 - reset) * sum(rank / out_degree)`` over incoming
     edges, started at 1. Runs ``iterations`` rounds, or until no rank moves by more than
-    ``tol``. Vertices without incoming edges end at ``reset``."""
-    fixed = vertices.select("id").join(_outgoing(edges), "id", "left")
-    fixed = cut(fixed)
+    ``tol``. Vertices without incoming edges end at ``reset``. The ends of ``edges`` must be
+    among the vertices."""
+    fixed = cut(_with_out_degree(vertices, edges))
+    empty = fixed.selectExpr("id", "out_degree", "0.0D AS share")
     along = Adjacency(edges, rows_per_split)
     state = fixed.withColumn("pagerank", F.lit(1.0))
     rounds = max_rounds if iterations is None else iterations
     for i in range(1, rounds + 1):
-        messages = along.send(
-            state.filter(F.col("out_degree").isNotNull())
-            .withColumn("share", F.col("pagerank") / F.col("out_degree")), "share")
-        received = messages.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
         previous = state
-        state = fixed.join(received, "id", "left").select(
-            "id", "out_degree",
-            (reset + (1 - reset) * F.coalesce("got", F.lit(0.0))).alias("pagerank"))
+        state = _round(along, state, empty, reset, 1 - reset)
         if iterations is None:
             state = cut(state)
-            if _largest_change(state, previous) <= tol:
+            if _change(state, previous)[0] <= tol:
                 break
         elif i % CUT_EVERY == 0 or i == rounds:
             state = cut(state)
@@ -60,32 +71,21 @@ def pagerank_normalized(edges: DataFrame, damping: float = 0.85, tol: float = 1e
                         rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
     """(id, pagerank) over the edge endpoints, summing to 1: rank of vertices without outgoing
     edges is spread evenly. Highest first."""
-    edges = edges.dropDuplicates(["src", "dst"])
-    fixed = cut(endpoints(edges).join(_outgoing(edges), "id", "left"))
+    edges = edges.select("src", "dst").dropDuplicates()
+    fixed = cut(_with_out_degree(endpoints(edges), edges))
     n = fixed.count()
     if n == 0:
         return fixed.select("id", F.lit(0.0).alias("pagerank"))
+    empty = fixed.selectExpr("id", "out_degree", "0.0D AS share")
     along = Adjacency(edges, rows_per_split)
     state = fixed.withColumn("pagerank", F.lit(1.0 / n))
-    rounds = max_rounds if iterations is None else iterations
-    for _ in range(rounds):
-        dangling = state.filter(F.col("out_degree").isNull()) \
-            .agg(F.sum("pagerank").alias("s")).first()["s"] or 0.0
-        messages = along.send(
-            state.filter(F.col("out_degree").isNotNull())
-            .withColumn("share", F.col("pagerank") / F.col("out_degree")), "share")
-        received = messages.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+    for _ in range(max_rounds if iterations is None else iterations):
+        loose = state.filter("out_degree = 0").agg(F.sum("pagerank").alias("s")).first()["s"]
         previous = state
-        base = (1 - damping) / n + damping * dangling / n
-        state = cut(fixed.join(received, "id", "left").select(
-            "id", "out_degree",
-            (base + damping * F.coalesce("got", F.lit(0.0))).alias("pagerank")))
-        if iterations is None:
-            old = previous.select("id", F.col("pagerank").alias("old"))
-            moved = state.join(old, "id") \
-                .agg(F.sum(F.abs(F.col("pagerank") - F.col("old"))).alias("d")).first()["d"]
-            if moved < n * tol:
-                break
+        state = cut(_round(along, state, empty,
+                           (1 - damping + damping * (loose or 0.0)) / n, damping))
+        if iterations is None and _change(state, previous)[1] < n * tol:
+            break
     along.release()
     return state.select("id", "pagerank").orderBy(F.desc("pagerank"), "id")
 

@@ -87,28 +87,32 @@ def cosine_similarity(objects: DataFrame, key: str, vector: str, n: int = 10,
     blocks = _block_count(objects, block_rows)
     dealt = _dealt(objects, key, vector, blocks)
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.select("id", "v", F.col("block").alias("i"), spread.alias("j"))
-    right = dealt.select("id", "v", spread.alias("i"), F.col("block").alias("j"))
+    left = dealt.select("id", "v", F.col("block").alias("i"), spread.alias("j"),
+                        F.lit(True).alias("asks"))
+    right = dealt.select("id", "v", spread.alias("i"), F.col("block").alias("j"),
+                         F.lit(False).alias("asks"))
 
     def unit(frame: pd.DataFrame) -> np.ndarray:
         m = np.vstack(frame["v"].to_numpy())
         length = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def compare(pair: pd.DataFrame) -> pd.DataFrame:
+        a, b = pair[pair["asks"]], pair[~pair["asks"]]
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "other": [], "similarity": []}) \
                 .astype({"id": "int64", "other": "int64"})
         b = b.sort_values("id")
         rows, others = a["id"].to_numpy(), b["id"].to_numpy()
-        sims = np.round(unit(a) @ unit(b).T, 9)
+        sims = unit(a) @ unit(b).T
         sims[rows[:, None] == others[None, :]] = -np.inf
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :n]
+        best = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :n]
         out = pd.DataFrame({"id": np.repeat(rows, best.shape[1]),
                             "other": others[best].ravel(),
                             "similarity": np.take_along_axis(sims, best, axis=1).ravel()})
         return out[np.isfinite(out["similarity"])]
 
-    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")) \
+    near = left.unionByName(right).groupBy("i", "j") \
         .applyInPandas(compare, "id long, other long, similarity double")
-    return top_per_group(near, "id", "other", "similarity", n)
+    near = near.withColumn("_order", F.round("similarity", 9))
+    return top_per_group(near, "id", "other", "_order", n).drop("_order")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..operators import exhibitions, journeys, locations, times
 from ..operators import graph
+from ..scale.durable import cut
 
 # 2024-01-01 as epoch seconds: visits are moved into the month of the tag log.
 VISIT_START = 1_704_067_200
@@ -23,9 +24,12 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     # --- raw model ---------------------------------------------------------------------------
 
@@ -177,7 +181,7 @@ class Views:
 
     @cached_property
     def vertices(self) -> DataFrame:
-        return graph.graph_vertices(self.tags, self.objects, self.departments)
+        return cut(graph.graph_vertices(self.tags, self.objects, self.departments))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -196,14 +200,16 @@ class Views:
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
         return lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+            # Line numbers repeat within an order; the part tells such lines apart.
+            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000
+             + F.col("l_partkey")).alias("id"),
             F.lit(0).alias("tool_id"), F.col("o_custkey").cast("string").alias("bundle_id"),
             F.col("l_partkey").alias("refers_to_object_id"),
             (day.cast("long") * 86400 + F.col("l_linenumber") * 60).alias("created"))
 
     @cached_property
     def basket_vertices(self) -> DataFrame:
-        return graph.graph_vertices(self.baskets, self.objects, self.departments)
+        return cut(graph.graph_vertices(self.baskets, self.objects, self.departments))
 
     @cached_property
     def basket_edges(self) -> DataFrame:

@@ -205,8 +205,8 @@ JOIN bursty b ON b.id = l.id""", "located", "bursty")
 def _bins(name: str, column: str, percents: list[float]) -> None:
     edges = ", ".join(f"quantile_cont(v, {p}) AS e{i}" for i, p in enumerate(percents, 1))
     _view(name, f"""
-SELECT {edges} FROM (SELECT DISTINCT {column} AS v FROM modelled
-                     QUALIFY row_number() OVER (ORDER BY {column}) > 1)""", "modelled")
+SELECT {edges} FROM (SELECT v FROM (SELECT DISTINCT {column} AS v FROM modelled)
+                     QUALIFY row_number() OVER (ORDER BY v) > 1)""", "modelled")
 
 
 _bins("room_edges", "room_count_objects", [0.7, 0.85, 0.9, 0.95])
@@ -270,7 +270,7 @@ WHERE src IN (SELECT id FROM vertices WHERE meta_store = 1)
 _view("blocked", "SELECT src, dst FROM edges WHERE src % 10 = dst % 10", "edges")
 
 _view("baskets", """
-SELECT l_orderkey * 10 + l_linenumber AS id, CAST(o_custkey AS VARCHAR) AS bundle_id,
+SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey AS id, CAST(o_custkey AS VARCHAR) AS bundle_id,
        l_partkey AS refers_to_object_id,
        date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 86400
          + l_linenumber * 60 AS created

@@ -24,6 +24,7 @@ PAGERANK_ROUNDS = 10
 LABEL_ROUNDS = 8
 DIMENSIONS = 64
 E_COLUMNS = [f"e{i}" for i in range(DIMENSIONS)]
+SAMPLE_ROWS = 10_000
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -77,15 +78,15 @@ def tag_snapshot(v: Views) -> DataFrame:
 
 
 def _object_pages(v: Views, per_page: int = 500) -> str:
-    """Catalogue dump: pages of records with the declared totals."""
+    """Catalogue dump: one JSON file per page of records, with the declared totals."""
     path = scratch_path(v.spark, "object-pages")
     total = v.objects.count()
     pages = -(-total // per_page)
     page = F.pmod(F.xxhash64("id"), F.lit(pages)).alias("page")
     listed = v.objects.groupBy(page).agg(F.collect_list(F.struct(*v.objects.columns))
                                          .alias("objects"))
-    files.write_json(listed.withColumns({"total": F.lit(total), "pages": F.lit(pages),
-                                         "stat": F.lit("ok")}), path)
+    listed.withColumns({"total": F.lit(total), "pages": F.lit(pages), "stat": F.lit("ok")}) \
+        .write.partitionBy("page").json(path)
     return path
 
 
@@ -569,7 +570,7 @@ def _ranked_sql(sql: str, *views: str) -> str:
 
 
 def _ranks(v: Views) -> DataFrame:
-    return ranking.pagerank(cut(v.vertices), v.edges, iterations=PAGERANK_ROUNDS)
+    return ranking.pagerank(v.vertices, v.edges, iterations=PAGERANK_ROUNDS)
 
 
 @query("pagerank", _ranked_sql("SELECT * REPLACE (round(pagerank, 6) AS pagerank) FROM ranks"))
@@ -581,7 +582,7 @@ def pagerank(v: Views) -> DataFrame:
     "vertices", "edges", sql=f"WITH {pagerank_views('vertices', 'edges', 60)}\n"
     "SELECT id, round(pagerank, 2) AS pagerank FROM ranks"))
 def pagerank_converged(v: Views) -> DataFrame:
-    found = ranking.pagerank(cut(v.vertices), v.edges, tol=1e-5)
+    found = ranking.pagerank(v.vertices, v.edges, tol=1e-5)
     return found.select("id", F.round("pagerank", 2).alias("pagerank"))
 
 
@@ -706,7 +707,7 @@ def _labelled_sql(sql: str, *views: str) -> str:
 
 
 def _communities(v: Views) -> DataFrame:
-    return communities.label_propagation(cut(v.vertices), v.blocked_edges,
+    return communities.label_propagation(v.vertices, v.blocked_edges,
                                          max_iter=LABEL_ROUNDS)
 
 
@@ -812,7 +813,7 @@ reach AS (SELECT id AS a, id AS b FROM vertices UNION
 SELECT v.id, v.title, v.type, v.department, c.component
 FROM vertices v JOIN (SELECT a, min(b) AS component FROM reach GROUP BY 1) c ON c.a = v.id"""))
 def connected_components(v: Views) -> DataFrame:
-    return components.connected_components(cut(v.vertices), v.blocked_edges) \
+    return components.connected_components(v.vertices, v.blocked_edges) \
         .select("id", "title", "type", "department", "component")
 
 
@@ -822,7 +823,7 @@ SELECT v.id, v.title, v.type, v.department, c.component
 FROM vertices v JOIN (SELECT x.a, min(x.b) AS component
   FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY 1) c ON c.a = v.id"""))
 def strongly_connected_components(v: Views) -> DataFrame:
-    return components.strongly_connected_components(cut(v.vertices), cut(v.blocked_edges)) \
+    return components.strongly_connected_components(v.vertices, cut(v.blocked_edges)) \
         .select("id", "title", "type", "department", "component")
 
 
@@ -856,7 +857,7 @@ BASKET_RANKS = pagerank_views("basket_vertices", "basket_edges", PAGERANK_ROUNDS
     "basket_vertices", "basket_edges",
     sql=f"WITH {BASKET_RANKS}\nSELECT id, type, round(pagerank, 6) AS pagerank FROM ranks"))
 def basket_pagerank(v: Views) -> DataFrame:
-    return ranking.pagerank(cut(v.basket_vertices), v.basket_edges, iterations=PAGERANK_ROUNDS) \
+    return ranking.pagerank(v.basket_vertices, v.basket_edges, iterations=PAGERANK_ROUNDS) \
         .select("id", "type", "pagerank")
 
 
@@ -867,7 +868,7 @@ BASKET_LABELS = propagation_views("basket_vertices", "basket_edges", LABEL_ROUND
     "basket_vertices", "basket_edges",
     sql=f"WITH {BASKET_LABELS}\nSELECT id, label FROM communities"))
 def basket_communities(v: Views) -> DataFrame:
-    return communities.label_propagation(cut(v.basket_vertices), v.basket_edges,
+    return communities.label_propagation(v.basket_vertices, v.basket_edges,
                                          max_iter=LABEL_ROUNDS).select("id", "label")
 
 
@@ -962,7 +963,6 @@ FROM e x JOIN e y ON x.vec_id < y.vec_id""")(
                 metric))
 
 
-SAMPLE_ROWS = 10_000
 _register_distances()
 
 

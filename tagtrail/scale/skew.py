@@ -26,11 +26,14 @@ SPLITS = "_splits"
 SPLIT = "_split"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str],
-             rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame | None:
-    """Keys worth splitting with their number of splits, or None when there are none."""
-    counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") > rows_per_split)
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_split: int = ROWS_PER_SPLIT,
+             total: int | None = None) -> DataFrame | None:
+    """Keys worth splitting with their number of splits, or None when there are none. ``total``
+    is the number of rows, where it is known: a table that fits one split needs no count."""
+    if total is not None and total <= rows_per_split:
+        return None
+    counts = (df.groupBy(*keys).agg(F.expr("count(1) AS n"))
+              .filter(f"n > {rows_per_split}")
               .orderBy(F.desc("n"), *keys).limit(MAX_HOT))
     rows = counts.collect()  # at most MAX_HOT rows
     if not rows:
@@ -69,13 +72,13 @@ def copy_rows(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
 
 def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
                 how: str = "left", counted_on: DataFrame | None = None,
-                rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+                rows_per_split: int = ROWS_PER_SPLIT, total: int | None = None) -> DataFrame:
     """Join ``big`` to ``lookup`` (at most one row per key) on ``keys``.
 
     ``counted_on`` may name a cheaper table with the same key frequencies, when ``big`` is the
-    result of earlier joins."""
+    result of earlier joins; ``total`` the number of its rows."""
     keys = list(keys)
-    hot = hot_keys(big if counted_on is None else counted_on, keys, rows_per_split)
+    hot = hot_keys(big if counted_on is None else counted_on, keys, rows_per_split, total)
     if hot is None:
         return big.join(lookup, keys, how)
     return (split_rows(big, keys, hot, spread_by)

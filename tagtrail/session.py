@@ -11,6 +11,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Recording the call site of every column expression costs a round trip each.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.ui.enabled": "false",
 }
 
