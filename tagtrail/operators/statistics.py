@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .summaries import top_per_group
@@ -24,6 +24,13 @@ def scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(out)
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation over the rows where both are known; null when either is constant there."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, F.col(x)))
+                        * F.stddev_pop(F.when(both, F.col(y))))
+
+
 def vector_columns(df: DataFrame, column: str, size: int, prefix: str = "e") -> DataFrame:
     """Array elements as columns ``e0 .. e<size-1>``."""
     return df.select("*", *[F.get(column, F.lit(i)).cast("double").alias(f"{prefix}{i}")
@@ -34,9 +41,8 @@ def target_correlation(df: DataFrame, target: str, columns: Sequence[str],
                        k: int = 10) -> DataFrame:
     """(feature, corr): the ``k`` features that correlate most with ``target``, itself
     included; undefined correlations come last. One pass over the rows."""
-    corr = df.agg(*[F.corr(c, target).alias(c) for c in columns])
+    corr = df.agg(*[pearson(c, target).alias(c) for c in columns])
     return corr.unpivot([], list(columns), "feature", "corr") \
-        .withColumn("corr", F.nanvl("corr", F.lit(None).cast("double"))) \
         .orderBy(F.desc_nulls_last(F.round("corr", 9)), "feature").limit(k)
 
 
@@ -45,11 +51,10 @@ def cluster_target_correlation(df: DataFrame, target: str, columns: Sequence[str
     """Per cluster its share of rows and the ``k`` features that correlate most with
     ``target`` inside it; clusters with more rows first."""
     stats = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("rows"),
-                                    *[F.corr(c, target).alias(c) for c in columns])
+                                    *[pearson(c, target).alias(c) for c in columns])
     total = F.sum("rows").over(Window.partitionBy())
     long = stats.withColumn("share", F.col("rows") / total) \
         .unpivot([cluster, "share"], list(columns), "feature", "corr") \
-        .withColumn("corr", F.nanvl("corr", F.lit(None).cast("double"))) \
         .withColumn("_order", F.coalesce(F.round("corr", 9), F.lit(-2.0)))
     return top_per_group(long, cluster, "feature", "_order", k).drop("_order") \
         .orderBy(F.desc("share"), cluster, F.desc_nulls_last("corr"), "feature")
