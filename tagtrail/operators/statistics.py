@@ -15,11 +15,12 @@ from .summaries import top_per_group
 def scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns centred and divided by their population standard deviation; constant columns
     become 0. One pass; two numbers per column reach the driver."""
-    stats = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)],
-                   *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(columns)]).first()
+    stats = {r["feature"]: (r["mean"], r["std"])
+             for r in _long(df, columns).groupBy("feature")
+             .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).collect()}
     out = {}
-    for i, c in enumerate(columns):
-        mean, std = stats[f"m_{i}"], stats[f"s_{i}"]
+    for c in columns:
+        mean, std = stats.get(c, (None, None))
         out[c] = (F.col(c) - F.lit(mean)) / F.lit(std) if std else F.lit(0.0)
     return df.withColumns(out)
 
@@ -37,12 +38,24 @@ def vector_columns(df: DataFrame, column: str, size: int, prefix: str = "e") ->
                             for i in range(size)])
 
 
+def _long(df: DataFrame, columns: Sequence[str], **kept: str) -> DataFrame:
+    """One row per row and feature: (kept columns, feature, x). Aggregates over it stay small
+    however many features there are, and are pre-aggregated to one row per group and task."""
+    values = {f"_{i}": F.col(c).cast("double") for i, c in enumerate(columns)}
+    ids = [F.col(c).alias(name) for name, c in kept.items()]
+    pairs = ", ".join(f"{i}, _{i}" for i in range(len(columns)))
+    names = F.array(*[F.lit(c) for c in columns])
+    narrow = df.select(*ids, *[v.alias(n) for n, v in values.items()])
+    return narrow.selectExpr(*kept, f"stack({len(columns)}, {pairs}) AS (place, x)") \
+        .withColumn("feature", F.get(names, F.col("place")))
+
+
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str],
                        k: int = 10) -> DataFrame:
     """(feature, corr): the ``k`` features that correlate most with ``target``, itself
     included; undefined correlations come last. One pass over the rows."""
-    corr = df.agg(*[pearson(c, target).alias(c) for c in columns])
-    return corr.unpivot([], list(columns), "feature", "corr") \
+    return _long(df, columns, t=target).groupBy("feature") \
+        .agg(pearson("x", "t").alias("corr")) \
         .orderBy(F.desc_nulls_last(F.round("corr", 9)), "feature").limit(k)
 
 
@@ -50,14 +63,15 @@ def cluster_target_correlation(df: DataFrame, target: str, columns: Sequence[str
                                cluster: str = "cluster", k: int = 10) -> DataFrame:
     """Per cluster its share of rows and the ``k`` features that correlate most with
     ``target`` inside it; clusters with more rows first."""
-    stats = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("rows"),
-                                    *[pearson(c, target).alias(c) for c in columns])
-    total = F.sum("rows").over(Window.partitionBy())
-    long = stats.withColumn("share", F.col("rows") / total) \
-        .unpivot([cluster, "share"], list(columns), "feature", "corr") \
-        .withColumn("_order", F.coalesce(F.round("corr", 9), F.lit(-2.0)))
-    return top_per_group(long, cluster, "feature", "_order", k).drop("_order") \
-        .orderBy(F.desc("share"), cluster, F.desc_nulls_last("corr"), "feature")
+    stats = _long(df, columns, cluster=cluster, t=target).groupBy("cluster", "feature") \
+        .agg(F.count(F.lit(1)).alias("rows"), pearson("x", "t").alias("corr"))
+    # Every feature has a row per cluster, so the total is that of any one feature.
+    total = F.sum("rows").over(Window.partitionBy("feature"))
+    ordered = stats.withColumns({"share": F.col("rows") / total,
+                                 "_order": F.coalesce(F.round("corr", 9), F.lit(-2.0))})
+    return top_per_group(ordered, "cluster", "feature", "_order", k) \
+        .select("cluster", "share", "feature", "corr") \
+        .orderBy(F.desc("share"), "cluster", F.desc_nulls_last("corr"), "feature")
 
 
 def cluster_feature_profile(df: DataFrame, columns: Sequence[str], cluster: str = "cluster",
@@ -65,11 +79,11 @@ def cluster_feature_profile(df: DataFrame, columns: Sequence[str], cluster: str
     """Per cluster the ``k`` features with the highest mean (of z-scores with ``scale``).
     Means whose whole part is 1 are left out: features every row of the cluster has."""
     source = scaled(df, columns) if scale else df
-    means = source.groupBy(cluster).agg(*[F.avg(c).cast("double").alias(c) for c in columns])
-    whole = F.col("mean").cast("long")
-    long = means.unpivot([cluster], list(columns), "feature", "mean") \
-        .filter(whole != 1).withColumn("_order", F.round("mean", 9))
-    return top_per_group(long, cluster, "feature", "_order", k).drop("_order")
+    means = _long(source, columns, cluster=cluster).groupBy("cluster", "feature") \
+        .agg(F.avg("x").alias("mean")) \
+        .filter(F.col("mean").cast("long") != 1) \
+        .withColumn("_order", F.round("mean", 9))
+    return top_per_group(means, "cluster", "feature", "_order", k).drop("_order")
 
 
 def cluster_variance(df: DataFrame, cluster: str = "cluster",

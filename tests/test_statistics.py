@@ -130,7 +130,8 @@ def test_scree(points):
 
 def test_kmeans_finds_the_groups(points):
     local, df = points
-    rows, centres = clustering.kmeans(clustering.from_array(df, "v"), 3, n_init=3)
+    vectors = clustering.from_array(df.drop("cluster"), "v")
+    rows, centres = clustering.kmeans(vectors, 3, n_init=3)
     found = rows.toPandas()
     assert found.groupby("cluster")["id"].count().tolist() == [30, 30, 30]
     for c in centres.collect():
@@ -139,7 +140,7 @@ def test_kmeans_finds_the_groups(points):
 
 
 def test_sweep_and_bisecting(points):
-    vectors = clustering.from_array(points[1], "v")
+    vectors = clustering.from_array(points[1].drop("cluster"), "v")
     got = clustering.kmeans_sweep(vectors, [2, 3, 6], n_init=2).collect()
     assert [r["k"] for r in got] == [2, 3, 6]
     assert max(got, key=lambda r: r["silhouette_sq"])["k"] == 3
