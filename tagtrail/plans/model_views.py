@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..operators import exhibitions, journeys, locations, times
-from ..operators import graph
-from ..scale.durable import cut
+from ..operators import exhibitions, graph, journeys, locations, times
+from ..scale.durable import cut, scratch_path
+from ..sources.files import read_snapshot, write_snapshot
 
 # 2024-01-01 as epoch seconds: visits are moved into the month of the tag log.
 VISIT_START = 1_704_067_200
@@ -167,13 +167,20 @@ class Views:
     def located(self) -> DataFrame:
         return locations.nearest_location(self.featured, self.locations, base=self.tags)
 
+    @cached_property
+    def journey_keys(self) -> DataFrame:
+        return self.tags.select("bundle_id",
+                                cal.local_date(F.col("created")).alias("created_date_est"))
+
     @cached_property
     def modelled(self) -> DataFrame:
-        """Located tags with burst counts: the input of the feature matrix."""
-        dated = self.tags.select("bundle_id", cal.local_date(F.col("created"))
-                                 .alias("created_date_est"))
-        return journeys.bursty_tags(self.located, journeys.burst_anomalies(self.tags),
-                                    counted_on=dated)
+        """Located tags with burst counts: the input of the feature matrix, which reads it more
+        than once, so it is kept as a stage snapshot."""
+        built = journeys.bursty_tags(self.located, journeys.burst_anomalies(self.tags),
+                                     counted_on=self.journey_keys)
+        path = scratch_path(self.spark, "located-tags")
+        write_snapshot(built, path)
+        return read_snapshot(self.spark, path)
 
     @cached_property
     def loctypes(self) -> DataFrame:

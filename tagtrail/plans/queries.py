@@ -241,7 +241,8 @@ def burst_anomalies(v: Views) -> DataFrame:
 
 
 def _bursty(v: Views) -> DataFrame:
-    return journeys.bursty_tags(v.featured, journeys.burst_anomalies(v.tags))
+    return journeys.bursty_tags(v.timed, journeys.burst_anomalies(v.tags),
+                                counted_on=v.journey_keys)
 
 
 @query("bursty_tags", with_views("bursty", sql="""
@@ -387,7 +388,7 @@ burst_metrics AS (
 @query("burst_metrics", with_views("bursty", sql=f"WITH {BURST_SQL}\nSELECT * FROM burst_metrics"))
 def burst_metrics(v: Views) -> DataFrame:
     bursts = journeys.burst_anomalies(v.tags)
-    return summaries.burst_metrics(journeys.bursty_tags(v.timed, bursts), bursts)
+    return summaries.burst_metrics(_bursty(v), bursts)
 
 
 @query("displayed_metrics", with_views(
@@ -406,7 +407,7 @@ WHERE shown IS NOT NULL""").replace("AS shown, value", "AS metric, value").repla
 def displayed_metrics(v: Views) -> DataFrame:
     bursts = journeys.burst_anomalies(v.tags)
     found = summaries.tag_metrics(v.featured, v.objects).unionByName(
-        summaries.burst_metrics(journeys.bursty_tags(v.timed, bursts), bursts))
+        summaries.burst_metrics(_bursty(v), bursts))
     return summaries.displayed_metrics(found)
 
 
