@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import skew
 from ..scale.durable import cut
-from ..scale.skew import lookup_join
+from ..scale.skew import Limits, lookup_join
 from .graph import Adjacency, both_ways
 from .summaries import top_per_group
 
@@ -15,12 +14,12 @@ CUT_EVERY = 4
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, max_iter: int = 50,
-                      rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
+                      limits: Limits = Limits()) -> DataFrame:
     """Vertices with a community ``label``: each round every vertex takes the most frequent
     label of its neighbours (edges count both ways), ties to the smallest. Stops early once a
     round changes nothing, as later rounds would not either."""
     ids = cut(vertices.select("id"))
-    along = Adjacency(both_ways(edges), rows_per_split)
+    along = Adjacency(both_ways(edges), limits)
     state = ids.selectExpr("id", "id AS label")
     # A vote of each vertex for itself with no weight: what a vertex without neighbours keeps.
     own = ids.selectExpr("id", "id AS label", "0L AS n")
@@ -136,21 +135,22 @@ def cluster_type_correlation(clusters: DataFrame) -> DataFrame:
 
 
 def community_subgraph(edges: DataFrame, clusters: DataFrame, most: int = 15,
-                       rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
+                       limits: Limits = Limits()) -> DataFrame:
     """Edges with an end in the communities, of those sources that have at most ``most`` such
     edges."""
-    member = clusters.select("id", F.lit(True).alias("member"))
-    marked = edges.select("src", "dst").dropDuplicates()
+    member = cut(clusters.select("id", F.lit(True).alias("member")))
+    edges = cut(edges.select("src", "dst").dropDuplicates())
+    total, marked = edges.count(), edges
     for end, other in (("src", "dst"), ("dst", "src")):
         named = member.select(F.col("id").alias(end), F.col("member").alias(f"{end}_member"))
-        marked = lookup_join(marked, named, [end], [other], counted_on=edges,
-                             rows_per_split=rows_per_split)
+        marked = lookup_join(marked, named, [end], [other], counted_on=edges, limits=limits,
+                             total=total, kept=True)
     subset = marked.filter(F.col("src_member") | F.col("dst_member")).select("src", "dst")
     few = subset.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most)
     # A source kept here has at most ``most`` edges; the others are only dropped, which the
     # split keeps even.
     return lookup_join(subset, few.select("src"), ["src"], ["dst"], how="left_semi",
-                       counted_on=edges, rows_per_split=rows_per_split)
+                       counted_on=edges, limits=limits, total=total)
 
 
 def community_vertices(clusters: DataFrame) -> DataFrame:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import skew
 from ..scale.durable import cut
-from ..scale.skew import lookup_join
+from ..scale.skew import Limits, lookup_join
 from .graph import Adjacency, both_ways, reversed_edges
 
 
-def _spread_min(state: DataFrame, along: Adjacency, rows_per_split: int,
+def _spread_min(state: DataFrame, along: Adjacency, limits: Limits,
                 jump: bool = False) -> DataFrame:
     """Repeat ``value = min(own, values of in-neighbours)`` until nothing changes. With
     ``jump`` each vertex also takes the value of the vertex its value names, so that the number
@@ -28,7 +27,7 @@ def _spread_min(state: DataFrame, along: Adjacency, rows_per_split: int,
             # Very many vertices may name the same one: split join.
             named = state.selectExpr("id AS value", "value AS next")
             best = lookup_join(best, named, ["value"], ["id"], counted_on=state, total=total,
-                               rows_per_split=rows_per_split) \
+                               limits=limits, kept=True) \
                 .selectExpr("id", "least(value, next) AS value", "before")
         both = cut(best)
         state = both.select("id", "value")
@@ -37,18 +36,18 @@ def _spread_min(state: DataFrame, along: Adjacency, rows_per_split: int,
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame,
-                         rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
+                         limits: Limits = Limits()) -> DataFrame:
     """Vertices with ``component``, the smallest vertex id it is connected to."""
-    along = Adjacency(both_ways(edges).filter("src <> dst").dropDuplicates(), rows_per_split)
+    along = Adjacency(both_ways(edges).filter("src <> dst").dropDuplicates(), limits)
     state = vertices.select("id", F.col("id").alias("value"))
-    found = _spread_min(state, along, rows_per_split, jump=True)
+    found = _spread_min(state, along, limits, jump=True)
     along.release()
     return vertices.join(found.select("id", F.col("value").alias("component")), "id")
 
 
 def strongly_connected_components(vertices: DataFrame, edges: DataFrame,
                                   max_iter: int | None = None,
-                                  rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
+                                  limits: Limits = Limits()) -> DataFrame:
     """Vertices with ``component``, the smallest id of the vertices that reach it and that it
     reaches.
 
@@ -61,39 +60,38 @@ def strongly_connected_components(vertices: DataFrame, edges: DataFrame,
     rounds = 0
     while not open_.isEmpty() and (max_iter is None or rounds < max_iter):
         rounds += 1
-        forward = Adjacency(edges, rows_per_split)
+        forward = Adjacency(edges, limits)
         colour = _spread_min(open_.select("id", F.col("id").alias("value")), forward,
-                             rows_per_split).select("id", F.col("value").alias("colour"))
+                             limits).select("id", F.col("value").alias("colour"))
         forward.release()
-        inner = _within(edges, colour, rows_per_split)
-        backward = Adjacency(reversed_edges(inner), rows_per_split)
+        inner = _within(edges, colour, limits)
+        backward = Adjacency(reversed_edges(inner), limits)
         # 0 marks "reaches the vertex the colour is named after".
         start = colour.select("id", F.when(F.col("id") == F.col("colour"), F.lit(0))
                               .otherwise(F.lit(1)).cast("long").alias("value"))
-        reach = _spread_min(start, backward, rows_per_split)
+        reach = _spread_min(start, backward, limits)
         backward.release()
         marked = cut(colour.join(reach, "id"))
         parts.append(marked.filter("value = 0").select("id", F.col("colour").alias("component")))
         rest = marked.filter("value = 1")
         open_ = rest.select("id")
-        edges = cut(_within(inner, rest.select("id", "colour"), rows_per_split))
+        edges = cut(_within(inner, rest.select("id", "colour"), limits))
     found = open_.select("id", F.col("id").alias("component"))
     for part in parts:
         found = found.unionByName(part)
     return vertices.join(found, "id")
 
 
-def _within(edges: DataFrame, colour: DataFrame, rows_per_split: int) -> DataFrame:
-    """Edges whose ends have the same colour."""
+def _within(edges: DataFrame, colour: DataFrame, limits: Limits) -> DataFrame:
+    """Edges whose ends have the same colour. Reads ``colour`` from a lineage cut."""
     for end, other in (("src", "dst"), ("dst", "src")):
         named = colour.select(F.col("id").alias(end), F.col("colour").alias(f"{end}_colour"))
-        edges = lookup_join(edges, named, [end], [other], how="inner",
-                            rows_per_split=rows_per_split)
+        edges = lookup_join(edges, named, [end], [other], how="inner", limits=limits, kept=True)
     return edges.filter("src_colour = dst_colour").select("src", "dst")
 
 
 def triangle_count(vertices: DataFrame, edges: DataFrame,
-                   rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
+                   limits: Limits = Limits()) -> DataFrame:
     """Vertices with ``count``, the number of triangles through each, directions ignored.
 
     Edges are turned from the end with fewer neighbours to the one with more. Then no vertex
@@ -105,8 +103,7 @@ def triangle_count(vertices: DataFrame, edges: DataFrame,
                  .groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d")))
     for end, other in (("a", "b"), ("b", "a")):
         named = degree.select(F.col("id").alias(end), F.col("d").alias(f"d{end}"))
-        plain = lookup_join(plain, named, [end], [other], how="inner",
-                            rows_per_split=rows_per_split)
+        plain = lookup_join(plain, named, [end], [other], how="inner", limits=limits, kept=True)
     forward = F.struct("da", "a") < F.struct("db", "b")
     turned = cut(plain.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("low"),
                               F.when(forward, F.col("b")).otherwise(F.col("a")).alias("high")))
@@ -114,7 +111,7 @@ def triangle_count(vertices: DataFrame, edges: DataFrame,
     withlow = turned.join(lists, "low")
     high = lists.select(F.col("low").alias("high"), F.col("near").alias("far"))
     joined = lookup_join(withlow, high, ["high"], ["low"], how="inner", counted_on=turned,
-                         rows_per_split=rows_per_split)
+                         limits=limits)
     closed = joined.select("low", "high", F.array_intersect("near", "far").alias("third")) \
         .filter(F.size("third") > 0)
     n = F.size("third").cast("long")

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale.durable import cut
-from ..scale.skew import copy_rows, hot_keys, lookup_join, split_rows
-from ..scale import skew
+from ..scale.skew import SPLIT, Limits, copy_rows, hot_keys, lookup_join, split_rows
 from .journeys import transitions
 
 
@@ -18,7 +17,7 @@ def graph_vertices(tags: DataFrame, objects: DataFrame, departments: DataFrame)
         .select(F.col("refers_to_object_id").cast("long").alias("id")).distinct()
     names = departments.groupBy(F.col("id").alias("department_id")) \
         .agg(F.min("name").alias("department"))
-    entries = objects.join(names, "department_id", "left").select(
+    entries = lookup_join(objects, names, ["department_id"], ["id"]).select(
         F.col("id").cast("long").alias("id"), "title", "date", "department",
         F.when(F.col("department").isNotNull(), F.col("department_id")).alias("department_id"),
         "type", "type_id", F.col("is_loan_object").cast("string").alias("loan"))
@@ -37,14 +36,14 @@ def all_edges(tags: DataFrame) -> DataFrame:
 
 
 def graph_edges(edges: DataFrame, vertices: DataFrame,
-                rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
+                limits: Limits = Limits()) -> DataFrame:
     """The edges whose two ends have metadata."""
     edges = cut(edges)
     total = edges.count()
-    valid = vertices.filter("meta_store = 1").select("id")
+    valid = cut(vertices.filter("meta_store = 1").select("id"))
     for end, other in (("src", "dst"), ("dst", "src")):
         edges = lookup_join(edges, valid.withColumnRenamed("id", end), [end], [other],
-                            how="left_semi", rows_per_split=rows_per_split, total=total)
+                            how="left_semi", limits=limits, total=total, kept=True)
     return edges.select("src", "dst")
 
 
@@ -93,12 +92,12 @@ class Adjacency:
     nothing but its pre-aggregated messages.
     """
 
-    def __init__(self, edges: DataFrame, rows_per_split: int = skew.ROWS_PER_SPLIT):
-        self._hot = hot_keys(edges, ["src"], rows_per_split)
+    def __init__(self, edges: DataFrame, limits: Limits = Limits()):
+        self._hot = hot_keys(edges, ["src"], limits)
         self._keys = ["src"]
         if self._hot is not None:
             edges = split_rows(edges, ["src"], self._hot, ["dst"])
-            self._keys = ["src", skew.SPLIT]
+            self._keys = ["src", SPLIT]
         # A given number of partitions is kept as it is, so later group-bys match it.
         parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self._edges = edges.repartition(parts, *self._keys).persist()
@@ -130,10 +129,10 @@ def vertex_reindex(edges: DataFrame) -> DataFrame:
 
 
 def reindexed_edges(edges: DataFrame, index: DataFrame,
-                    rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
+                    limits: Limits = Limits()) -> DataFrame:
     """Edges between vertex numbers."""
+    index = cut(index)
     for end, other in (("src", "dst"), ("dst", "src")):
         named = index.select(F.col("id").alias(end), F.col("index").alias(f"{end}_index"))
-        edges = lookup_join(edges, named, [end], [other], how="inner",
-                            rows_per_split=rows_per_split)
+        edges = lookup_join(edges, named, [end], [other], how="inner", limits=limits, kept=True)
     return edges.select(F.col("src_index").alias("src"), F.col("dst_index").alias("dst"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..scale import skew
 from ..scale.durable import cut
+from ..scale.skew import Limits
 from .graph import Adjacency, endpoints
 from .summaries import share, top_per_group
 
@@ -43,14 +43,14 @@ def _change(now: DataFrame, before: DataFrame) -> tuple[float, float]:
 
 def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, tol: float = 0.01,
              iterations: int | None = None, max_rounds: int = 100,
-             rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
+             limits: Limits = Limits()) -> DataFrame:
     """Vertices with ``pagerank = reset + (1 - reset) * sum(rank / out_degree)`` over incoming
     edges, started at 1. Runs ``iterations`` rounds, or until no rank moves by more than
     ``tol``. Vertices without incoming edges end at ``reset``. The ends of ``edges`` must be
     among the vertices."""
     fixed = cut(_with_out_degree(vertices, edges))
     empty = fixed.selectExpr("id", "out_degree", "0.0D AS share")
-    along = Adjacency(edges, rows_per_split)
+    along = Adjacency(edges, limits)
     state = fixed.withColumn("pagerank", F.lit(1.0))
     rounds = max_rounds if iterations is None else iterations
     for i in range(1, rounds + 1):
@@ -68,7 +68,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, tol: fl
 
 def pagerank_normalized(edges: DataFrame, damping: float = 0.85, tol: float = 1e-6,
                         iterations: int | None = None, max_rounds: int = 100,
-                        rows_per_split: int = skew.ROWS_PER_SPLIT) -> DataFrame:
+                        limits: Limits = Limits()) -> DataFrame:
     """(id, pagerank) over the edge endpoints, summing to 1: rank of vertices without outgoing
     edges is spread evenly. Highest first."""
     edges = edges.select("src", "dst").dropDuplicates()
@@ -77,7 +77,7 @@ def pagerank_normalized(edges: DataFrame, damping: float = 0.85, tol: float = 1e
     if n == 0:
         return fixed.select("id", F.lit(0.0).alias("pagerank"))
     empty = fixed.selectExpr("id", "out_degree", "0.0D AS share")
-    along = Adjacency(edges, rows_per_split)
+    along = Adjacency(edges, limits)
     state = fixed.withColumn("pagerank", F.lit(1.0 / n))
     for _ in range(max_rounds if iterations is None else iterations):
         loose = state.filter("out_degree = 0").agg(F.sum("pagerank").alias("s")).first()["s"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..operators import exhibitions, graph, journeys, locations, times
 from ..scale.durable import cut, scratch_path
+from ..scale.skew import lookup_join
 from ..sources.files import read_snapshot, write_snapshot
 
 # 2024-01-01 as epoch seconds: visits are moved into the month of the tag log.
@@ -99,7 +100,9 @@ class Views:
                                   F.col("count_spots").alias("room_count_spots"))
         spots = self.spots.select(F.col("id").alias("spot_id"),
                                   F.col("count_objects").alias("spot_count_objects"))
-        return self.visits.join(rooms, "room_id").join(spots, "spot_id")
+        located = lookup_join(self.visits, rooms, ["room_id"], ["location_id"], "inner")
+        return lookup_join(located, spots, ["spot_id"], ["location_id"], "inner",
+                           counted_on=self.visits)
 
     @cached_property
     def dated_locations(self) -> DataFrame:

@@ -1,35 +1,49 @@
-"""Joins of a large table to a lookup with unique keys, safe for keys that hold a large
-share of all rows.
-
-A key outside the ``MAX_HOT`` most frequent ones holds at most ``1/MAX_HOT`` of the rows, so it
-never makes a task large against the whole. The frequent ones are found by a count on the key
-columns (pre-aggregated, so the count itself has no hot task); those over ``rows_per_split`` rows
-are split: their rows carry a split number spread by a hash, and their lookup row is copied once
-per split. Nothing is broadcast but the hot-key list, which has at most ``MAX_HOT`` rows. Whether
-the lookup side is broadcast is left to Spark, which checks its size.
+"""Joins of a large table to a lookup with unique keys, at any size of either.
+
+The lookup is materialised and measured first. If it is small it is broadcast, and the large table
+is not shuffled at all. Otherwise the join shuffles, and keys that hold a large share of all rows
+are split: a key outside the ``MAX_HOT`` most frequent ones holds at most ``1/MAX_HOT`` of the rows
+and never makes a task large against the whole; the frequent ones are found by a count on the key
+columns (pre-aggregated, so the count itself has no hot task). Rows of a key over
+``rows_per_split`` rows carry a split number spread by a hash, and its lookup row is copied once
+per split. The hot-key list has at most ``MAX_HOT`` rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from .durable import cut
+
 MAX_HOT = 1000
 MAX_SPLITS = 100_000
-ROWS_PER_SPLIT = 2_000_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Rows of one key that a task takes without a split, and the measured size up to which a
+    lookup is broadcast."""
+
+    rows_per_split: int = 2_000_000
+    broadcast_bytes: int = 64 * 2 ** 20
+
+
 
 SPLITS = "_splits"
 SPLIT = "_split"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_split: int = ROWS_PER_SPLIT,
+def hot_keys(df: DataFrame, keys: Sequence[str], limits: Limits = Limits(),
              total: int | None = None) -> DataFrame | None:
     """Keys worth splitting with their number of splits, or None when there are none. ``total``
     is the number of rows, where it is known: a table that fits one split needs no count."""
+    rows_per_split = limits.rows_per_split
     if total is not None and total <= rows_per_split:
         return None
     counts = (df.groupBy(*keys).agg(F.expr("count(1) AS n"))
@@ -70,15 +84,27 @@ def copy_rows(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
             .drop(SPLITS))
 
 
+def text_bytes(df: DataFrame) -> int:
+    """Size of all rows written out as text; for a lookup of flat columns a fair measure of
+    what a broadcast would hold."""
+    row = df.agg(F.sum(F.octet_length(F.struct(*df.columns).cast("string"))).alias("b")).first()
+    return row["b"] or 0
+
+
 def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
                 how: str = "left", counted_on: DataFrame | None = None,
-                rows_per_split: int = ROWS_PER_SPLIT, total: int | None = None) -> DataFrame:
+                limits: Limits = Limits(), total: int | None = None,
+                kept: bool = False) -> DataFrame:
     """Join ``big`` to ``lookup`` (at most one row per key) on ``keys``.
 
     ``counted_on`` may name a cheaper table with the same key frequencies, when ``big`` is the
-    result of earlier joins; ``total`` the number of its rows."""
+    result of earlier joins; ``total`` the number of its rows; ``kept`` says that ``lookup``
+    reads what a lineage cut has stored."""
     keys = list(keys)
-    hot = hot_keys(big if counted_on is None else counted_on, keys, rows_per_split, total)
+    lookup = lookup if kept else cut(lookup)
+    if text_bytes(lookup) <= limits.broadcast_bytes:
+        return big.join(F.broadcast(lookup), keys, how)
+    hot = hot_keys(big if counted_on is None else counted_on, keys, limits, total)
     if hot is None:
         return big.join(lookup, keys, how)
     return (split_rows(big, keys, hot, spread_by)

@@ -6,9 +6,11 @@ from collections import Counter, defaultdict
 import pytest
 
 from tagtrail.operators import communities, components, graph, ranking
+from tagtrail.scale.skew import Limits
 from tagtrail.schemas import EDGES
 
-SPLITS = [2_000_000, 2]
+# Everything broadcast; and nothing broadcast, every hub split.
+SPLITS = [Limits(), Limits(rows_per_split=2, broadcast_bytes=0)]
 
 
 def make(spark, pairs, ids=None):
@@ -73,7 +75,7 @@ def test_pagerank(spark, size):
     vertices, edges = make(spark, pairs, ids=[99])
     ids = [r["id"] for r in vertices.collect()]
     got = {r["id"]: r["pagerank"] for r in ranking.pagerank(
-        vertices, edges, iterations=7, rows_per_split=size).collect()}
+        vertices, edges, iterations=7, limits=size).collect()}
     assert got == pytest.approx(plain_pagerank(ids, pairs, 7))
     assert got[99] == pytest.approx(0.15)
 
@@ -161,7 +163,7 @@ def test_strongly_connected_components(spark, size):
     pairs = random_pairs(20, 30, 8) + [(50, 51), (51, 52), (52, 50), (52, 1)]
     vertices, edges = make(spark, pairs, ids=[70])
     got = {r["id"]: r["component"] for r in components.strongly_connected_components(
-        vertices, edges, rows_per_split=size).collect()}
+        vertices, edges, limits=size).collect()}
     ahead = {i: reach(pairs, i) for i in got}
     assert got == {i: min(j for j in ahead[i] if i in ahead[j]) for i in got}
 
@@ -195,7 +197,7 @@ def test_subgraph_drops_busy_sources(spark, rows, size):
     vertices, edges = make(spark, pairs)
     clusters = vertices.filter("id < 27").selectExpr("id", "department", "type", "loan",
                                                      "1L AS label")
-    got = rows(communities.community_subgraph(edges, clusters, rows_per_split=size))
+    got = rows(communities.community_subgraph(edges, clusters, limits=size))
     assert got == [(2, 10), (3, 40), (40, 2)]
 
 

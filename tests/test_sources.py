@@ -108,18 +108,20 @@ def test_lookup_join_equals_a_plain_join(spark, rows, how):
     lookup = spark.createDataFrame([(1, "one"), (2, "two"), (8, "eight"), (None, "null")],
                                    "k long, name string")
     plain = rows(big.join(lookup, ["k"], how))
-    split = skew.lookup_join(big, lookup, ["k"], ["id"], how=how, rows_per_split=10)
-    assert rows(split, *big.join(lookup, ["k"], how).columns) == plain
+    for limits in (skew.Limits(), skew.Limits(broadcast_bytes=0),
+                   skew.Limits(rows_per_split=10, broadcast_bytes=0)):
+        split = skew.lookup_join(big, lookup, ["k"], ["id"], how=how, limits=limits)
+        assert rows(split, *big.join(lookup, ["k"], how).columns) == plain
 
 
 def test_hot_key_is_spread_over_splits(spark):
     big = spark.range(10_000).select("id", F.lit(1).alias("k"))
-    hot = skew.hot_keys(big, ["k"], rows_per_split=1000)
+    hot = skew.hot_keys(big, ["k"], skew.Limits(rows_per_split=1000))
     assert [tuple(r) for r in hot.collect()] == [(1, 10)]
     sizes = [r["count"] for r in skew.split_rows(big, ["k"], hot, ["id"])
              .groupBy(skew.SPLIT).count().collect()]
     assert len(sizes) == 10 and max(sizes) < 1300
-    assert skew.hot_keys(big, ["k"], rows_per_split=10_000) is None
+    assert skew.hot_keys(big, ["k"], skew.Limits(rows_per_split=10_000)) is None
 
 
 def test_cut_uses_the_named_folder(spark):

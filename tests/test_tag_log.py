@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tagtrail.functions import binning, calendar as cal, labels
 from tagtrail.operators import exhibitions, journeys, summaries, times
+from tagtrail.scale.skew import Limits
 from tagtrail.schemas import TAGS
 
 EAST = ZoneInfo("US/Eastern")
+TIGHT = Limits(rows_per_split=1, broadcast_bytes=0)
 
 
 def at(text, zone=EAST):
@@ -141,7 +143,7 @@ def test_any_exhibition(spark):
 
 @pytest.mark.parametrize("mode", ["last", "any"])
 def test_split_keys_change_nothing(spark, mode):
-    assert during(spark, mode, rows_per_split=1) == during(spark, mode)
+    assert during(spark, mode, limits=TIGHT) == during(spark, mode)
 
 
 def test_objects_of_documents(spark, rows):
@@ -217,7 +219,7 @@ def test_tags_without_a_journey_get_the_marker(spark):
     frame = times.with_times(tags(spark, [(1, 0, "a", 1, NOON), (2, 1, "b", 0, NOON),
                                           (3, 1, "a", 0, NOON + 1200),
                                           (4, 0, "a", 2, NOON + 1300)]))
-    for split in ({}, {"rows_per_split": 1}):
+    for split in ({}, {"limits": TIGHT}):
         df = journeys.bursty_tags(frame, journeys.burst_anomalies(frame), **split)
         got = {r["id"]: (r["n_obs"], r["n_anomalies"], r["bursty"]) for r in df.collect()}
         assert got == {1: (2, 1, 1), 2: (-9999, -9999, 0), 3: (2, 1, 1), 4: (2, 1, 1)}
