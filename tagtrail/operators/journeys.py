@@ -52,8 +52,10 @@ def transitions(tags: DataFrame) -> DataFrame:
 
 
 def bucket_counts(tags: DataFrame, seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """Steps per journey and time bucket; empty buckets are absent."""
-    return journey_steps(tags) \
+    """Steps per journey and time bucket; empty buckets are absent. Journeys are brought
+    together before the count (they are bounded), so neither it nor a window per journey
+    after it shuffles again."""
+    return journey_steps(tags).repartition(*JOURNEY) \
         .groupBy(*JOURNEY, F.floor(F.col("created") / seconds).alias("bucket")) \
         .agg(F.count(F.lit(1)).alias("n"))
 

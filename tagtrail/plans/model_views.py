@@ -105,8 +105,8 @@ class Views:
                            counted_on=self.visits)
 
     @cached_property
-    def dated_locations(self) -> DataFrame:
-        return self.locations.withColumn("visit_date", cal.utc_date(F.col("visit_raw")))
+    def dated_visits(self) -> DataFrame:
+        return self.visits.withColumn("visit_date", cal.utc_date(F.col("visit_raw")))
 
     @cached_property
     def nested_objects(self) -> DataFrame:
@@ -187,7 +187,7 @@ class Views:
 
     @cached_property
     def loctypes(self) -> DataFrame:
-        return locations.object_loctypes(self.objects, self.dated_locations)
+        return locations.object_loctypes(self.objects, self.dated_visits)
 
     @cached_property
     def vertices(self) -> DataFrame:

@@ -303,7 +303,7 @@ SELECT t.refers_to_object_id, strftime(t.utc, '%Y-%m-%d') AS created_date,
        count(DISTINCT t.id) AS n_tags, count(DISTINCT l.location_id) AS n_locations
 FROM timed t JOIN locations l USING (refers_to_object_id) GROUP BY ALL"""))
 def tag_location_deltas(v: Views) -> DataFrame:
-    return locations.tag_location_deltas(v.tags, v.locations)
+    return locations.tag_location_deltas(v.tags, v.visits)
 
 
 # --- features --------------------------------------------------------------------------------------
@@ -457,14 +457,14 @@ def popular_floors(v: Views) -> DataFrame:
 SELECT room_name, count(*) AS location_rows FROM locations GROUP BY 1
 ORDER BY 2 DESC, 1 LIMIT 7"""))
 def popular_rooms(v: Views) -> DataFrame:
-    return summaries.popular_rooms(v.locations)
+    return summaries.popular_rooms(v.visits)
 
 
 @query("popular_spots", with_views("locations", sql="""
 SELECT spot_name, count(*) AS location_rows, trim(split_part(spot_name, ',', 3)) AS spot_label
 FROM locations GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7"""))
 def popular_spots(v: Views) -> DataFrame:
-    return summaries.popular_spots(v.locations)
+    return summaries.popular_spots(v.visits)
 
 
 @query("first_tag_items", with_views("starts", sql="""
@@ -479,7 +479,7 @@ FROM starts s JOIN objects o ON o.id = s.object_id
      JOIN locations l ON l.refers_to_object_id = s.object_id
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7"""))
 def first_tag_rooms(v: Views) -> DataFrame:
-    return summaries.first_tag_rooms(v.tags, v.objects, v.locations)
+    return summaries.first_tag_rooms(v.tags, v.objects, v.visits)
 
 
 @query("high_capacity_rooms", with_views("rooms", sql="""
