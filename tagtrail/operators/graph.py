@@ -86,21 +86,32 @@ def endpoints(edges: DataFrame) -> DataFrame:
 class Adjacency:
     """Edges kept for repeated passes that send a value along each edge.
 
-    They are laid out once by source; sources with very many edges are split, and ``send``
-    copies the value of such a source to each of its splits. Vertex values that come out of a
-    group-by on the vertex id already lie where the edges of that vertex do, so a pass shuffles
-    nothing but its pre-aggregated messages.
+    A large graph is laid out once by source; sources with very many edges are split, and
+    ``send`` copies the value of such a source to each of its splits. Vertex values that come
+    out of a group-by on the vertex id already lie where the edges of that vertex do, so a pass
+    shuffles nothing but its pre-aggregated messages. A graph that one task can hold stays as it
+    is.
     """
 
     def __init__(self, edges: DataFrame, limits: Limits = Limits()):
-        self._hot = hot_keys(edges, ["src"], limits)
+        self._hot = None
         self._keys = ["src"]
+        self._edges = edges.persist()
+        total = self._edges.count()
+        if total > limits.rows_per_split:
+            self._lay_out(limits, total)
+
+    def _lay_out(self, limits: Limits, total: int) -> None:
+        raw = laid = self._edges
+        self._hot = hot_keys(raw, ["src"], limits, total)
         if self._hot is not None:
-            edges = split_rows(edges, ["src"], self._hot, ["dst"])
+            laid = split_rows(raw, ["src"], self._hot, ["dst"])
             self._keys = ["src", SPLIT]
         # A given number of partitions is kept as it is, so later group-bys match it.
-        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self._edges = edges.repartition(parts, *self._keys).persist()
+        parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self._edges = laid.repartition(parts, *self._keys).persist()
+        self._edges.count()
+        raw.unpersist()
 
     def send(self, state: DataFrame, value: str, name: str = "value") -> DataFrame:
         """(dst, value) for each edge; ``value`` is an SQL expression over the source's row."""
