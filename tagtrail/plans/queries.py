@@ -958,7 +958,7 @@ def _register_distances() -> None:
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT x.vec_id AS a, y.vec_id AS b, round({expression}, 6) AS distance
 FROM e x JOIN e y ON x.vec_id < y.vec_id""")(
-            # The reference operator works on a sample; a table this small is its own sample.
+            # Distances are taken within a sample; a table this small is its own sample.
             lambda v, metric=metric: similarity.pairwise_distance(
                 similarity.sample_rows(v.embeddings, rows=SAMPLE_ROWS), "vec_id", "embedding",
                 metric))
