@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, secrets, toxicity
+from . import decontamination, language, mixing, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,6 +44,16 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
         "secrets.spans", "secrets.n_cut")
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the benchmark items it overlaps, and where."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.contaminated(documents, table(spark, folder, "benchmark"))
+    return (documents.select("doc_id").join(found, "doc_id", "left")
+            .select("doc_id", F.col("n_items").isNotNull().alias("contaminated"),
+                    F.coalesce("n_items", F.lit(0)).alias("n_items"), "items",
+                    F.to_json("spans").alias("spans")))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     held_out = id_remainder(5) == 0
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -53,11 +63,17 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
+    "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLES: dict[str, str] = {}
