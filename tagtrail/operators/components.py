@@ -5,44 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale.durable import cut
+from ..scale.durable import cut, stored
 from ..scale.skew import Limits, lookup_join
 from .graph import Adjacency, both_ways, reversed_edges
 
 
-def _spread_min(state: DataFrame, along: Adjacency, limits: Limits,
-                jump: bool = False) -> DataFrame:
-    """Repeat ``value = min(own, values of in-neighbours)`` until nothing changes. With
-    ``jump`` each vertex also takes the value of the vertex its value names, so that the number
-    of rounds grows with the logarithm of the distance (only for undirected edges)."""
-    state = cut(state.select("id", "value"))
-    total = state.count() if jump else None
+def _spread_min(state: DataFrame, along: Adjacency) -> DataFrame:
+    """Repeat ``value = min(own, values of in-neighbours)`` until nothing changes."""
+    state = stored(state.select("id", "value"), "state")
     while True:
         got = along.send(state, "value").selectExpr("dst AS id", "value",
                                                     "CAST(NULL AS BIGINT) AS before")
         best = state.selectExpr("id", "value", "value AS before").union(got).groupBy("id") \
             .agg(F.expr("min(value) AS value"), F.expr("max(before) AS before")) \
             .filter("before IS NOT NULL")
-        if jump:
-            # Very many vertices may name the same one: split join.
-            named = state.selectExpr("id AS value", "value AS next")
-            best = lookup_join(best, named, ["value"], ["id"], counted_on=state, total=total,
-                               limits=limits, kept=True) \
-                .selectExpr("id", "least(value, next) AS value", "before")
-        both = cut(best)
+        both = stored(best, "state")
         state = both.select("id", "value")
         if both.filter("value <> before").isEmpty():
             return state
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame,
-                         limits: Limits = Limits()) -> DataFrame:
-    """Vertices with ``component``, the smallest vertex id it is connected to."""
-    along = Adjacency(both_ways(edges).filter("src <> dst").dropDuplicates(), limits)
-    state = vertices.select("id", F.col("id").alias("value"))
-    found = _spread_min(state, along, limits, jump=True)
-    along.release()
-    return vertices.join(found.select("id", F.col("value").alias("component")), "id")
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(src, dst))")).first())
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Vertices with ``component``, the smallest vertex id it is connected to.
+
+    Alternating stars: every vertex first hands its larger neighbours on to the smallest vertex next
+    to it, then its smaller ones. The edges end as one star per component; the number of rounds
+    grows with the logarithm of the component's size, not with its diameter. A round works on
+    written tables, whose sizes the optimizer knows, and its joins are on a vertex with its one
+    smallest neighbour, so that a hub's edges can be split over tasks."""
+    links = stored(edges.where("src <> dst").selectExpr(
+        "greatest(src, dst) AS src", "least(src, dst) AS dst").distinct(), "links")
+    mark = _mark(links)
+    while True:
+        both = links.union(links.selectExpr("dst AS src", "src AS dst"))
+        least = both.groupBy("src").agg(F.min("dst").alias("m"))
+        large = stored(both.where("dst > src").join(least, "src").selectExpr(
+            "dst AS src", "least(src, m) AS dst").distinct(), "large_star")
+        least = large.groupBy("src").agg(F.min("dst").alias("m"))
+        small = large.join(least, "src")
+        links = stored(small.selectExpr("dst AS src", "m AS dst").where("src <> dst")
+                       .union(least.selectExpr("src", "m AS dst")).distinct(), "small_star")
+        before, mark = mark, _mark(links)
+        if mark == before:
+            break
+    return vertices.join(links.selectExpr("src AS id", "dst AS component"), "id", "left") \
+        .withColumn("component", F.coalesce("component", "id"))
 
 
 def strongly_connected_components(vertices: DataFrame, edges: DataFrame,
@@ -61,15 +72,15 @@ def strongly_connected_components(vertices: DataFrame, edges: DataFrame,
     while not open_.isEmpty() and (max_iter is None or rounds < max_iter):
         rounds += 1
         forward = Adjacency(edges, limits)
-        colour = _spread_min(open_.select("id", F.col("id").alias("value")), forward,
-                             limits).select("id", F.col("value").alias("colour"))
+        colour = _spread_min(open_.select("id", F.col("id").alias("value")), forward) \
+            .select("id", F.col("value").alias("colour"))
         forward.release()
         inner = _within(edges, colour, limits)
         backward = Adjacency(reversed_edges(inner), limits)
         # 0 marks "reaches the vertex the colour is named after".
         start = colour.select("id", F.when(F.col("id") == F.col("colour"), F.lit(0))
                               .otherwise(F.lit(1)).cast("long").alias("value"))
-        reach = _spread_min(start, backward, limits)
+        reach = _spread_min(start, backward)
         backward.release()
         marked = cut(colour.join(reach, "id"))
         parts.append(marked.filter("value = 0").select("id", F.col("colour").alias("component")))
