@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, quality, secrets, toxicity
+from . import (decontamination, jaccard_join, language, line_dedup, mixing, quality, secrets,
+               toxicity)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +68,19 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with what is left of it, as a digest, and the lines it lost."""
+    left = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"),
+                                  report=True)
+    return left.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("md5"),
+                       "copy_of", F.coalesce(F.size("lines_lost"), F.lit(0)).alias("n_lost"),
+                       F.array_join("lines_lost", ",").alias("lines_lost"))
+
+
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_classes(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_language": op3_language,
@@ -74,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
