@@ -227,5 +227,6 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without those that overlap the benchmark."""
-    bad = contaminated(documents, benchmark).select(F.col("doc_id").alias("_bad"))
+    bad = stored(find_overlaps(documents, benchmark).select(F.col("doc_id").alias("_bad"))
+                 .distinct(), "contaminated")
     return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")

@@ -235,7 +235,8 @@ def similar_classes(documents: DataFrame) -> DataFrame:
 
 
 def near_distinct(documents: DataFrame) -> DataFrame:
-    """``documents`` with one of each class: the one with the smallest id."""
-    kept = similar_classes(documents).where("doc_id = class_id").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    return documents.join(kept, (F.col("doc_id") == F.col("_kept")), "left_semi")
+    """``documents`` with one of each class: the one with the smallest id. Rows without an id
+    stay."""
+    gone = stored(similar_classes(documents).where("doc_id != class_id")
+                  .select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

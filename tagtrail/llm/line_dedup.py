@@ -196,10 +196,11 @@ def without_lines(text: str, lost: set[int]) -> str:
     return "\n".join(kept)
 
 
-def dedup_lines(documents: DataFrame, report: bool = False) -> DataFrame:
-    """``documents`` with aligned common blocks deleted from the later document; with ``report``
-    also ``lines_lost``, the positions of the deleted lines among those that aren't blank (null
-    where none are), and ``copy_of``, whether an earlier document has the same text."""
+def dedup_lines(documents: DataFrame, report: bool = False, keep_empty: bool = True) -> DataFrame:
+    """``documents`` with aligned common blocks deleted from the later document. Without
+    ``keep_empty``, documents of which nothing is left go, if they were not blank before. With
+    ``report`` also ``lines_lost``, the positions of the deleted lines among those that aren't blank
+    (null where none are), and ``copy_of``, whether an earlier document has the same text."""
     firsts, lost = deletions(documents)
     digest = F.struct(F.xxhash64("text"), F.xxhash64(F.lit("again"), F.col("text")))
     marked = documents.withColumn("_place", F.when(F.col("text") != "",
@@ -208,8 +209,11 @@ def dedup_lines(documents: DataFrame, report: bool = False) -> DataFrame:
         F.col("text_hash").alias("_hash"), F.col("place").alias("_first"), "lost")
     joined = marked.join(plan, F.col("_place.text") == F.col("_hash"), "left")
     copy = F.coalesce(F.col("_place") != F.col("_first"), F.lit(False))
-    out = joined.withColumn("_copy", copy).withColumn("text", F.when(copy, F.lit("")).when(
+    out = joined.withColumn("_copy", copy).withColumn("_old", F.col("text")).withColumn("text", F.when(copy, F.lit("")).when(
         F.col("lost").isNotNull(), _without("text", "lost")).otherwise(F.col("text")))
+    if not keep_empty:
+        out = out.withColumn("_blank", F.col("_old").rlike(r"^\s*$")) \
+            .where(F.coalesce(~F.col("text").rlike(r"^\s*$") | F.col("_blank"), F.lit(True)))
     names = [F.col(c) for c in documents.columns]
     if report:
         names += [F.col("lost").alias("lines_lost"), F.col("_copy").alias("copy_of")]

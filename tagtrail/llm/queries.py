@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, jaccard_join, language, line_dedup, mixing, quality, secrets,
-               toxicity, vector_search)
+from . import (decontamination, html_text, jaccard_join, language, line_dedup, mixing, quality,
+               secrets, toxicity, vector_search)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     held_out = id_remainder(3) == 1
     documents = table(spark, folder, "documents")
@@ -90,6 +95,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_html_text": op2_html_text,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op5_decontamination": op5_decontamination,

@@ -1,16 +1,24 @@
-"""Steps over Arrow batches: by record, and by sorted group without a Python call per batch of one."""
+"""Sorted groups as a stream over Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
-def sorted_groups(frames: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """Groups of equal ``keys`` from frames sorted by them; a group may span frames."""
+def sorted_groups(frames: Iterator[pd.DataFrame], keys: Sequence[str],
+                  most: int | None = None) -> Iterator[pd.DataFrame]:
+    """Groups of equal ``keys`` from frames sorted by them; a group may span frames. With ``most``
+    a larger group comes in pieces of that many rows."""
+    for group in _whole_groups(frames, keys, most):
+        for start in range(0, len(group), most or len(group)):
+            yield group.iloc[start:start + most] if most else group
+
+
+def _whole_groups(frames: Iterator[pd.DataFrame], keys: Sequence[str],
+                  most: int | None) -> Iterator[pd.DataFrame]:
     keys = list(keys)
     held: list[pd.DataFrame] = []
     last = None
@@ -26,6 +34,11 @@ def sorted_groups(frames: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterat
                 held = []
             if end > start:
                 held.append(frame.iloc[start:end])
+            if most and sum(map(len, held)) >= most:
+                whole = pd.concat(held, ignore_index=True)
+                full = len(whole) - len(whole) % most
+                yield whole.iloc[:full]
+                held = [whole.iloc[full:]] if full < len(whole) else []
         last = tuple(frame[keys].iloc[-1])
     if held:
         yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
@@ -33,16 +46,15 @@ def sorted_groups(frames: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterat
 
 def map_groups(df: DataFrame, keys: Sequence[str],
                each: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str,
-               order: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
-    """``each`` on every group of ``keys``; many small groups cost one stream, not one call into
-    Spark each. Keys must not be null."""
-    dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
-    dealt = dealt.sortWithinPartitions(*keys, *order)
+               order: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """``each`` on every group of ``keys``, or on pieces of ``most`` rows of it; many small groups
+    cost one stream, not one call into Spark each. Keys must not be null."""
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[pd.DataFrame] = []
         rows = 0
-        for group in sorted_groups(frames, keys):
+        for group in sorted_groups(frames, keys, most):
             made = each(group)
             if made is not None and len(made):
                 out.append(made)
@@ -54,8 +66,3 @@ def map_groups(df: DataFrame, keys: Sequence[str],
             yield pd.concat(out, ignore_index=True)
 
     return dealt.mapInPandas(step, schema)
-
-
-def crc_mod(doc_id: str, n: int) -> Column:
-    """crc32 of the id's text modulo n; null for a null id."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
