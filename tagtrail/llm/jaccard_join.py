@@ -23,7 +23,6 @@ in a class with others: rows with a null id get class and links of their text.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,10 +57,15 @@ def picks(s: np.ndarray, run: int, level: int) -> np.ndarray:
 _SETS = StructType([
     StructField("a", LongType()), StructField("b", LongType()), StructField("n", LongType()),
     StructField("picks", ArrayType(ArrayType(ArrayType(LongType()))))])
+_PACKED = StructType([*_SETS.fields[:3], StructField("packed", BinaryType())])
 
 
-def _signed(h: np.ndarray) -> list[int]:
-    return h.view(np.int64).tolist()
+def _signature(s: np.ndarray) -> tuple[int, int, int]:
+    """Two checksums and the size: equal for equal sets, and in practice for no others."""
+    if not len(s):
+        return 0, 0, 0
+    return (int(np.bitwise_xor.reduce(mix(s)).view(np.int64)),
+            int(s.sum(dtype=np.uint64).view(np.int64)), len(s))
 
 
 @F.pandas_udf(_SETS)
@@ -69,18 +73,20 @@ def _sets(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for t in texts:
         s = shingles(t, GRAM)
-        if not len(s):
-            rows.append((0, 0, 0, []))
-            continue
-        a, b = int(np.bitwise_xor.reduce(mix(s))), int(s.sum(dtype=np.uint64))
-        chosen = [[_signed(picks(s, r, k)) for k in range(LEVELS)] for r in range(runs_needed())]
-        rows.append((np.uint64(a).view(np.int64), np.uint64(b).view(np.int64), len(s), chosen))
+        rows.append((*_signature(s), [[picks(s, r, k).view(np.int64).tolist()
+                                       for k in range(LEVELS)]
+                                      for r in range(runs_needed())] if len(s) else []))
     return pd.DataFrame(rows, columns=["a", "b", "n", "picks"])
 
 
-@F.pandas_udf(BinaryType())
-def _packed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: shingles(t, GRAM).tobytes())
+@F.pandas_udf(_PACKED)
+def _packed(texts: pd.Series) -> pd.DataFrame:
+    made = [shingles(t, GRAM) for t in texts]
+    return pd.DataFrame([(*_signature(s), s.tobytes()) for s in made],
+                        columns=["a", "b", "n", "packed"])
+
+
+_ID = "xxhash64(a, b, n)"
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
@@ -146,9 +152,22 @@ def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return common * 10 >= union * round(THRESHOLD * 10)
 
 
+def _met_before(leaders: pd.Series, leader: int, left: np.ndarray, right: np.ndarray) \
+        -> np.ndarray:
+    """Matrix of whether two sets have a leader before this one in common."""
+    before = [np.asarray(o, np.int64) for o in leaders]
+    before = [o[o < leader] for o in before]
+    names, column = np.unique(np.concatenate(before), return_inverse=True)
+    row = np.repeat(np.arange(len(before)), [len(o) for o in before])
+    has = np.zeros((len(before), len(names)), np.float32)
+    has[row, column] = 1
+    return has[left] @ has[right].T > 0
+
+
 def _links(group: pd.DataFrame) -> pd.DataFrame | None:
     """Links within one pair of blocks of a leader's sets: per set its number, and the smallest id
     that it hangs together with."""
+    group = group.drop_duplicates("id")  # repeated rows
     ids = group["id"].to_numpy(np.int64)
     sets = [np.frombuffer(s, np.uint64) for s in group["packed"]]
     leader, i, j = (int(group[c].iloc[0]) for c in ("leader", "i", "j"))
@@ -156,20 +175,15 @@ def _links(group: pd.DataFrame) -> pd.DataFrame | None:
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     if not len(left) or not len(right):
         return None
-    similar = compare(sets, left, right)
+    # A pair belongs to the first leader that both sets have.
+    similar = compare(sets, left, right) & ~_met_before(group["leaders"], leader, left, right)
     x, y = np.nonzero(similar)
     x, y = left[x], right[y]
-    ahead = ids[x] < ids[y] if i == j else np.ones(len(x), bool)
-    x, y = x[ahead], y[ahead]
+    if i == j:
+        ahead = ids[x] < ids[y]
+        x, y = x[ahead], y[ahead]
     if not len(x):
         return None
-    # The pair belongs to the first leader that both sets have.
-    others = [np.asarray(o, np.int64) for o in group["leaders"]]
-    plain = np.array([len(o) == 1 for o in others])
-    own = plain[x] | plain[y]
-    mine = np.fromiter((bool(k) or np.intersect1d(others[p], others[q])[0] == leader
-                        for k, p, q in zip(own, x, y)), bool, len(x))
-    x, y = x[mine], y[mine]
     links = np.bincount(x, minlength=len(ids)) + np.bincount(y, minlength=len(ids))
     root = np.arange(len(ids))
     while True:
@@ -186,23 +200,25 @@ def _links(group: pd.DataFrame) -> pd.DataFrame | None:
     return pd.DataFrame({"id": ids[linked], "links": links[linked], "root": ids[root[linked]]})
 
 
-def _compared(places: DataFrame, texts: DataFrame) -> DataFrame:
+def _compared(places: DataFrame, firsts: DataFrame, documents: DataFrame) -> DataFrame:
     """(id, links, root) of the sets that are similar to another, per task that found it."""
     sizes = places.groupBy("leader").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    kept = places.join(sizes, "leader")
-    dealt = kept.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")) \
+    dealt = places.join(sizes, "leader") \
+        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")) \
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    to = F.struct("leader", "block", "blocks")
-    wanted = dealt.groupBy("id").agg(F.collect_list(to).alias("to"))
-    found = texts.join(wanted, "id").select(
-        "id", _packed("text").alias("packed"), F.col("to.leader").alias("leaders"),
-        F.explode("to").alias("t")).select("id", "packed", "leaders", "t.*")
-    below = found.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j")) \
-        .withColumn("i", F.col("block"))
-    above = found.where("block > 0").select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i")) \
-        .withColumn("j", F.col("block"))
-    pieces = below.unionByName(above).select("leader", "i", "j", "block", "id", "packed", "leaders")
+    wanted = dealt.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("leader", "block", "blocks"))).alias("to")) \
+        .join(firsts.select("id", "doc_id"), "id")
+    texts = documents.where("text IS NOT NULL").select("doc_id", "text")
+    # The id names the rows, the signature the one among them that has the set.
+    found = (texts.join(wanted, "doc_id").select("id", "to", _packed("text").alias("p"))
+             .select("id", "to", "p.*").where(f"{_ID} = id")
+             .select("id", "packed", F.col("to.leader").alias("leaders"), F.explode("to").alias("t"))
+             .select("id", "packed", "leaders", "t.*"))
+    with_others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pieces = found.select("*", F.explode(with_others).alias("other")).select(
+        "leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "block", "id", "packed", "leaders")
     return map_groups(pieces, ["leader", "i", "j"], _links, "id long, links long, root long")
 
 
@@ -210,25 +226,24 @@ def similar_classes(documents: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies), a row per row of ``documents``: the smallest id of the
     class that similarity links, the number of other distinct sets that the document's set is
     linked to, and the number of rows with the same set."""
-    rows = stored(documents.select("doc_id", _sets("text").alias("s")).select("doc_id", "s.*"),
-                  "sets")
-    full = rows.where("n > 0 AND doc_id IS NOT NULL")
-    # Equal sets are one, under the smallest id.
-    firsts = stored(full.groupBy("a", "b", "n").agg(
-        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies")), "firsts")
-    sets = full.join(firsts.select("a", "b", "n", F.col("id").alias("doc_id")),
-                     ["a", "b", "n", "doc_id"]).dropDuplicates(["doc_id", "a", "b", "n"]) \
-        .select(F.col("doc_id").alias("id"), "picks")
-    texts = documents.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
-    found = stored(_compared(_places(_buckets(sets)), texts), "found")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    classes = connected_components(found.select("id"), found.select(
-        F.col("id").alias("src"), F.col("root").alias("dst")).where("src != dst"))
-    of_set = (firsts.join(links, "id", "left").join(
-        classes.withColumnRenamed("component", "class_id"), "id", "left")
-        .select("a", "b", "n", "n_copies", F.coalesce("class_id", "id").alias("class_id"),
-                F.coalesce("links", F.lit(0)).alias("n_links")))
-    return rows.select("doc_id", "a", "b", "n").join(of_set, ["a", "b", "n"], "left").select(
+    rows = stored(documents.select("doc_id", _sets("text").alias("s")).select("doc_id", "s.*")
+                  .withColumn("id", F.expr(f"CASE WHEN n > 0 THEN {_ID} END")), "sets")
+    # Equal sets are one, under the smallest document id.
+    firsts = stored(rows.where("id IS NOT NULL").groupBy("id").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies")), "firsts")
+    named = firsts.where("doc_id IS NOT NULL")
+    sets = rows.join(named.select("id", "doc_id"), ["id", "doc_id"]).select("id", "picks") \
+        .dropDuplicates(["id"])
+    found = stored(_compared(_places(_buckets(sets)), named, documents), "found")
+    links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
+    parts = connected_components(links.select("id"), found.select(
+        F.col("id").alias("src"), F.col("root").alias("dst")))
+    linked = stored(links.join(parts, "id").join(firsts, "id"), "linked")
+    classes = linked.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    of_set = firsts.join(linked.join(classes, "component").select("id", "n_links", "class_id"),
+                         "id", "left") \
+        .select("id", "n_copies", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
+    return rows.select("doc_id", "id").join(of_set, "id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

@@ -206,15 +206,17 @@ def dedup_lines(documents: DataFrame, report: bool = False, keep_empty: bool = T
     marked = documents.withColumn("_place", F.when(F.col("text") != "",
                                                    _place(F.col("doc_id"), digest)))
     plan = firsts.join(lost, "place", "left").select(
-        F.col("text_hash").alias("_hash"), F.col("place").alias("_first"), "lost")
+        F.col("text_hash").alias("_hash"), F.col("place").alias("_first"),
+        F.col("lost").alias("_lost"))
     joined = marked.join(plan, F.col("_place.text") == F.col("_hash"), "left")
     copy = F.coalesce(F.col("_place") != F.col("_first"), F.lit(False))
-    out = joined.withColumn("_copy", copy).withColumn("_old", F.col("text")).withColumn("text", F.when(copy, F.lit("")).when(
-        F.col("lost").isNotNull(), _without("text", "lost")).otherwise(F.col("text")))
+    out = joined.withColumn("_copy", copy).withColumn("_old", F.col("text")) \
+        .withColumn("text", F.when(copy, F.lit("")).when(
+            F.col("_lost").isNotNull(), _without("text", "_lost")).otherwise(F.col("text")))
     if not keep_empty:
         out = out.withColumn("_blank", F.col("_old").rlike(r"^\s*$")) \
             .where(F.coalesce(~F.col("text").rlike(r"^\s*$") | F.col("_blank"), F.lit(True)))
     names = [F.col(c) for c in documents.columns]
     if report:
-        names += [F.col("lost").alias("lines_lost"), F.col("_copy").alias("copy_of")]
+        names += [F.col("_lost").alias("lines_lost"), F.col("_copy").alias("copy_of")]
     return out.select(*names)
