@@ -86,9 +86,11 @@ def _ratios(sample: DataFrame) -> np.ndarray:
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
           rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on about ``rows`` labelled documents for which ``learn`` holds. Without any, every
-    score is 0.5."""
+    """Fit on about ``rows`` labelled documents for which ``learn`` holds. Without any, nothing is
+    known to be toxic and every score is next to 0."""
     sample = labelled_sample(documents, labels, label, learn, rows)
+    if sample.isEmpty():
+        return Model(np.zeros(PLACES, np.float32), -35.0)
     ratios = _ratios(sample).astype(np.float32)
     shared = sample.sparkSession.sparkContext.broadcast(ratios)
 
