@@ -3,12 +3,13 @@
 Texts become sets of hashed five-word shingles. In each run a set picks each of its shingles with
 probability ``RATE / (THRESHOLD * size)``, by a hash that all sets share, and goes to the bucket of
 each shingle picked; sets as similar as ``THRESHOLD`` have ``RATE`` picks in common on average. A
-bucket of more than ``SMALL`` sets is split again by further picks, ``LEVELS`` times at most. A pair
+bucket of more than ``SMALL`` sets is split again by further picks, ``LEVELS`` times at most, unless
+half of its sets have the same smallest hash: such sets are nearly equal and stay together. A pair
 is missed by a run with probability exp(-RATE) at most in a bucket that stays whole, and the runs
 needed for the target recall follow from the worst case, a pair that is split at every level.
 
-Small buckets are compared by brute force. What is still large after the last level (sets that are
-nearly equal cannot be split) is compared by brute force as well, cut into blocks that tasks share.
+Small buckets are compared by brute force. What stays large is compared by brute force as well, cut
+into blocks that tasks share.
 Every pair is counted once: in the first of the buckets that it has in common.
 
 Sets that are equal are one set from the start, so copies cost nothing; groups of sets in one bucket
@@ -56,7 +57,7 @@ def picks(s: np.ndarray, run: int, level: int) -> np.ndarray:
 
 _SETS = StructType([
     StructField("a", LongType()), StructField("b", LongType()), StructField("n", LongType()),
-    StructField("picks", ArrayType(ArrayType(ArrayType(LongType()))))])
+    StructField("least", LongType()), StructField("picks", ArrayType(ArrayType(ArrayType(LongType()))))])
 _PACKED = StructType([*_SETS.fields[:3], StructField("packed", BinaryType())])
 
 
@@ -73,10 +74,11 @@ def _sets(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for t in texts:
         s = shingles(t, GRAM)
-        rows.append((*_signature(s), [[picks(s, r, k).view(np.int64).tolist()
+        least = int(mix(s).min().view(np.int64)) if len(s) else 0
+        rows.append((*_signature(s), least, [[picks(s, r, k).view(np.int64).tolist()
                                        for k in range(LEVELS)]
                                       for r in range(runs_needed())] if len(s) else []))
-    return pd.DataFrame(rows, columns=["a", "b", "n", "picks"])
+    return pd.DataFrame(rows, columns=["a", "b", "n", "least", "picks"])
 
 
 @F.pandas_udf(_PACKED)
@@ -91,22 +93,27 @@ _ID = "xxhash64(a, b, n)"
 
 def _buckets(sets: DataFrame) -> DataFrame:
     """(bucket, id): which set is in which bucket of two or more."""
-    path = sets.select("id", F.posexplode("picks").alias("run", "levels")) \
-        .select("id", "run", "levels", F.explode(F.element_at("levels", 1)).alias("pick")) \
-        .select("id", "levels", F.xxhash64("run", "pick").alias("bucket"))
+    path = sets.select("id", "least", F.posexplode("picks").alias("run", "levels")) \
+        .select("id", "least", "run", "levels", F.explode(F.element_at("levels", 1)).alias("pick")) \
+        .select("id", "least", "levels", F.xxhash64("run", "pick").alias("bucket"))
     done = []
     for level in range(1, LEVELS + 1):
         path = stored(path, f"level{level}")
-        sizes = path.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-        last = level == LEVELS
-        fits = sizes.where("size > 1" if last else f"size > 1 AND size <= {SMALL}")
-        done.append(path.select("id", "bucket").join(fits.select("bucket"), "bucket"))
-        if not last:
-            large = sizes.where(f"size > {SMALL}").select("bucket")
-            path = path.join(large, "bucket").select(
-                "id", "levels", "bucket",
-                F.explode(F.element_at("levels", level + 1)).alias("pick")) \
-                .select("id", "levels", F.xxhash64("bucket", "pick").alias("bucket"))
+        sizes = stored(path.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+                       .where("size > 1"), "sizes")
+        if level == LEVELS:
+            done.append(path.select("id", "bucket").join(sizes.select("bucket"), "bucket"))
+            break
+        large = path.join(sizes.where(f"size > {SMALL}"), "bucket")
+        alike = large.groupBy("bucket", "size", "least").agg(F.count(F.lit(1)).alias("n")) \
+            .groupBy("bucket", "size").agg(F.max("n").alias("most")).where("2 * most >= size")
+        whole = stored(sizes.where(f"size <= {SMALL}").select("bucket")
+                       .union(alike.select("bucket")), "whole")
+        done.append(path.select("id", "bucket").join(whole, "bucket"))
+        path = large.join(whole, "bucket", "left_anti").select(
+            "id", "least", "levels", "bucket",
+            F.explode(F.element_at("levels", level + 1)).alias("pick")) \
+            .select("id", "least", "levels", F.xxhash64("bucket", "pick").alias("bucket"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -232,7 +239,7 @@ def similar_classes(documents: DataFrame) -> DataFrame:
     firsts = stored(rows.where("id IS NOT NULL").groupBy("id").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies")), "firsts")
     named = firsts.where("doc_id IS NOT NULL")
-    sets = rows.join(named.select("id", "doc_id"), ["id", "doc_id"]).select("id", "picks") \
+    sets = rows.join(named.select("id", "doc_id"), ["id", "doc_id"]).select("id", "least", "picks") \
         .dropDuplicates(["id"])
     found = stored(_compared(_places(_buckets(sets)), named, documents), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
