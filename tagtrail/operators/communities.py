@@ -5,41 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale.durable import cut
-from ..scale.skew import Limits, lookup_join
+from ..scale.durable import stored
+from ..scale.skew import lookup_join
 from .graph import Adjacency, both_ways
 from .summaries import top_per_group
 
-CUT_EVERY = 4
-
-
-def label_propagation(vertices: DataFrame, edges: DataFrame, max_iter: int = 50,
-                      limits: Limits = Limits()) -> DataFrame:
+def label_propagation(vertices: DataFrame, edges: DataFrame, max_iter: int = 50) -> DataFrame:
     """Vertices with a community ``label``: each round every vertex takes the most frequent
-    label of its neighbours (edges count both ways), ties to the smallest. Stops early once a
-    round changes nothing, as later rounds would not either."""
-    ids = cut(vertices.select("id"))
-    along = Adjacency(both_ways(edges), limits)
-    state = ids.selectExpr("id", "id AS label")
-    # A vote of each vertex for itself with no weight: what a vertex without neighbours keeps.
-    own = ids.selectExpr("id", "id AS label", "0L AS n")
+    label of its neighbours (edges count both ways), ties to the smallest. Ends early once the
+    labels of a round are those of the round before or of the one before that, as it is then known
+    what later rounds give."""
+    ids = stored(vertices.select("id"), "ids")
+    along = Adjacency(both_ways(edges))
+    state = ids.selectExpr("id", "id AS label", "CAST(NULL AS BIGINT) AS before")
     for i in range(1, max_iter + 1):
         votes = along.send(state, "label", "label").groupBy("dst", "label") \
             .agg(F.expr("count(1) AS n"))
         # The most votes, then the smallest label.
-        following = votes.union(own).groupBy("dst") \
-            .agg(F.expr("max(struct(n, -label AS low)) AS best")) \
-            .selectExpr("dst AS id", "-best.low AS label")
-        if i % CUT_EVERY == 0 or i == max_iter:
-            before = state.select("id", F.col("label").alias("before"))
-            both = cut(following.join(before, "id"))
-            state = both.select("id", "label")
-            if both.filter("label <> before").isEmpty():
-                break
-        else:
-            state = following
-    along.release()
-    return vertices.join(state, "id")
+        # The last two labels ride along with no votes.
+        held = state.selectExpr("id AS dst", "id AS label", "0L AS n", "label AS before",
+                                "before AS earlier")
+        nothing = "CAST(NULL AS BIGINT)"
+        state = stored(held.union(votes.selectExpr("dst", "label", "n", nothing, nothing))
+                       .groupBy("dst")
+                       .agg(F.expr("max(struct(n, -label AS low)) AS best"),
+                            F.expr("max(before) AS before"), F.expr("max(earlier) AS earlier"))
+                       .selectExpr("dst AS id", "-best.low AS label", "before", "earlier"),
+                       "labels")
+        if state.filter("label <> before").isEmpty():
+            break
+        if state.filter("earlier IS NULL OR label <> earlier").isEmpty():
+            # The two states take turns: the last round gives this one or the one before.
+            last = "label" if (max_iter - i) % 2 == 0 else "before"
+            state = state.selectExpr("id", f"{last} AS label")
+            break
+    return vertices.join(state.select("id", "label"), "id")
 
 
 def majority_labels(communities: DataFrame, k: int = 5) -> DataFrame:
@@ -134,23 +134,18 @@ def cluster_type_correlation(clusters: DataFrame) -> DataFrame:
                          F.when(spread > 0, (n * ab - na * nb) / F.sqrt(spread)).alias("corr"))
 
 
-def community_subgraph(edges: DataFrame, clusters: DataFrame, most: int = 15,
-                       limits: Limits = Limits()) -> DataFrame:
+def community_subgraph(edges: DataFrame, clusters: DataFrame, most: int = 15) -> DataFrame:
     """Edges with an end in the communities, of those sources that have at most ``most`` such
     edges."""
-    member = cut(clusters.select("id", F.lit(True).alias("member")))
-    edges = cut(edges.select("src", "dst").dropDuplicates())
-    total, marked = edges.count(), edges
-    for end, other in (("src", "dst"), ("dst", "src")):
+    member = stored(clusters.select("id", F.lit(True).alias("member")), "members")
+    marked = edges.select("src", "dst").dropDuplicates()
+    for end in ("src", "dst"):
         named = member.select(F.col("id").alias(end), F.col("member").alias(f"{end}_member"))
-        marked = lookup_join(marked, named, [end], [other], counted_on=edges, limits=limits,
-                             total=total, kept=True)
-    subset = marked.filter(F.col("src_member") | F.col("dst_member")).select("src", "dst")
+        marked = lookup_join(marked, named, [end])
+    subset = stored(marked.filter(F.col("src_member") | F.col("dst_member"))
+                    .select("src", "dst"), "subset")
     few = subset.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most)
-    # A source kept here has at most ``most`` edges; the others are only dropped, which the
-    # split keeps even.
-    return lookup_join(subset, few.select("src"), ["src"], ["dst"], how="left_semi",
-                       counted_on=edges, limits=limits, total=total)
+    return lookup_join(subset, few.select("src"), ["src"], "left_semi")
 
 
 def community_vertices(clusters: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale.durable import cut, stored
-from ..scale.skew import Limits, lookup_join
+from ..scale.durable import stored
+from ..scale.skew import lookup_join
 from .graph import Adjacency, both_ways, reversed_edges
 
 
@@ -57,72 +57,69 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def strongly_connected_components(vertices: DataFrame, edges: DataFrame,
-                                  max_iter: int | None = None,
-                                  limits: Limits = Limits()) -> DataFrame:
+                                  max_iter: int | None = None) -> DataFrame:
     """Vertices with ``component``, the smallest id of the vertices that reach it and that it
     reaches.
 
     Each round colours every open vertex with the smallest id that reaches it; a vertex that in
     turn reaches its colour's name belongs to that component and is done. Edges between colours
-    are dropped. ``max_iter`` bounds the rounds; vertices still open then stand alone."""
-    open_ = cut(vertices.select("id"))
-    edges = cut(edges.select("src", "dst").filter("src <> dst").dropDuplicates())
+    are dropped. If ``max_iter`` rounds leave vertices open, it raises."""
+    open_ = stored(vertices.select("id"), "graph")
+    edges = stored(edges.select("src", "dst").filter("src <> dst").dropDuplicates(), "graph")
     parts = []
     rounds = 0
-    while not open_.isEmpty() and (max_iter is None or rounds < max_iter):
+    while not open_.isEmpty():
+        if rounds == max_iter:
+            raise RuntimeError(f"vertices are open after {max_iter} rounds")
         rounds += 1
-        forward = Adjacency(edges, limits)
+        forward = Adjacency(edges)
         colour = _spread_min(open_.select("id", F.col("id").alias("value")), forward) \
             .select("id", F.col("value").alias("colour"))
-        forward.release()
-        inner = _within(edges, colour, limits)
-        backward = Adjacency(reversed_edges(inner), limits)
+        inner = _within(edges, colour)
+        backward = Adjacency(reversed_edges(inner))
         # 0 marks "reaches the vertex the colour is named after".
         start = colour.select("id", F.when(F.col("id") == F.col("colour"), F.lit(0))
                               .otherwise(F.lit(1)).cast("long").alias("value"))
         reach = _spread_min(start, backward)
-        backward.release()
-        marked = cut(colour.join(reach, "id"))
+        marked = stored(colour.join(reach, "id"), "graph")
         parts.append(marked.filter("value = 0").select("id", F.col("colour").alias("component")))
         rest = marked.filter("value = 1")
         open_ = rest.select("id")
-        edges = cut(_within(inner, rest.select("id", "colour"), limits))
-    found = open_.select("id", F.col("id").alias("component"))
+        edges = stored(_within(inner, rest.select("id", "colour")), "graph")
+    found = vertices.select("id", F.col("id").alias("component")).limit(0)
     for part in parts:
         found = found.unionByName(part)
     return vertices.join(found, "id")
 
 
-def _within(edges: DataFrame, colour: DataFrame, limits: Limits) -> DataFrame:
+def _within(edges: DataFrame, colour: DataFrame) -> DataFrame:
     """Edges whose ends have the same colour. Reads ``colour`` from a lineage cut."""
-    for end, other in (("src", "dst"), ("dst", "src")):
+    for end in ("src", "dst"):
         named = colour.select(F.col("id").alias(end), F.col("colour").alias(f"{end}_colour"))
-        edges = lookup_join(edges, named, [end], [other], how="inner", limits=limits, kept=True)
+        edges = lookup_join(edges, named, [end], "inner")
     return edges.filter("src_colour = dst_colour").select("src", "dst")
 
 
-def triangle_count(vertices: DataFrame, edges: DataFrame,
-                   limits: Limits = Limits()) -> DataFrame:
+def triangle_count(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Vertices with ``count``, the number of triangles through each, directions ignored.
 
     Edges are turned from the end with fewer neighbours to the one with more. Then no vertex
     has more than sqrt(2 E) outgoing edges, so a neighbour list is small whatever the hubs, and
     each triangle is found once, as a common element of the lists of an edge's ends."""
-    plain = cut(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-                .filter("a <> b").dropDuplicates())
-    degree = cut(both_ways(plain.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-                 .groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d")))
-    for end, other in (("a", "b"), ("b", "a")):
+    plain = stored(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+                .filter("a <> b").dropDuplicates(), "graph")
+    degree = stored(both_ways(plain.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+                 .groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d")), "graph")
+    for end in ("a", "b"):
         named = degree.select(F.col("id").alias(end), F.col("d").alias(f"d{end}"))
-        plain = lookup_join(plain, named, [end], [other], how="inner", limits=limits, kept=True)
+        plain = lookup_join(plain, named, [end], "inner")
     forward = F.struct("da", "a") < F.struct("db", "b")
-    turned = cut(plain.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("low"),
-                              F.when(forward, F.col("b")).otherwise(F.col("a")).alias("high")))
+    turned = stored(plain.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("low"),
+                              F.when(forward, F.col("b")).otherwise(F.col("a")).alias("high")), "graph")
     lists = turned.groupBy("low").agg(F.collect_list("high").alias("near"))
     withlow = turned.join(lists, "low")
     high = lists.select(F.col("low").alias("high"), F.col("near").alias("far"))
-    joined = lookup_join(withlow, high, ["high"], ["low"], how="inner", counted_on=turned,
-                         limits=limits)
+    joined = lookup_join(withlow, high, ["high"], "inner")
     closed = joined.select("low", "high", F.array_intersect("near", "far").alias("third")) \
         .filter(F.size("third") > 0)
     n = F.size("third").cast("long")

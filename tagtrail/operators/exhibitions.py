@@ -34,10 +34,12 @@ def _spans(clean: DataFrame, members: DataFrame, order: str) -> DataFrame:
 
 
 def during_exhibition(tags: DataFrame, clean: DataFrame, members: DataFrame,
-                      mode: str = "last", order: str = "id", **split) -> DataFrame:
+                      mode: str = "last", order: str = "ordinal") -> DataFrame:
     """Flag tags whose local date lies in ``[start, end)`` of an exhibition holding the object.
 
     ``mode="last"``: of several exhibitions the last in ``order`` decides, also when it says 0.
+    ``order`` names a column of ``clean`` that holds the place of the exhibition in its list; ids
+    are text and have no order of their own.
     ``mode="any"``: one match is enough. Needs ``created_date_est`` on ``tags``.
     """
     spans = _spans(clean, members, order)
@@ -47,7 +49,7 @@ def during_exhibition(tags: DataFrame, clean: DataFrame, members: DataFrame,
             F.max(F.struct("ordinal", F.struct("created_date_start", "created_date_end")
                            .alias("span"))).alias("last")) \
             .select("refers_to_object_id", "last.span.*")
-        joined = lookup_join(tags, last, ["refers_to_object_id"], ["id"], **split)
+        joined = lookup_join(tags, last, ["refers_to_object_id"])
         inside = (F.col("created_date_est") >= F.col("created_date_start")) & \
                  (F.col("created_date_est") < F.col("created_date_end"))
         return joined.withColumn("during_exhibition", F.coalesce(inside.cast("int"), F.lit(0))) \
@@ -57,7 +59,7 @@ def during_exhibition(tags: DataFrame, clean: DataFrame, members: DataFrame,
     keys = ["refers_to_object_id", "created_date_est"]
     days = _covered_days(tags.select(*keys).filter(F.col("refers_to_object_id").isNotNull()),
                          spans)
-    return lookup_join(tags, days, keys, ["id"], **split) \
+    return lookup_join(tags, days, keys) \
         .withColumn("during_exhibition", F.coalesce(F.col("during_exhibition"), F.lit(0)))
 
 

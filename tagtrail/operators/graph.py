@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale.durable import cut
-from ..scale.skew import SPLIT, Limits, copy_rows, hot_keys, lookup_join, split_rows
+from ..scale.durable import stored
+from ..scale.skew import lookup_join
 from .journeys import transitions
 
 
@@ -17,7 +17,7 @@ def graph_vertices(tags: DataFrame, objects: DataFrame, departments: DataFrame)
         .select(F.col("refers_to_object_id").cast("long").alias("id")).distinct()
     names = departments.groupBy(F.col("id").alias("department_id")) \
         .agg(F.min("name").alias("department"))
-    entries = lookup_join(objects, names, ["department_id"], ["id"]).select(
+    entries = lookup_join(objects, names, ["department_id"]).select(
         F.col("id").cast("long").alias("id"), "title", "date", "department",
         F.when(F.col("department").isNotNull(), F.col("department_id")).alias("department_id"),
         "type", "type_id", F.col("is_loan_object").cast("string").alias("loan"))
@@ -35,15 +35,11 @@ def all_edges(tags: DataFrame) -> DataFrame:
     return transitions(tags).dropDuplicates()
 
 
-def graph_edges(edges: DataFrame, vertices: DataFrame,
-                limits: Limits = Limits()) -> DataFrame:
+def graph_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """The edges whose two ends have metadata."""
-    edges = cut(edges)
-    total = edges.count()
-    valid = cut(vertices.filter("meta_store = 1").select("id"))
-    for end, other in (("src", "dst"), ("dst", "src")):
-        edges = lookup_join(edges, valid.withColumnRenamed("id", end), [end], [other],
-                            how="left_semi", limits=limits, total=total, kept=True)
+    valid = stored(vertices.filter("meta_store = 1").select("id"), "valid")
+    for end in ("src", "dst"):
+        edges = lookup_join(edges, valid.withColumnRenamed("id", end), [end], "left_semi")
     return edges.select("src", "dst")
 
 
@@ -86,42 +82,17 @@ def endpoints(edges: DataFrame) -> DataFrame:
 class Adjacency:
     """Edges kept for repeated passes that send a value along each edge.
 
-    A large graph is laid out once by source; sources with very many edges are split, and
-    ``send`` copies the value of such a source to each of its splits. Vertex values that come
-    out of a group-by on the vertex id already lie where the edges of that vertex do, so a pass
-    shuffles nothing but its pre-aggregated messages. A graph that one task can hold stays as it
-    is.
-    """
-
-    def __init__(self, edges: DataFrame, limits: Limits = Limits()):
-        self._hot = None
-        self._keys = ["src"]
-        self._edges = edges.persist()
-        total = self._edges.count()
-        if total > limits.rows_per_split:
-            self._lay_out(limits, total)
-
-    def _lay_out(self, limits: Limits, total: int) -> None:
-        raw = laid = self._edges
-        self._hot = hot_keys(raw, ["src"], limits, total)
-        if self._hot is not None:
-            laid = split_rows(raw, ["src"], self._hot, ["dst"])
-            self._keys = ["src", SPLIT]
-        # A given number of partitions is kept as it is, so later group-bys match it.
-        parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self._edges = laid.repartition(parts, *self._keys).persist()
-        self._edges.count()
-        raw.unpersist()
+    The edges are written once; a pass joins them to the vertex values by source. Where the values
+    fit into memory Spark broadcasts them and the edges stay where they are; otherwise they shuffle,
+    and adaptive execution splits the edges of a busy source."""
+
+    def __init__(self, edges: DataFrame):
+        self._edges = stored(edges, "edges")
 
     def send(self, state: DataFrame, value: str, name: str = "value") -> DataFrame:
         """(dst, value) for each edge; ``value`` is an SQL expression over the source's row."""
         state = state.selectExpr("id AS src", f"{value} AS {name}")
-        if self._hot is not None:
-            state = copy_rows(state, ["src"], self._hot)
-        return self._edges.join(state, self._keys).select("dst", name)
-
-    def release(self) -> None:
-        self._edges.unpersist()
+        return self._edges.join(state, "src").select("dst", name)
 
 
 def vertex_reindex(edges: DataFrame) -> DataFrame:
@@ -129,8 +100,8 @@ def vertex_reindex(edges: DataFrame) -> DataFrame:
 
     Range partitions are fixed by a lineage cut; each is numbered by itself and shifted by the
     sizes of those before it (one small row per partition)."""
-    placed = cut(endpoints(edges).repartitionByRange("id")
-                 .withColumn("part", F.spark_partition_id()))
+    placed = stored(endpoints(edges).repartitionByRange("id")
+                    .withColumn("part", F.spark_partition_id()), "placed")
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
@@ -139,11 +110,10 @@ def vertex_reindex(edges: DataFrame) -> DataFrame:
         .join(shifts, "part").select("id", (F.col("shift") + F.col("nth")).alias("index"))
 
 
-def reindexed_edges(edges: DataFrame, index: DataFrame,
-                    limits: Limits = Limits()) -> DataFrame:
+def reindexed_edges(edges: DataFrame, index: DataFrame) -> DataFrame:
     """Edges between vertex numbers."""
-    index = cut(index)
-    for end, other in (("src", "dst"), ("dst", "src")):
+    index = stored(index, "index")
+    for end in ("src", "dst"):
         named = index.select(F.col("id").alias(end), F.col("index").alias(f"{end}_index"))
-        edges = lookup_join(edges, named, [end], [other], how="inner", limits=limits, kept=True)
+        edges = lookup_join(edges, named, [end], "inner")
     return edges.select(F.col("src_index").alias("src"), F.col("dst_index").alias("dst"))

@@ -21,11 +21,12 @@ BUCKET_SECONDS = 600
 
 def journey_steps(tags: DataFrame) -> DataFrame:
     """(bundle, local date, second, object) of wall tags; of several tags in one second the
-    last by id stays."""
+    last by id (then by object) stays."""
     return (wall_tags(tags).filter(F.col("bundle_id").isNotNull())
             .groupBy("bundle_id", cal.local_date(F.col("created")).alias("created_date_est"),
                      "created")
-            .agg(F.max_by("refers_to_object_id", "id").alias("refers_to_object_id")))
+            .agg(F.max_by("refers_to_object_id", F.struct("id", "refers_to_object_id"))
+                 .alias("refers_to_object_id")))
 
 
 def bundle_journeys(tags: DataFrame) -> DataFrame:
@@ -111,9 +112,9 @@ def burst_anomalies(tags: DataFrame, seconds: int = BUCKET_SECONDS) -> DataFrame
         F.sum(F.coalesce(burst.cast("long"), F.lit(0))).alias("n_anomalies"))
 
 
-def bursty_tags(tags: DataFrame, bursts: DataFrame, **split) -> DataFrame:
+def bursty_tags(tags: DataFrame, bursts: DataFrame) -> DataFrame:
     """Tags with the burst counts of their journey; tags without a journey get the marker.
     Needs ``created_date_est`` on ``tags``."""
-    joined = lookup_join(tags, bursts, JOURNEY, ["id"], **split)
+    joined = lookup_join(tags, bursts, JOURNEY)
     return joined.fillna(NO_META, ["n_obs", "n_anomalies"]) \
         .withColumn("bursty", (F.col("n_anomalies") > 0).cast("int"))

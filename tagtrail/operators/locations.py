@@ -9,8 +9,8 @@ from pyspark.sql.types import StructType
 from ..functions import calendar as cal
 from ..functions.labels import room_name_of_spot
 from ..schemas import LOCATION_COLUMNS, NO_META
-from ..scale.durable import cut
-from ..scale.skew import Limits, lookup_join, text_bytes
+from ..scale.durable import stored
+from ..scale.skew import lookup_join
 
 
 # Location columns that stay text.
@@ -100,8 +100,7 @@ def tag_location_deltas(tags: DataFrame, locations: DataFrame) -> DataFrame:
         .withColumn("delta", cal.day_gap(F.col("created_date"), F.col("visit_date")))
 
 
-def nearest_by_day(tags: DataFrame, locations: DataFrame,
-                   limits: Limits = Limits()) -> DataFrame:
+def nearest_by_day(tags: DataFrame, locations: DataFrame) -> DataFrame:
     """For each (object, UTC day) with tags: the location row nearest in days.
 
     Ties go to the earlier visit, then the lower spot id. Both sides are reduced to one row per
@@ -111,14 +110,9 @@ def nearest_by_day(tags: DataFrame, locations: DataFrame,
     payload = [c for c in LOCATION_COLUMNS if c in locations.columns]
     row = F.struct("visit_raw", *sorted(payload, key=lambda c: c != "spot_id"),
                    *[c for c in ["location_id"] if c in locations.columns])
-    days = cut(tags.filter(F.col("refers_to_object_id").isNotNull()).select(
+    days = stored(tags.filter(F.col("refers_to_object_id").isNotNull()).select(
         "refers_to_object_id", cal.utc_date(F.col("created")).alias("day")).distinct())
-    # Locations of objects nobody tagged need not be sorted; worth a join while the tagged
-    # objects are few enough to broadcast.
-    tagged = days.select("refers_to_object_id").distinct()
     known = locations.filter(F.col("refers_to_object_id").isNotNull())
-    if text_bytes(tagged) <= limits.broadcast_bytes:
-        known = known.join(F.broadcast(tagged), "refers_to_object_id", "left_semi")
     visits = known.groupBy("refers_to_object_id", cal.utc_date(F.col("visit_raw")).alias("day")) \
         .agg(F.min(row).alias("loc")).withColumn("asked", F.lit(0))
     asked = days.withColumns({"loc": F.lit(None).cast(visits.schema["loc"].dataType),
@@ -147,18 +141,16 @@ def nearest_by_day(tags: DataFrame, locations: DataFrame,
 
 
 def nearest_location(tags: DataFrame, locations: DataFrame, keep: tuple[str, ...] = (),
-                     base: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
+                     base: DataFrame | None = None) -> DataFrame:
     """Tags with the nearest-in-time location of their object; ``meta_store`` tells whether
     there was one. ``keep`` may name ``visit_raw`` and ``delta``. ``base`` is the raw log when
-    ``tags`` already carries joined columns; keys are counted and days looked up on it."""
+    ``tags`` already carries joined columns; days are looked up on it."""
     base = tags if base is None else base
     day = cal.utc_date(F.col("created"))
-    nearest = nearest_by_day(base, locations, limits) \
+    nearest = nearest_by_day(base, locations) \
         .drop(*[c for c in ("visit_raw", "delta") if c not in keep])
     joined = lookup_join(tags.withColumn("created_day", day), nearest,
-                         ["refers_to_object_id", "created_day"], ["id"],
-                         counted_on=base.select("refers_to_object_id", day.alias("created_day")),
-                         limits=limits)
+                         ["refers_to_object_id", "created_day"])
     return joined.drop("created_day").fillna(0, ["meta_store"])
 
 
@@ -168,4 +160,4 @@ def impute_locations(tags: DataFrame) -> DataFrame:
     numeric = ["room_floor", "room_id", "room_count_objects", "room_count_spots", "spot_id",
                "spot_count_objects"]
     return tags.withColumns({
-        c: F.when(missing, F.lit(NO_META)).otherwise(F.col(c)).cast("int") for c in numeric})
+        c: F.when(missing, F.lit(NO_META)).otherwise(F.col(c)).cast("long") for c in numeric})

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..scale.durable import cut
-from ..scale.skew import Limits
+from ..scale.durable import stored
 from .graph import Adjacency, endpoints
 from .summaries import share, top_per_group
 
-CUT_EVERY = 5
-
-
 def _with_out_degree(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, out_degree); 0 for vertices without outgoing edges."""
     rows = ids.select("id", F.lit(0).alias("n")) \
@@ -21,72 +19,59 @@ def _with_out_degree(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.sum("n").alias("out_degree"))
 
 
-def _round(along: Adjacency, state: DataFrame, empty: DataFrame, base: float,
-           damping: float) -> DataFrame:
-    """One round: ``base + damping * sum(rank / out_degree)``. ``empty`` holds a message of no
-    weight from each vertex to itself, so that those without incoming edges, and the
-    out-degrees, come along in the one group-by and no join is needed for them."""
+def _round(along: Adjacency, state: DataFrame, base: float, damping: float) -> DataFrame:
+    """One round: ``base + damping * sum(rank / out_degree)``. Each vertex also sends itself a
+    message of no weight, so that those without incoming edges, the out-degrees and the ranks so
+    far (``old``) come along in the one group-by and no join is needed for them."""
     sent = along.send(state.filter("out_degree > 0"), "pagerank / out_degree", "share")
-    return sent.selectExpr("dst AS id", "CAST(NULL AS BIGINT) AS out_degree", "share") \
-        .union(empty).groupBy("id") \
-        .agg(F.expr("max(out_degree) AS out_degree"),
+    own = state.selectExpr("id", "out_degree", "pagerank AS old", "0.0D AS share")
+    return sent.selectExpr("dst AS id", "CAST(NULL AS BIGINT) AS out_degree",
+                           "CAST(NULL AS DOUBLE) AS old", "share") \
+        .union(own).groupBy("id") \
+        .agg(F.expr("max(out_degree) AS out_degree"), F.expr("max(old) AS old"),
              F.expr(f"{base!r}D + {damping!r}D * sum(share) AS pagerank"))
 
 
-def _change(now: DataFrame, before: DataFrame) -> tuple[float, float]:
-    """Largest and total rank difference."""
-    old = before.select("id", F.col("pagerank").alias("old"))
+def _change(state: DataFrame) -> tuple[float, float]:
+    """Largest and total rank difference of the last round."""
     moved = F.abs(F.col("pagerank") - F.col("old"))
-    row = now.join(old, "id").agg(F.max(moved).alias("most"), F.sum(moved).alias("all")).first()
+    row = state.agg(F.max(moved).alias("most"), F.sum(moved).alias("all")).first()
     return row["most"] or 0.0, row["all"] or 0.0
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, tol: float = 0.01,
-             iterations: int | None = None, max_rounds: int = 100,
-             limits: Limits = Limits()) -> DataFrame:
+             iterations: int | None = None) -> DataFrame:
     """Vertices with ``pagerank = reset + (1 - reset) * sum(rank / out_degree)`` over incoming
     edges, started at 1. Runs ``iterations`` rounds, or until no rank moves by more than
     ``tol``. Vertices without incoming edges end at ``reset``. The ends of ``edges`` must be
     among the vertices."""
-    fixed = cut(_with_out_degree(vertices, edges))
-    empty = fixed.selectExpr("id", "out_degree", "0.0D AS share")
-    along = Adjacency(edges, limits)
-    state = fixed.withColumn("pagerank", F.lit(1.0))
-    rounds = max_rounds if iterations is None else iterations
-    for i in range(1, rounds + 1):
-        previous = state
-        state = _round(along, state, empty, reset, 1 - reset)
-        if iterations is None:
-            state = cut(state)
-            if _change(state, previous)[0] <= tol:
-                break
-        elif i % CUT_EVERY == 0 or i == rounds:
-            state = cut(state)
-    along.release()
+    state = stored(_with_out_degree(vertices, edges).withColumn("pagerank", F.lit(1.0)), "ranks")
+    along = Adjacency(edges)
+    rounds = count() if iterations is None else range(iterations)
+    for _ in rounds:
+        state = stored(_round(along, state, reset, 1 - reset), "ranks")
+        if iterations is None and _change(state)[0] <= tol:
+            break
     return vertices.join(state.select("id", "pagerank"), "id")
 
 
 def pagerank_normalized(edges: DataFrame, damping: float = 0.85, tol: float = 1e-6,
-                        iterations: int | None = None, max_rounds: int = 100,
-                        limits: Limits = Limits()) -> DataFrame:
+                        iterations: int | None = None) -> DataFrame:
     """(id, pagerank) over the edge endpoints, summing to 1: rank of vertices without outgoing
     edges is spread evenly. Highest first."""
     edges = edges.select("src", "dst").dropDuplicates()
-    fixed = cut(_with_out_degree(endpoints(edges), edges))
+    fixed = stored(_with_out_degree(endpoints(edges), edges), "degrees")
     n = fixed.count()
     if n == 0:
         return fixed.select("id", F.lit(0.0).alias("pagerank"))
-    empty = fixed.selectExpr("id", "out_degree", "0.0D AS share")
-    along = Adjacency(edges, limits)
+    along = Adjacency(edges)
     state = fixed.withColumn("pagerank", F.lit(1.0 / n))
-    for _ in range(max_rounds if iterations is None else iterations):
+    for _ in count() if iterations is None else range(iterations):
         loose = state.filter("out_degree = 0").agg(F.sum("pagerank").alias("s")).first()["s"]
-        previous = state
-        state = cut(_round(along, state, empty,
-                           (1 - damping + damping * (loose or 0.0)) / n, damping))
-        if iterations is None and _change(state, previous)[1] < n * tol:
+        state = stored(_round(along, state, (1 - damping + damping * (loose or 0.0)) / n, damping),
+                       "ranks")
+        if iterations is None and _change(state)[1] < n * tol:
             break
-    along.release()
     return state.select("id", "pagerank").orderBy(F.desc("pagerank"), "id")
 
 
@@ -129,7 +114,7 @@ def influence_report(ranks: DataFrame, tags: DataFrame, k: int = 10, tier: str =
                                            F.lit(True).alias("chosen"))
     one = F.lit(1)
     columns = ["during_exhibition", "tagged_after_close", *PERIODS]
-    counts = cut(tags.select("refers_to_object_id", *columns)
+    counts = stored(tags.select("refers_to_object_id", *columns)
                  .join(F.broadcast(chosen), "refers_to_object_id", "left")
                  .groupBy(F.coalesce("chosen", F.lit(False)).alias("chosen"), *columns)
                  .agg(F.count(one).alias("n")))

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators import exhibitions, graph, journeys, locations, times
-from ..scale.durable import cut, scratch_path
+from ..scale.durable import stored
 from ..scale.skew import lookup_join
-from ..sources.files import read_snapshot, write_snapshot
 
 # 2024-01-01 as epoch seconds: visits are moved into the month of the tag log.
 VISIT_START = 1_704_067_200
@@ -48,14 +47,14 @@ class Views:
 
     @cached_property
     def departments(self) -> DataFrame:
-        return self.table("part").filter("p_brand <> 'Brand#1'") \
+        return self.table("part") \
             .select(F.col("p_brand").alias("id"),
                     F.concat(F.lit("Dept "), "p_brand").alias("name")).distinct()
 
     @cached_property
     def objects(self) -> DataFrame:
         size = F.col("p_size")
-        return self.table("part").filter("p_partkey % 7 <> 0").select(
+        return self.table("part").select(
             F.col("p_partkey").alias("id"), F.col("p_name").alias("title"),
             (size + 1900).cast("string").alias("date"), F.col("p_brand").alias("department_id"),
             F.col("p_type").alias("type"), F.col("p_type").alias("type_id"),
@@ -69,7 +68,7 @@ class Views:
         day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
         number = (F.col("n_nationkey") + 100).cast("string")
         floor = F.col("r_regionkey") + 1
-        return self.table("lineitem").filter("l_partkey % 7 <> 0") \
+        return self.table("lineitem") \
             .join(places, F.col("s_suppkey") == F.col("l_suppkey")).select(
                 F.col("l_partkey").alias("refers_to_object_id"),
                 (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("location_id"),
@@ -100,9 +99,8 @@ class Views:
                                   F.col("count_spots").alias("room_count_spots"))
         spots = self.spots.select(F.col("id").alias("spot_id"),
                                   F.col("count_objects").alias("spot_count_objects"))
-        located = lookup_join(self.visits, rooms, ["room_id"], ["location_id"], "inner")
-        return lookup_join(located, spots, ["spot_id"], ["location_id"], "inner",
-                           counted_on=self.visits)
+        located = lookup_join(self.visits, rooms, ["room_id"], "inner")
+        return lookup_join(located, spots, ["spot_id"], "inner")
 
     @cached_property
     def dated_visits(self) -> DataFrame:
@@ -131,22 +129,23 @@ class Views:
                             F.lpad((start + number % 20).cast("string"), 2, "0"))
 
         branded = part.select("p_brand").distinct().select(
-            number.alias("id"), day(1).alias("date_start"),
+            number.cast("string").alias("id"), day(1).alias("date_start"),
             F.when(F.col("p_brand") == "Brand#25", "0000-00-00").otherwise(day(11))
-            .alias("date_end"))
+            .alias("date_end"), number.alias("ordinal"))
         typed = part.filter(F.col("p_type").isin("PROMO", "STANDARD")).select("p_type") \
-            .distinct().select((F.length("p_type") + 100).alias("id"),
+            .distinct().select((F.length("p_type") + 100).cast("string").alias("id"),
                                F.lit("2024-01-05").alias("date_start"),
-                               F.lit("2024-01-25").alias("date_end"))
+                               F.lit("2024-01-25").alias("date_end"),
+                               (F.length("p_type") + 100).alias("ordinal"))
         return branded.unionByName(typed)
 
     @cached_property
     def exhibition_members(self) -> DataFrame:
         part = self.table("part")
         key = F.col("p_partkey").alias("object_id")
-        branded = part.select(F.substring("p_brand", 7, 9).cast("int").alias("exhibition_id"), key)
+        branded = part.select(F.substring("p_brand", 7, 9).alias("exhibition_id"), key)
         typed = part.filter(F.col("p_type").isin("PROMO", "STANDARD")) \
-            .select((F.length("p_type") + 100).alias("exhibition_id"), key)
+            .select((F.length("p_type") + 100).cast("string").alias("exhibition_id"), key)
         return branded.unionByName(typed)
 
     @cached_property
@@ -164,7 +163,7 @@ class Views:
         """Tags with time features and both flags."""
         return exhibitions.during_exhibition(
             self.timed, exhibitions.exhibitions_clean(self.exhibitions),
-            self.exhibition_members, counted_on=self.tags)
+            self.exhibition_members)
 
     @cached_property
     def located(self) -> DataFrame:
@@ -179,11 +178,8 @@ class Views:
     def modelled(self) -> DataFrame:
         """Located tags with burst counts: the input of the feature matrix, which reads it more
         than once, so it is kept as a stage snapshot."""
-        built = journeys.bursty_tags(self.located, journeys.burst_anomalies(self.tags),
-                                     counted_on=self.journey_keys)
-        path = scratch_path(self.spark, "located-tags")
-        write_snapshot(built, path)
-        return read_snapshot(self.spark, path)
+        return stored(journeys.bursty_tags(self.located, journeys.burst_anomalies(self.tags)),
+                      "located-tags")
 
     @cached_property
     def loctypes(self) -> DataFrame:
@@ -191,18 +187,12 @@ class Views:
 
     @cached_property
     def vertices(self) -> DataFrame:
-        return cut(graph.graph_vertices(self.tags, self.objects, self.departments))
+        return stored(graph.graph_vertices(self.tags, self.objects, self.departments), "vertices")
 
     @cached_property
     def edges(self) -> DataFrame:
         return graph.graph_edges(graph.all_edges(self.tags), self.vertices)
 
-    @cached_property
-    def blocked_edges(self) -> DataFrame:
-        """The event graph is dense and one community; its edges within ten classes of ids form
-        several."""
-        return self.edges.filter("src % 10 = dst % 10")
-
     @cached_property
     def baskets(self) -> DataFrame:
         """A larger tag log: order lines as tags of parts by customers, a minute apart."""
@@ -210,16 +200,15 @@ class Views:
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
         return lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
-            # Line numbers repeat within an order; the part tells such lines apart.
-            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000
-             + F.col("l_partkey")).alias("id"),
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
             F.lit(0).alias("tool_id"), F.col("o_custkey").cast("string").alias("bundle_id"),
             F.col("l_partkey").alias("refers_to_object_id"),
             (day.cast("long") * 86400 + F.col("l_linenumber") * 60).alias("created"))
 
     @cached_property
     def basket_vertices(self) -> DataFrame:
-        return cut(graph.graph_vertices(self.baskets, self.objects, self.departments))
+        return stored(graph.graph_vertices(self.baskets, self.objects, self.departments),
+                      "basket-vertices")
 
     @cached_property
     def basket_edges(self) -> DataFrame:

@@ -40,13 +40,13 @@ SELECT event_id AS id,
 FROM events""")
 
 _view("departments", """
-SELECT DISTINCT p_brand AS id, 'Dept ' || p_brand AS name FROM part WHERE p_brand <> 'Brand#1'""")
+SELECT DISTINCT p_brand AS id, 'Dept ' || p_brand AS name FROM part""")
 
 _view("objects", """
 SELECT p_partkey AS id, p_name AS title, CAST(1900 + p_size AS VARCHAR) AS date,
        p_brand AS department_id, p_type AS type, p_type AS type_id,
        CAST(p_size % 2 AS VARCHAR) AS is_loan_object
-FROM part WHERE p_partkey % 7 <> 0""")
+FROM part""")
 
 _view("visits", """
 SELECT l_partkey AS refers_to_object_id, l_orderkey * 10 + l_linenumber AS location_id,
@@ -58,8 +58,7 @@ SELECT l_partkey AS refers_to_object_id, l_orderkey * 10 + l_linenumber AS locat
          || ', Spot ' || CAST(s_suppkey AS VARCHAR) AS spot_name,
        s_name AS spot_description
 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
-     JOIN region ON r_regionkey = n_regionkey
-WHERE l_partkey % 7 <> 0""")
+     JOIN region ON r_regionkey = n_regionkey""")
 
 _view("rooms", """
 SELECT room_id AS id, room_name AS name, room_floor AS floor,
@@ -80,21 +79,23 @@ FROM visits v JOIN rooms r ON r.id = v.room_id JOIN spots s ON s.id = v.spot_id"
       "rooms", "spots")
 
 _view("exhibitions", """
-SELECT CAST(substr(p_brand, 7) AS INT) AS id,
+SELECT substr(p_brand, 7) AS id,
        '2024-01-' || lpad(CAST(1 + CAST(substr(p_brand, 7) AS INT) % 20 AS VARCHAR), 2, '0')
          AS date_start,
        CASE WHEN p_brand = 'Brand#25' THEN '0000-00-00'
             ELSE '2024-01-' || lpad(CAST(11 + CAST(substr(p_brand, 7) AS INT) % 20 AS VARCHAR), 2,
-                                    '0') END AS date_end
+                                    '0') END AS date_end,
+       CAST(substr(p_brand, 7) AS INT) AS ordinal
 FROM (SELECT DISTINCT p_brand FROM part)
 UNION ALL
-SELECT CAST(100 + length(p_type) AS INT), '2024-01-05', '2024-01-25'
+SELECT CAST(100 + length(p_type) AS VARCHAR), '2024-01-05', '2024-01-25',
+       CAST(100 + length(p_type) AS INT)
 FROM (SELECT DISTINCT p_type FROM part WHERE p_type IN ('PROMO', 'STANDARD'))""")
 
 _view("members", """
-SELECT CAST(substr(p_brand, 7) AS INT) AS exhibition_id, p_partkey AS object_id FROM part
+SELECT substr(p_brand, 7) AS exhibition_id, p_partkey AS object_id FROM part
 UNION ALL
-SELECT CAST(100 + length(p_type) AS INT), p_partkey FROM part
+SELECT CAST(100 + length(p_type) AS VARCHAR), p_partkey FROM part
 WHERE p_type IN ('PROMO', 'STANDARD')""")
 
 _view("clean", """
@@ -126,7 +127,7 @@ FROM timed t""", "timed")
 _view("last_span", """
 SELECT object_id, starts, ends
 FROM members JOIN clean ON clean.id = exhibition_id
-QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY clean.id DESC) = 1""",
+QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY clean.ordinal DESC) = 1""",
       "members", "clean")
 
 _view("featured", """
@@ -267,46 +268,53 @@ SELECT src, dst FROM pairs
 WHERE src IN (SELECT id FROM vertices WHERE meta_store = 1)
   AND dst IN (SELECT id FROM vertices WHERE meta_store = 1)""", "pairs", "vertices")
 
-_view("blocked", "SELECT src, dst FROM edges WHERE src % 10 = dst % 10", "edges")
-
 _view("baskets", """
-SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey AS id, CAST(o_custkey AS VARCHAR) AS bundle_id,
+SELECT l_orderkey * 10 + l_linenumber AS id, CAST(o_custkey AS VARCHAR) AS bundle_id,
        l_partkey AS refers_to_object_id,
        date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 86400
          + l_linenumber * 60 AS created
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 
 _view("basket_vertices", """
-SELECT t.id, coalesce(o.type, '') AS type, CASE WHEN o.id IS NULL THEN 0 ELSE 1 END AS meta_store
-FROM (SELECT DISTINCT refers_to_object_id AS id FROM baskets) t LEFT JOIN objects o ON o.id = t.id
-""", "baskets", "objects")
+SELECT t.id, coalesce(o.title, '') AS title, coalesce(o.date, '') AS date,
+       coalesce(d.name, '') AS department, coalesce(d.id, '') AS department_id,
+       coalesce(o.type, '') AS type, coalesce(o.type_id, '') AS type_id,
+       coalesce(o.is_loan_object, '') AS loan,
+       CASE WHEN o.id IS NULL THEN 0 ELSE 1 END AS meta_store
+FROM (SELECT DISTINCT refers_to_object_id AS id FROM baskets) t
+LEFT JOIN objects o ON o.id = t.id LEFT JOIN departments d ON d.id = o.department_id""",
+      "baskets", "objects", "departments")
 
 _view("basket_edges", """
 SELECT DISTINCT src, dst FROM (
   SELECT object_id AS src,
          lead(object_id) OVER (PARTITION BY bundle_id, local_day ORDER BY created) AS dst
-  FROM (SELECT bundle_id, created, arg_max(refers_to_object_id, id) AS object_id,
+  FROM (SELECT bundle_id, created,
+               max(struct_pack(i := id, o := refers_to_object_id)).o AS object_id,
                CAST(timezone('US/Eastern', timezone('UTC', make_timestamp(created * 1000000)))
                     AS DATE) AS local_day
         FROM baskets WHERE refers_to_object_id <> 0 GROUP BY ALL))
-WHERE dst IS NOT NULL AND src % 7 <> 0 AND dst % 7 <> 0""", "baskets")
+WHERE src IN (SELECT id FROM basket_vertices WHERE meta_store = 1)
+  AND dst IN (SELECT id FROM basket_vertices WHERE meta_store = 1)""", "baskets",
+      "basket_vertices")
 
 
-def pagerank_views(vertices: str, edges: str, rounds: int, name: str = "ranks") -> str:
-    """CTE text of the fixed-round PageRank of a graph."""
+def pagerank_views(vertices: str, edges: str, tol: float, name: str = "ranks") -> str:
+    """CTE text of the PageRank of a graph, run until no rank moves by more than ``tol``."""
     return f"""
 out_degree AS (SELECT src, count(*) AS d FROM {edges} GROUP BY 1),
-rank_steps(step, id, pagerank) AS (
-  SELECT 0, id, CAST(1.0 AS DOUBLE) FROM {vertices}
+rank_steps(step, id, pagerank, moved) AS (
+  SELECT 0, id, CAST(1.0 AS DOUBLE), CAST(1e9 AS DOUBLE) FROM {vertices}
   UNION ALL
-  SELECT s.step + 1, v.id, 0.15 + 0.85 * coalesce(g.got, 0)
-  FROM {vertices} v
-  JOIN (SELECT max(step) AS step FROM rank_steps) s ON s.step < {rounds}
+  SELECT s.step + 1, p.id, 0.15 + 0.85 * coalesce(g.got, 0),
+         abs(0.15 + 0.85 * coalesce(g.got, 0) - p.pagerank)
+  FROM rank_steps p
+  JOIN (SELECT max(step) AS step, max(moved) AS moved FROM rank_steps) s ON s.moved > {tol}
   LEFT JOIN (SELECT e.dst, sum(r.pagerank / o.d) AS got
              FROM rank_steps r JOIN out_degree o ON o.src = r.id JOIN {edges} e ON e.src = r.id
-             GROUP BY 1) g ON g.dst = v.id),
+             GROUP BY 1) g ON g.dst = p.id),
 {name} AS (SELECT v.*, r.pagerank FROM rank_steps r JOIN {vertices} v ON v.id = r.id
-           WHERE r.step = {rounds})"""
+           WHERE r.step = (SELECT max(step) FROM rank_steps))"""
 
 
 def propagation_views(vertices: str, edges: str, rounds: int, name: str = "communities") -> str:

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schemas
 from ..functions import binning, frames, labels
 from ..operators import (clustering, communities, components, exhibitions, features, graph,
                          journeys, locations, ranking, similarity, statistics, summaries, times)
-from ..scale.durable import cut, scratch_path
+from ..scale.durable import scratch_path, stored
 from ..sources import dumps, files, store
 from .model_views import Views
 from .oracle import pagerank_views, propagation_views, with_views
@@ -20,8 +21,8 @@ from .oracle import pagerank_views, propagation_views, with_views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-PAGERANK_ROUNDS = 10
-LABEL_ROUNDS = 8
+PAGERANK_TOL = 0.01
+LABEL_ROUNDS = 50
 DIMENSIONS = 64
 E_COLUMNS = [f"e{i}" for i in range(DIMENSIONS)]
 SAMPLE_ROWS = 10_000
@@ -73,23 +74,31 @@ def tag_log_csv(v: Views) -> DataFrame:
 
 @query("tag_snapshot", TAG_ROWS)
 def tag_snapshot(v: Views) -> DataFrame:
+    """Built and written by the first call, loaded by the second, which must not build."""
     path = scratch_path(v.spark, "tags-snapshot")
-    return files.load_or_build(v.spark, {"tags": path}, lambda: {"tags": v.tags})["tags"]
-
-
-def _object_pages(v: Views, per_page: int = 500) -> str:
-    """Catalogue dump: one JSON file per page of records, with the declared totals."""
-    path = scratch_path(v.spark, "object-pages")
-    total = v.objects.count()
-    pages = -(-total // per_page)
-    page = F.pmod(F.xxhash64("id"), F.lit(pages)).alias("page")
-    listed = v.objects.groupBy(page).agg(F.collect_list(F.struct(*v.objects.columns))
-                                         .alias("objects"))
-    listed.withColumns({"total": F.lit(total), "pages": F.lit(pages), "stat": F.lit("ok")}) \
-        .write.partitionBy("page").json(path)
+    files.load_or_build(v.spark, {"tags": path}, lambda: {"tags": v.tags})
+    return files.load_or_build(v.spark, {"tags": path}, lambda: {})["tags"]
+
+
+def _pages(v: Views, records: DataFrame, field: str, key: str = "id", per_page: int = 500) -> str:
+    """A dump of records: JSON lines, a page of about ``per_page`` records on each, with the
+    declared total; many pages to a file. A dot in ``field`` makes the list a field of a struct."""
+    path = scratch_path(v.spark, field.replace(".", "-"))
+    total = records.count()
+    page = F.pmod(F.xxhash64(key), F.lit(max(1, -(-total // per_page)))).alias("page")
+    outer, _, inner = field.partition(".")
+    listed = F.collect_list(F.struct(*records.columns)).alias(inner or outer)
+    pages = records.groupBy(page).agg(listed)
+    files.write_json(pages.select(
+        F.struct(inner).alias(outer) if inner else F.col(outer), F.lit(total).alias("total"),
+        F.lit("ok").alias("stat")), path)
     return path
 
 
+def _object_pages(v: Views) -> str:
+    return _pages(v, v.objects, "objects")
+
+
 @query("object_pages", with_views("objects", sql="SELECT * FROM objects"))
 def object_pages(v: Views) -> DataFrame:
     return dumps.site_objects(v.spark, _object_pages(v)).select(*v.objects.columns)
@@ -98,7 +107,87 @@ def object_pages(v: Views) -> DataFrame:
 @query("page_completeness", with_views("objects", sql="""
 SELECT count(*) AS found, count(*) AS total, true AS complete FROM objects"""))
 def page_completeness(v: Views) -> DataFrame:
-    return dumps.page_completeness(v.spark, _object_pages(v), "objects")
+    return dumps.page_completeness(v.spark, _object_pages(v), "objects", schemas.OBJECT_PAGES)
+
+
+@query("site_summary", with_views("rooms", "spots", "objects", sql="""
+SELECT '1' AS id, 'Site' AS name, (SELECT count(*) FROM objects) AS count_objects,
+       (SELECT count(*) FROM rooms) AS count_rooms, (SELECT count(*) FROM spots) AS count_spots"""))
+def site_summary(v: Views) -> DataFrame:
+    def size(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias(name))
+    figures = size(v.objects, "count_objects").join(size(v.rooms, "count_rooms")) \
+        .join(size(v.spots, "count_spots"))
+    site = figures.select(F.lit("1").alias("id"), F.lit("Site").alias("name"), "*")
+    return dumps.site_summary(v.spark, _pages(v, site, "sites.site"))
+
+
+@query("site_departments", with_views("departments", sql="SELECT id, name FROM departments"))
+def site_departments(v: Views) -> DataFrame:
+    return dumps.site_departments(v.spark, _pages(v, v.departments, "departments"))
+
+
+@query("site_exhibitions", with_views("exhibitions", sql="""
+SELECT id, 'Exhibition ' || id AS title, date_start, date_end FROM exhibitions"""))
+def site_exhibitions(v: Views) -> DataFrame:
+    listed = v.exhibitions.select("id", F.concat(F.lit("Exhibition "), "id").alias("title"),
+                                  "date_start", "date_end")
+    return dumps.site_exhibitions(v.spark, _pages(v, listed, "exhibitions"))
+
+
+@query("site_rooms", with_views("rooms", sql="""
+SELECT CAST(id AS VARCHAR) AS id, name, CAST(floor AS BIGINT) AS floor, count_objects, count_spots
+FROM rooms"""))
+def site_rooms(v: Views) -> DataFrame:
+    return dumps.site_rooms(v.spark, _pages(v, v.rooms, "rooms.room"))
+
+
+@query("site_spots", with_views("spots", "visits", sql="""
+SELECT CAST(s.id AS VARCHAR) AS id, s.name, s.description, CAST(r.room_id AS VARCHAR) AS room_id,
+       s.count_objects
+FROM spots s JOIN (SELECT DISTINCT spot_id, room_id FROM visits) r ON r.spot_id = s.id"""))
+def site_spots(v: Views) -> DataFrame:
+    rooms = v.visits.select(F.col("spot_id").alias("id"), "room_id").distinct()
+    return dumps.site_spots(v.spark, _pages(v, v.spots.join(rooms, "id"), "spots.spot"))
+
+
+@query("site_types", with_views("objects", sql="""
+SELECT DISTINCT type_id AS id, type AS name FROM objects"""))
+def site_types(v: Views) -> DataFrame:
+    types = v.objects.select(F.col("type_id").alias("id"), F.col("type").alias("name")).distinct()
+    return dumps.site_types(v.spark, _pages(v, types, "types"))
+
+
+@query("exhibition_pages", with_views("members", sql="""
+SELECT CAST(exhibition_id AS VARCHAR) AS exhibition_id, object_id FROM members"""))
+def exhibition_pages(v: Views) -> DataFrame:
+    path = scratch_path(v.spark, "exhibition-pages")
+    files.write_json(_member_documents(v).withColumnRenamed("_id", "exhibition_id"), path)
+    return exhibitions.exhibition_objects(dumps.exhibition_documents(v.spark, path))
+
+
+@query("json_records", with_views("objects", sql="SELECT * FROM objects"))
+def json_records(v: Views) -> DataFrame:
+    path = scratch_path(v.spark, "objects-json")
+    files.write_json(v.objects, path)
+    return files.read_json(v.spark, path, v.objects.schema)
+
+
+@query("objects_tsv", with_views("objects", sql="SELECT * FROM objects"))
+def objects_tsv(v: Views) -> DataFrame:
+    path = scratch_path(v.spark, "objects-tsv")
+    files.write_tsv(v.objects, path)
+    return files.read_tsv(v.spark, path, v.objects.schema)
+
+
+@query("tag_log_reordered", with_views("tags", sql="""
+SELECT id, CAST(tool_id AS BIGINT) AS tool_id, bundle_id, refers_to_object_id, created FROM tags
+"""))
+def tag_log_reordered(v: Views) -> DataFrame:
+    path = scratch_path(v.spark, "tags-reordered")
+    files.write_csv(v.tags.select("created", F.lit("x").alias("note"), "bundle_id",
+                                  "refers_to_object_id", "id", "tool_id"), path)
+    return files.read_tag_log(v.spark, path)
 
 
 def _member_documents(v: Views) -> DataFrame:
@@ -119,7 +208,7 @@ def exhibition_objects(v: Views) -> DataFrame:
 
 
 @query("exhibition_document", with_views("members", sql="""
-SELECT '105' AS _id, object_id FROM members WHERE exhibition_id = 105"""))
+SELECT '105' AS _id, object_id FROM members WHERE exhibition_id = '105'"""))
 def exhibition_document(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "exhibition-documents")
     store.replace_documents(_member_documents(v), path)
@@ -179,7 +268,7 @@ def flat_samples(v: Views) -> DataFrame:
 
 
 @query("exhibitions_clean", with_views("clean", sql="""
-SELECT id, date_start, date_end, strftime(starts, '%Y-%m-%d') AS created_date_start,
+SELECT id, ordinal, date_start, date_end, strftime(starts, '%Y-%m-%d') AS created_date_start,
        strftime(ends, '%Y-%m-%d') AS created_date_end,
        date_diff('day', starts, ends) AS created_time_span FROM clean"""))
 def exhibitions_clean(v: Views) -> DataFrame:
@@ -241,8 +330,7 @@ def burst_anomalies(v: Views) -> DataFrame:
 
 
 def _bursty(v: Views) -> DataFrame:
-    return journeys.bursty_tags(v.timed, journeys.burst_anomalies(v.tags),
-                                counted_on=v.journey_keys)
+    return journeys.bursty_tags(v.timed, journeys.burst_anomalies(v.tags))
 
 
 @query("bursty_tags", with_views("bursty", sql="""
@@ -398,12 +486,10 @@ SELECT CASE metric WHEN 'n_tags' THEN '# tags'
          WHEN 'n_visitor_objects_tagged' THEN '# visitor artworks created tags'
          WHEN 'n_during_exhibition_tags' THEN '# exhibition tags'
          WHEN 'n_afterhrs_tags' THEN '# after hours tags'
-         WHEN 'n_tags_via_bursty' THEN '# tags via bursty visitors' END AS shown, value
+         WHEN 'n_tags_via_bursty' THEN '# tags via bursty visitors' END AS metric, value
 FROM (SELECT metric, value FROM metrics UNION ALL SELECT metric, value FROM burst_metrics)
-WHERE shown IS NOT NULL""").replace("AS shown, value", "AS metric, value").replace(
-    "WHERE shown IS NOT NULL", "WHERE metric IN ('n_tags', 'n_wall_objects_tagged', "
-    "'n_visitor_objects_tagged', 'n_during_exhibition_tags', 'n_afterhrs_tags', "
-    "'n_tags_via_bursty')"))
+WHERE metric IN ('n_tags', 'n_wall_objects_tagged', 'n_visitor_objects_tagged',
+                 'n_during_exhibition_tags', 'n_afterhrs_tags', 'n_tags_via_bursty')"""))
 def displayed_metrics(v: Views) -> DataFrame:
     bursts = journeys.burst_anomalies(v.tags)
     found = summaries.tag_metrics(v.featured, v.objects).unionByName(
@@ -563,7 +649,7 @@ def graph_counts(v: Views) -> DataFrame:
     return graph.graph_counts(v.vertices, v.edges)
 
 
-RANKS = pagerank_views("vertices", "edges", PAGERANK_ROUNDS)
+RANKS = pagerank_views("vertices", "edges", PAGERANK_TOL)
 
 
 def _ranked_sql(sql: str, *views: str) -> str:
@@ -571,7 +657,7 @@ def _ranked_sql(sql: str, *views: str) -> str:
 
 
 def _ranks(v: Views) -> DataFrame:
-    return ranking.pagerank(v.vertices, v.edges, iterations=PAGERANK_ROUNDS)
+    return ranking.pagerank(v.vertices, v.edges, tol=PAGERANK_TOL)
 
 
 @query("pagerank", _ranked_sql("SELECT * REPLACE (round(pagerank, 6) AS pagerank) FROM ranks"))
@@ -580,33 +666,36 @@ def pagerank(v: Views) -> DataFrame:
 
 
 @query("pagerank_converged", with_views(
-    "vertices", "edges", sql=f"WITH {pagerank_views('vertices', 'edges', 60)}\n"
-    "SELECT id, round(pagerank, 2) AS pagerank FROM ranks"))
+    "vertices", "edges", sql=f"WITH {pagerank_views('vertices', 'edges', 1e-5)}\n"
+    "SELECT id, round(pagerank, 6) AS pagerank FROM ranks"))
 def pagerank_converged(v: Views) -> DataFrame:
-    found = ranking.pagerank(v.vertices, v.edges, tol=1e-5)
-    return found.select("id", F.round("pagerank", 2).alias("pagerank"))
+    return ranking.pagerank(v.vertices, v.edges, tol=1e-5).select("id", "pagerank")
 
 
-@query("pagerank_normalized", with_views("pairs", sql=f"""
+@query("pagerank_normalized", with_views("pairs", sql="""
 WITH ends AS (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs),
 size AS (SELECT count(*) AS n FROM ends),
 out_degree AS (SELECT src, count(*) AS d FROM pairs GROUP BY 1),
-rank_steps(step, id, pagerank) AS (
-  SELECT 0, id, 1.0 / n FROM ends, size
+rank_steps(step, id, pagerank, moved) AS (
+  SELECT 0, id, 1.0 / n, CAST(1 AS DOUBLE) FROM ends, size
   UNION ALL
-  SELECT s.step + 1, v.id, 0.15 / n + 0.85 * (coalesce(g.got, 0) + coalesce(s.loose, 0) / n)
-  FROM ends v CROSS JOIN size
-  JOIN (SELECT max(step) AS step, sum(CASE WHEN o.src IS NULL THEN pagerank END) AS loose
-        FROM rank_steps r LEFT JOIN out_degree o ON o.src = r.id) s ON s.step < {PAGERANK_ROUNDS}
+  SELECT s.step + 1, v.id, 0.15 / n + 0.85 * (coalesce(g.got, 0) + coalesce(s.loose, 0) / n),
+         abs(0.15 / n + 0.85 * (coalesce(g.got, 0) + coalesce(s.loose, 0) / n) - v.pagerank)
+  FROM rank_steps v CROSS JOIN size
+  JOIN (SELECT max(step) AS step, sum(CASE WHEN o.src IS NULL THEN pagerank END) AS loose,
+               sum(moved) AS moved
+        FROM rank_steps r LEFT JOIN out_degree o ON o.src = r.id) s ON s.moved >= n * 1e-6
   LEFT JOIN (SELECT e.dst, sum(r.pagerank / o.d) AS got
              FROM rank_steps r JOIN out_degree o ON o.src = r.id JOIN pairs e ON e.src = r.id
              GROUP BY 1) g ON g.dst = v.id)
-SELECT id, round(pagerank, 6) AS pagerank FROM rank_steps WHERE step = {PAGERANK_ROUNDS}"""))
+SELECT id, round(pagerank, 6) AS pagerank FROM rank_steps
+WHERE step = (SELECT max(step) FROM rank_steps)"""))
 def pagerank_normalized(v: Views) -> DataFrame:
-    return ranking.pagerank_normalized(cut(graph.all_edges(v.tags)), iterations=PAGERANK_ROUNDS)
+    return ranking.pagerank_normalized(stored(graph.all_edges(v.tags)))
 
 
 TOP = "(SELECT * FROM ranks ORDER BY round(pagerank, 9) DESC, id LIMIT 10)"
+HITS = f"(SELECT c.* FROM calendar c JOIN {TOP} t ON t.id = c.refers_to_object_id)"
 BOTTOM = "(SELECT * FROM ranks ORDER BY round(pagerank, 9), id DESC LIMIT 10)"
 
 
@@ -658,16 +747,16 @@ def influence_report_bottom(v: Views) -> DataFrame:
 
 @query("influence_activity", _ranked_sql(f"""
 SELECT period, position, n_tags,
-  CASE period WHEN 'month' THEN substr('JanFebMarAprMayJunJulAugSepOctNovDec', position * 3 - 2, 3)
+  CASE period WHEN 'month' THEN ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep',
+                                 'Oct', 'Nov', 'Dec'][position]
     WHEN 'dow' THEN ['Mon', 'Tues', 'Wed', 'Thurs', 'Fri', 'Sat', 'Sun'][position + 1]
     WHEN 'hour' THEN CASE WHEN position > 12 THEN CAST(position - 12 AS VARCHAR) || 'pm'
       WHEN position = 12 THEN '12pm' ELSE CAST(position AS VARCHAR) || 'am' END END AS label
 FROM (
-  SELECT 'month' AS period, month AS position, count(*) AS n_tags FROM hits GROUP BY 2
-  UNION ALL SELECT 'dow', dow, count(*) FROM hits GROUP BY 2
-  UNION ALL SELECT 'hour', hour, count(*) FROM hits WHERE hour BETWEEN 10 AND 21 GROUP BY 2)
-""".replace("FROM hits", f"FROM (SELECT c.* FROM calendar c JOIN {TOP} t "
-            "ON t.id = c.refers_to_object_id)"), "calendar"))
+  SELECT 'month' AS period, month AS position, count(*) AS n_tags FROM {HITS} GROUP BY 2
+  UNION ALL SELECT 'dow', dow, count(*) FROM {HITS} GROUP BY 2
+  UNION ALL SELECT 'hour', hour, count(*) FROM {HITS} WHERE hour BETWEEN 10 AND 21 GROUP BY 2)
+""", "calendar"))
 def influence_activity(v: Views) -> DataFrame:
     return ranking.influence_activity(ranking.influential_tags(_ranks(v), v.timed))
 
@@ -697,18 +786,18 @@ def transition_types_out(v: Views) -> DataFrame:
     return _transitions(v, "out")
 
 
-LABELS = propagation_views("vertices", "blocked", LABEL_ROUNDS)
+LABELS = propagation_views("basket_vertices", "basket_edges", LABEL_ROUNDS)
 MAJOR = """
 major AS (SELECT id, department, type, loan, label FROM communities WHERE label IN (
   SELECT label FROM communities GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 5))"""
 
 
-def _labelled_sql(sql: str, *views: str) -> str:
-    return with_views("vertices", "blocked", *views, sql=f"WITH {LABELS},\n{MAJOR}\n{sql}")
+def _labelled_sql(sql: str, *views: str, grid: str = "") -> str:
+    return with_views("basket_vertices", "basket_edges", *views, sql=f"WITH {LABELS},\n{MAJOR}{grid}\n{sql}")
 
 
 def _communities(v: Views) -> DataFrame:
-    return communities.label_propagation(v.vertices, v.blocked_edges,
+    return communities.label_propagation(v.basket_vertices, v.basket_edges,
                                          max_iter=LABEL_ROUNDS)
 
 
@@ -762,23 +851,24 @@ def cluster_rooms(v: Views) -> DataFrame:
 SELECT label, a, b, CASE WHEN isfinite(c) THEN round(c, 6) + 0.0 END AS corr FROM (
   SELECT x.label, x.level AS a, y.level AS b, corr(x.has, y.has) AS c
   FROM grid x JOIN grid y ON y.label = x.label AND y.id = x.id GROUP BY 1, 2, 3)
-""".replace("grid", """(
+""", grid=""",
+grid AS (
   SELECT m.label, m.id, k.level,
          CASE WHEN k.level IN ('dept_' || m.department, 'type_' || m.type)
               THEN 1.0 ELSE 0.0 END AS has
   FROM major m JOIN (SELECT DISTINCT label, unnest(['dept_' || department, 'type_' || type])
-                       AS level FROM major) k ON k.label = m.label)""")))
+                       AS level FROM major) k ON k.label = m.label)"""))
 def cluster_type_correlation(v: Views) -> DataFrame:
     return communities.cluster_type_correlation(_majority(v))
 
 
 @query("community_subgraph", _labelled_sql("""
 SELECT src, dst FROM (
-  SELECT src, dst, count(*) OVER (PARTITION BY src) AS n FROM edges
+  SELECT src, dst, count(*) OVER (PARTITION BY src) AS n FROM basket_edges
   WHERE src IN (SELECT id FROM major) OR dst IN (SELECT id FROM major))
 WHERE n <= 15"""))
 def community_subgraph(v: Views) -> DataFrame:
-    return communities.community_subgraph(v.edges, cut(_majority(v)))
+    return communities.community_subgraph(v.basket_edges, _majority(v))
 
 
 @query("community_vertices", _labelled_sql("SELECT id, type, label FROM major"))
@@ -799,32 +889,32 @@ WITH places AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS index
 SELECT a.index AS src, b.index AS dst
 FROM edges e JOIN places a ON a.id = e.src JOIN places b ON b.id = e.dst"""))
 def reindexed_edges(v: Views) -> DataFrame:
-    edges = cut(v.edges)
+    edges = stored(v.edges)
     return graph.reindexed_edges(edges, graph.vertex_reindex(edges))
 
 
 REACH = """
-WITH near AS (SELECT src, dst FROM blocked{back}),
-reach AS (SELECT id AS a, id AS b FROM vertices UNION
+WITH near AS (SELECT src, dst FROM basket_edges{back}),
+reach AS (SELECT id AS a, id AS b FROM basket_vertices UNION
           SELECT r.a, n.dst FROM reach r JOIN near n ON n.src = r.b)"""
 
 
-@query("connected_components", with_views("vertices", "blocked", sql=REACH.format(
-    back=" UNION ALL SELECT dst, src FROM blocked") + """
+@query("connected_components", with_views("basket_vertices", "basket_edges", sql=REACH.format(
+    back=" UNION ALL SELECT dst, src FROM basket_edges") + """
 SELECT v.id, v.title, v.type, v.department, c.component
-FROM vertices v JOIN (SELECT a, min(b) AS component FROM reach GROUP BY 1) c ON c.a = v.id"""))
+FROM basket_vertices v JOIN (SELECT a, min(b) AS component FROM reach GROUP BY 1) c ON c.a = v.id"""))
 def connected_components(v: Views) -> DataFrame:
-    return components.connected_components(v.vertices, v.blocked_edges) \
+    return components.connected_components(v.basket_vertices, v.basket_edges) \
         .select("id", "title", "type", "department", "component")
 
 
-@query("strongly_connected_components", with_views("vertices", "blocked", sql=REACH.format(
+@query("strongly_connected_components", with_views("basket_vertices", "basket_edges", sql=REACH.format(
     back="") + """
 SELECT v.id, v.title, v.type, v.department, c.component
-FROM vertices v JOIN (SELECT x.a, min(x.b) AS component
+FROM basket_vertices v JOIN (SELECT x.a, min(x.b) AS component
   FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY 1) c ON c.a = v.id"""))
 def strongly_connected_components(v: Views) -> DataFrame:
-    return components.strongly_connected_components(v.vertices, cut(v.blocked_edges)) \
+    return components.strongly_connected_components(v.basket_vertices, v.basket_edges) \
         .select("id", "title", "type", "department", "component")
 
 
@@ -851,14 +941,14 @@ def basket_edges(v: Views) -> DataFrame:
     return v.basket_edges
 
 
-BASKET_RANKS = pagerank_views("basket_vertices", "basket_edges", PAGERANK_ROUNDS)
+BASKET_RANKS = pagerank_views("basket_vertices", "basket_edges", PAGERANK_TOL)
 
 
 @query("basket_pagerank", with_views(
     "basket_vertices", "basket_edges",
     sql=f"WITH {BASKET_RANKS}\nSELECT id, type, round(pagerank, 6) AS pagerank FROM ranks"))
 def basket_pagerank(v: Views) -> DataFrame:
-    return ranking.pagerank(v.basket_vertices, v.basket_edges, iterations=PAGERANK_ROUNDS) \
+    return ranking.pagerank(v.basket_vertices, v.basket_edges, tol=PAGERANK_TOL) \
         .select("id", "type", "pagerank")
 
 
@@ -989,13 +1079,11 @@ def target_correlation_vectors(v: Views) -> DataFrame:
 @query("cluster_target_correlation", LONG + """
 SELECT * FROM (
   SELECT a.cluster,
-         count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM embeddings) AS share,
+         round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM embeddings), 6) AS share,
          'e' || CAST(a.i AS VARCHAR) AS feature, round(corr(a.x, t.x), 6) AS corr
   FROM long a JOIN long t ON t.vec_id = a.vec_id AND t.i = 0 GROUP BY a.cluster, a.i
   QUALIFY row_number() OVER (PARTITION BY a.cluster
-    ORDER BY round(corr(a.x, t.x), 9) DESC, 'e' || CAST(a.i AS VARCHAR)) <= 10)""".replace(
-    "count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM embeddings) AS share",
-    "round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM embeddings), 6) AS share"))
+    ORDER BY round(corr(a.x, t.x), 9) DESC, 'e' || CAST(a.i AS VARCHAR)) <= 10)""")
 def cluster_target_correlation(v: Views) -> DataFrame:
     return statistics.cluster_target_correlation(_wide(v), "e0", E_COLUMNS)
 

@@ -1,112 +1,20 @@
 """Joins of a large table to a lookup with unique keys, at any size of either.
 
-The lookup is materialised and measured first. If it is small it is broadcast, and the large table
-is not shuffled at all. Otherwise the join shuffles, and keys that hold a large share of all rows
-are split: a key outside the ``MAX_HOT`` most frequent ones holds at most ``1/MAX_HOT`` of the rows
-and never makes a task large against the whole; the frequent ones are found by a count on the key
-columns (pre-aggregated, so the count itself has no hot task). Rows of a key over
-``rows_per_split`` rows carry a split number spread by a hash, and its lookup row is copied once
-per split. The hot-key list has at most ``MAX_HOT`` rows.
+The plan is left to Spark: a lookup whose size, as the shuffle wrote it, is under
+``spark.sql.adaptive.autoBroadcastJoinThreshold`` is sent to all tasks; otherwise the join shuffles,
+and adaptive execution splits partitions of the large side that a frequent key has made too big,
+however many such keys there are. The join therefore has to be the first thing that asks for the
+rows of a key together; operators that aggregate by the key do so before or after, not on top.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql import DataFrame
 
-from .durable import cut
 
-MAX_HOT = 1000
-MAX_SPLITS = 100_000
-
-
-@dataclass(frozen=True)
-class Limits:
-    """Rows of one key that a task takes without a split, and the measured size up to which a
-    lookup is broadcast."""
-
-    rows_per_split: int = 2_000_000
-    broadcast_bytes: int = 64 * 2 ** 20
-
-
-
-SPLITS = "_splits"
-SPLIT = "_split"
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], limits: Limits = Limits(),
-             total: int | None = None) -> DataFrame | None:
-    """Keys worth splitting with their number of splits, or None when there are none. ``total``
-    is the number of rows, where it is known: a table that fits one split needs no count."""
-    rows_per_split = limits.rows_per_split
-    if total is not None and total <= rows_per_split:
-        return None
-    counts = (df.groupBy(*keys).agg(F.expr("count(1) AS n"))
-              .filter(f"n > {rows_per_split}")
-              .orderBy(F.desc("n"), *keys).limit(MAX_HOT))
-    rows = counts.collect()  # at most MAX_HOT rows
-    if not rows:
-        return None
-    schema = StructType([f for f in counts.schema.fields if f.name != "n"]
-                        + [StructField(SPLITS, IntegerType(), False)])
-    local = [tuple(r[k] for k in keys) + (min(MAX_SPLITS, -(-r["n"] // rows_per_split)),)
-             for r in rows]
-    return df.sparkSession.createDataFrame(local, schema)
-
-
-def _splits_of(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    marked = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], SPLITS)
-    same: Column = reduce(lambda a, b: a & b,
-                          [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    return (df.join(F.broadcast(marked), same, "left")
-            .drop(*[f"_hot_{k}" for k in keys])
-            .withColumn(SPLITS, F.coalesce(F.col(SPLITS), F.lit(1))))
-
-
-def split_rows(df: DataFrame, keys: Sequence[str], hot: DataFrame,
-               spread_by: Sequence[str]) -> DataFrame:
-    """Give each row of the large side its split number. ``spread_by`` names columns that differ
-    between rows of one key; a hash of them stays the same when a task is run again."""
-    return (_splits_of(df, keys, hot)
-            .withColumn(SPLIT, F.pmod(F.xxhash64(*spread_by), F.col(SPLITS)).cast("int"))
-            .drop(SPLITS))
-
-
-def copy_rows(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    """Copy each hot lookup row once per split."""
-    return (_splits_of(df, keys, hot)
-            .withColumn(SPLIT, F.explode(F.sequence(F.lit(0), F.col(SPLITS) - 1)))
-            .drop(SPLITS))
-
-
-def text_bytes(df: DataFrame) -> int:
-    """Size of all rows written out as text; for a lookup of flat columns a fair measure of
-    what a broadcast would hold."""
-    row = df.agg(F.sum(F.octet_length(F.struct(*df.columns).cast("string"))).alias("b")).first()
-    return row["b"] or 0
-
-
-def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
-                how: str = "left", counted_on: DataFrame | None = None,
-                limits: Limits = Limits(), total: int | None = None,
-                kept: bool = False) -> DataFrame:
-    """Join ``big`` to ``lookup`` (at most one row per key) on ``keys``.
-
-    ``counted_on`` may name a cheaper table with the same key frequencies, when ``big`` is the
-    result of earlier joins; ``total`` the number of its rows; ``kept`` says that ``lookup``
-    reads what a lineage cut has stored."""
-    keys = list(keys)
-    lookup = lookup if kept else cut(lookup)
-    if text_bytes(lookup) <= limits.broadcast_bytes:
-        return big.join(F.broadcast(lookup), keys, how)
-    hot = hot_keys(big if counted_on is None else counted_on, keys, limits, total)
-    if hot is None:
-        return big.join(lookup, keys, how)
-    return (split_rows(big, keys, hot, spread_by)
-            .join(copy_rows(lookup, keys, hot), keys + [SPLIT], how)
-            .drop(SPLIT))
+def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str],
+                how: str = "left") -> DataFrame:
+    """Join ``big`` to ``lookup`` (at most one row per key) on ``keys``."""
+    return big.join(lookup, list(keys), how)

@@ -1,7 +1,6 @@
 """Explicit schemas, so that no text source is scanned twice to infer one."""
 
-from pyspark.sql.types import (ArrayType, IntegerType, LongType, StringType, StructField,
-                               StructType)
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 
 def _fields(**types):
@@ -11,23 +10,41 @@ def _fields(**types):
 TAGS = _fields(id=LongType, tool_id=LongType, bundle_id=StringType,
                refers_to_object_id=LongType, created=LongType)
 
-SAMPLES = _fields(id=IntegerType, tool_id=IntegerType, bundle_id=StringType,
-                  refers_to_object_id=IntegerType, created=IntegerType, month=IntegerType,
-                  year=IntegerType, day=IntegerType, dow=IntegerType, week=IntegerType,
-                  weekend=IntegerType, hour=IntegerType, quarter=IntegerType,
-                  tagged_after_close=IntegerType, during_exhibition=IntegerType,
-                  visitor_drawn=IntegerType)
+EDGES = _fields(src=LongType, dst=LongType)
 
-VERTICES = _fields(id=LongType, title=StringType, date=StringType, department=StringType,
-                   department_id=StringType, type=StringType, type_id=StringType,
-                   loan=StringType, meta_store=IntegerType)
 
-EDGES = _fields(src=LongType, dst=LongType)
 
-EXHIBITION_DOCS = StructType([
-    StructField("_id", StringType(), True),
-    StructField("objects", ArrayType(_fields(id=LongType)), True),
-])
+def _list(**types):
+    return ArrayType(_fields(**types))
+
+
+def _pages(**lists):
+    """A page: its lists of records, and the figures it declares."""
+    return StructType([*[StructField(n, t, True) for n, t in lists.items()],
+                       *_fields(total=StringType, stat=StringType)])
+
+
+# Fields of the dumped records. Numbers may be written as text and are read so.
+_SITE = dict(id=StringType, name=StringType, count_objects=StringType, count_rooms=StringType,
+             count_spots=StringType)
+_ROOM = dict(id=StringType, name=StringType, floor=StringType, count_objects=StringType,
+             count_spots=StringType)
+_SPOT = dict(id=StringType, name=StringType, description=StringType, room_id=StringType,
+             count_objects=StringType)
+_NAMED = dict(id=StringType, name=StringType)
+
+SITE_PAGES = _pages(sites=StructType([StructField("site", _list(**_SITE))]))
+ROOM_PAGES = _pages(rooms=StructType([StructField("room", _list(**_ROOM))]))
+SPOT_PAGES = _pages(spots=StructType([StructField("spot", _list(**_SPOT))]))
+DEPARTMENT_PAGES = _pages(departments=_list(**_NAMED))
+TYPE_PAGES = _pages(types=_list(**_NAMED))
+EXHIBITION_PAGES = _pages(exhibitions=_list(id=StringType, title=StringType, date_start=StringType,
+                                            date_end=StringType))
+OBJECT_PAGES = _pages(objects=_list(
+    id=StringType, title=StringType, date=StringType, department_id=StringType, type=StringType,
+    type_id=StringType, is_loan_object=StringType))
+MEMBER_PAGES = StructType([StructField("exhibition_id", StringType()),
+                           StructField("objects", _list(id=StringType))])
 
 # Attributes a location row hands to the tags it is attached to.
 LOCATION_COLUMNS = ["room_floor", "room_id", "room_name", "spot_id", "spot_name",

@@ -14,8 +14,19 @@ from pyspark.storagelevel import StorageLevel
 from ..schemas import TAGS
 
 
+def read_csv(spark: SparkSession, path: str, schema: StructType, sep: str = ",") -> DataFrame:
+    """Columns by the names in the header, whatever their order; only those of ``schema``. A value
+    that isn't of its column's type, or a name that isn't there, ends the job."""
+    text = spark.read.option("header", True).option("sep", sep).option("mode", "FAILFAST").csv(path)
+    return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+
+
 def read_tag_log(spark: SparkSession, path: str, schema: StructType = TAGS) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return read_csv(spark, path, schema)
+
+
+def read_tsv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return read_csv(spark, path, schema, "\t")
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
@@ -39,14 +50,18 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: StructType | None = None,
+              whole_files: bool = False) -> DataFrame:
+    """JSON documents, one on each line; with ``whole_files`` one in each file."""
+    reader = spark.read.option("multiLine", whole_files).option("mode", "FAILFAST")
+    return (reader if schema is None else reader.schema(schema)).json(path)
+
+
 def read_json_records(spark: SparkSession, path: str, field: str,
-                      schema: StructType | None = None) -> DataFrame:
+                      schema: StructType | None = None, whole_files: bool = False) -> DataFrame:
     """Records under ``field`` (dots reach into structs) of JSON documents."""
-    reader = spark.read.option("multiLine", True)
-    if schema is not None:
-        reader = reader.schema(schema)
     record = F.explode(F.col(field)).alias("record")
-    exploded = reader.json(path).select(record)
+    exploded = read_json(spark, path, schema, whole_files).select(record)
     if isinstance(exploded.schema["record"].dataType, StructType):
         return exploded.select("record.*")
     return exploded
@@ -91,5 +106,8 @@ def small_table(spark: SparkSession, rows: Sequence[tuple] | pd.DataFrame,
 
 
 def to_local(df: DataFrame, rows: int) -> pd.DataFrame:
-    """At most ``rows`` rows of a result as a local frame; the bound is not optional."""
-    return df.limit(rows).toPandas()
+    """A result of at most ``rows`` rows as a local frame; a larger one raises."""
+    found = df.limit(rows + 1).toPandas()
+    if len(found) > rows:
+        raise ValueError(f"the result has more than {rows} rows")
+    return found

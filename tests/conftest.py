@@ -17,6 +17,23 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(params=["broadcast", "shuffle"])
+def joins(spark, request):
+    """Joins as Spark picks them; and all by shuffle, with every partition that can be split."""
+    shuffle = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+               "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+               "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+               "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+               "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+               "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    used = shuffle if request.param == "shuffle" else {}
+    for key, value in used.items():
+        spark.conf.set(key, value)
+    yield request.param
+    for key in used:
+        spark.conf.unset(key)
+
+
 @pytest.fixture
 def rows():
     """Sorted list of plain tuples."""

@@ -6,13 +6,8 @@ from collections import Counter, defaultdict
 import pytest
 
 from tagtrail.operators import communities, components, graph, ranking
-from tagtrail.scale.skew import Limits
 from tagtrail.schemas import EDGES
 
-# Everything broadcast; and nothing broadcast, every hub split.
-SPLITS = [Limits(), Limits(rows_per_split=2, broadcast_bytes=0)]
-
-
 def make(spark, pairs, ids=None):
     ids = sorted({v for p in pairs for v in p} | set(ids or ()))
     vertices = spark.createDataFrame(
@@ -44,11 +39,11 @@ def test_vertices(spark):
                    3: ("", "", "", "", 0)}
 
 
-@pytest.mark.parametrize("size", SPLITS)
-def test_edges_need_metadata_at_both_ends(spark, rows, size):
+@pytest.mark.usefixtures("joins")
+def test_edges_need_metadata_at_both_ends(spark, rows):
     vertices, edges = make(spark, [(1, 1), (1, 2), (2, 3), (3, 1), (1, 4), (1, 5)])
     vertices = vertices.selectExpr("id", "CASE WHEN id = 3 THEN 0 ELSE 1 END AS meta_store")
-    assert rows(graph.graph_edges(edges, vertices, size)) == [(1, 1), (1, 2), (1, 4), (1, 5)]
+    assert rows(graph.graph_edges(edges, vertices)) == [(1, 1), (1, 2), (1, 4), (1, 5)]
 
 
 def test_degrees(spark, rows):
@@ -69,13 +64,13 @@ def plain_pagerank(ids, pairs, rounds, reset=0.15):
     return rank
 
 
-@pytest.mark.parametrize("size", SPLITS)
-def test_pagerank(spark, size):
+@pytest.mark.usefixtures("joins")
+def test_pagerank(spark):
     pairs = random_pairs(20, 50, 1, hub=3)
     vertices, edges = make(spark, pairs, ids=[99])
     ids = [r["id"] for r in vertices.collect()]
     got = {r["id"]: r["pagerank"] for r in ranking.pagerank(
-        vertices, edges, iterations=7, limits=size).collect()}
+        vertices, edges, iterations=7).collect()}
     assert got == pytest.approx(plain_pagerank(ids, pairs, 7))
     assert got[99] == pytest.approx(0.15)
 
@@ -124,14 +119,14 @@ def plain_labels(ids, pairs, rounds):
     return label
 
 
-@pytest.mark.parametrize("size", SPLITS)
+@pytest.mark.usefixtures("joins")
 @pytest.mark.parametrize("rounds", [1, 3, 6])
-def test_label_propagation(spark, rounds, size):
+def test_label_propagation(spark, rounds):
     pairs = random_pairs(25, 40, 4, hub=2)
     vertices, edges = make(spark, pairs, ids=[77])
     ids = [r["id"] for r in vertices.collect()]
     got = {r["id"]: r["label"] for r in communities.label_propagation(
-        vertices, edges, rounds, size).collect()}
+        vertices, edges, rounds).collect()}
     assert got == plain_labels(ids, pairs, rounds)
 
 
@@ -147,29 +142,39 @@ def reach(pairs, start):
     return seen
 
 
-@pytest.mark.parametrize("size", SPLITS)
-def test_connected_components(spark, size):
+@pytest.mark.usefixtures("joins")
+def test_connected_components(spark):
     pairs = random_pairs(40, 25, 6) + [(100 + i, 101 + i) for i in range(20)]
     vertices, edges = make(spark, pairs, ids=[500])
     either = pairs + [(b, a) for a, b in pairs]
     got = {r["id"]: r["component"] for r in components.connected_components(
-        vertices, edges, size).collect()}
+        vertices, edges).collect()}
     assert got == {i: min(reach(either, i)) for i in got}
     assert got[500] == 500 and got[120] == 100
 
 
-@pytest.mark.parametrize("size", SPLITS)
-def test_strongly_connected_components(spark, size):
+def test_long_path_takes_few_even_rounds(spark, monkeypatch):
+    ids = list(range(3000))
+    random.Random(4).shuffle(ids)
+    vertices, edges = make(spark, list(zip(ids, ids[1:])))
+    marks, mark = [], components._mark
+    monkeypatch.setattr(components, "_mark", lambda e: marks.append(e) or mark(e))
+    got = components.connected_components(vertices, edges).select("component").distinct().collect()
+    assert [r["component"] for r in got] == [0] and len(marks) < 40
+
+
+@pytest.mark.usefixtures("joins")
+def test_strongly_connected_components(spark):
     pairs = random_pairs(20, 30, 8) + [(50, 51), (51, 52), (52, 50), (52, 1)]
     vertices, edges = make(spark, pairs, ids=[70])
     got = {r["id"]: r["component"] for r in components.strongly_connected_components(
-        vertices, edges, limits=size).collect()}
+        vertices, edges).collect()}
     ahead = {i: reach(pairs, i) for i in got}
     assert got == {i: min(j for j in ahead[i] if i in ahead[j]) for i in got}
 
 
-@pytest.mark.parametrize("size", SPLITS)
-def test_triangles(spark, size):
+@pytest.mark.usefixtures("joins")
+def test_triangles(spark):
     pairs = random_pairs(16, 60, 9, hub=0)
     vertices, edges = make(spark, pairs, ids=[90])
     plain = {frozenset(p) for p in pairs if p[0] != p[1]}
@@ -180,7 +185,7 @@ def test_triangles(spark, size):
             for c in ids[j + 1:]:
                 if {frozenset((a, ids[j])), frozenset((ids[j], c)), frozenset((a, c))} <= plain:
                     want.update((a, ids[j], c))
-    got = {r["id"]: r["count"] for r in components.triangle_count(vertices, edges, size).collect()}
+    got = {r["id"]: r["count"] for r in components.triangle_count(vertices, edges).collect()}
     assert got == {i: want[i] for i in ids}
 
 
@@ -191,13 +196,13 @@ def test_reindex(spark, rows):
     assert rows(graph.reindexed_edges(edges, index)) == [(0, 3), (1, 2), (2, 0)]
 
 
-@pytest.mark.parametrize("size", SPLITS)
-def test_subgraph_drops_busy_sources(spark, rows, size):
+@pytest.mark.usefixtures("joins")
+def test_subgraph_drops_busy_sources(spark, rows):
     pairs = [(1, i) for i in range(10, 27)] + [(2, 10), (3, 40), (40, 2)]
     vertices, edges = make(spark, pairs)
     clusters = vertices.filter("id < 27").selectExpr("id", "department", "type", "loan",
                                                      "1L AS label")
-    got = rows(communities.community_subgraph(edges, clusters, limits=size))
+    got = rows(communities.community_subgraph(edges, clusters))
     assert got == [(2, 10), (3, 40), (40, 2)]
 
 

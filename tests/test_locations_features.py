@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tagtrail.functions import frames
 from tagtrail.operators import features, locations, summaries
-from tagtrail.scale.skew import Limits
 
 DAY = 86400
 SCHEMA = ("refers_to_object_id long, location_id long, visit_raw long, room_floor int, "
@@ -26,6 +25,7 @@ def tags(spark, rows):
     return spark.createDataFrame(rows, "id long, refers_to_object_id long, created long")
 
 
+@pytest.mark.usefixtures("joins")
 def test_nearest_ties_and_missing(spark):
     where = spark.createDataFrame([
         place(1, 1, 10 * DAY + 5, 7), place(1, 2, 14 * DAY, 3), place(1, 3, 14 * DAY, 2),
@@ -33,12 +33,10 @@ def test_nearest_ties_and_missing(spark):
     log = tags(spark, [(1, 1, 12 * DAY + 9), (2, 1, 12 * DAY + 10), (3, 1, 13 * DAY),
                        (4, 1, 40 * DAY), (5, 3, 12 * DAY), (6, None, 12 * DAY), (7, 2, DAY),
                        (8, 1, 10 * DAY + 80000), (9, 1, 12 * DAY + 9)])
-    for split in ({}, {"limits": Limits(rows_per_split=1, broadcast_bytes=0)}):
-        df = locations.nearest_location(log, where, keep=("visit_raw", "delta"), **split)
-        got = {r["id"]: (r["spot_id"], r["delta"], r["meta_store"]) for r in df.collect()}
-        assert got == {1: (7, 2, 1), 2: (7, 2, 1), 3: (2, 1, 1), 4: (2, 26, 1),
-                       5: (None, None, 0), 6: (None, None, 0), 7: (9, 49, 1), 8: (7, 0, 1),
-                       9: (7, 2, 1)}
+    df = locations.nearest_location(log, where, keep=("visit_raw", "delta"))
+    got = {r["id"]: (r["spot_id"], r["delta"], r["meta_store"]) for r in df.collect()}
+    assert got == {1: (7, 2, 1), 2: (7, 2, 1), 3: (2, 1, 1), 4: (2, 26, 1), 5: (None, None, 0),
+                   6: (None, None, 0), 7: (9, 49, 1), 8: (7, 0, 1), 9: (7, 2, 1)}
 
 
 def test_nearest_against_brute_force(spark):
@@ -47,7 +45,7 @@ def test_nearest_against_brute_force(spark):
                    rng.randint(1, 9)) for i in range(60)]
     log = [(i, rng.randint(1, 7), rng.randint(0, 45 * DAY)) for i in range(200)]
     df = locations.nearest_location(tags(spark, log), spark.createDataFrame(where, SCHEMA),
-                                    keep=("visit_raw", "delta"), limits=Limits(rows_per_split=20, broadcast_bytes=0))
+                                    keep=("visit_raw", "delta"))
     got = {r["id"]: (r["delta"], r["visit_raw"], r["spot_id"]) for r in df.collect()}
     for i, obj, created in log:
         options = [(abs(created // DAY - w[2] // DAY), w[2], w[6]) for w in where if w[0] == obj]

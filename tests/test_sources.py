@@ -10,9 +10,10 @@ from tagtrail.sources import dumps, files, store
 
 
 def dump(folder, pages):
+    """Two pages to a file, one on each line."""
     folder.mkdir()
-    for i, page in enumerate(pages):
-        (folder / f"page{i}.json").write_text(json.dumps(page, indent=4))
+    for i in range(0, len(pages), 2):
+        (folder / f"pages{i}.json").write_text("\n".join(map(json.dumps, pages[i:i + 2])))
     return str(folder)
 
 
@@ -23,17 +24,24 @@ def test_tag_log_roundtrip(spark, tmp_path, rows):
     files.write_csv(df, str(tmp_path / "csv"))
     assert rows(files.read_tag_log(spark, str(tmp_path / "csv"))) == rows(df)
     files.write_tsv(df, str(tmp_path / "tsv"))
-    back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tsv"))
-    assert back.count() == 2 and back.columns == df.columns
+    assert rows(files.read_tsv(spark, str(tmp_path / "tsv"), df.schema)) == rows(df)
+    files.write_csv(df.select("created", "bundle_id", F.lit(3).alias("more"), "tool_id",
+                              "refers_to_object_id", "id"), str(tmp_path / "other"))
+    assert rows(files.read_tag_log(spark, str(tmp_path / "other"))) == rows(df)
 
 
 def test_pages(spark, tmp_path, rows):
     folder = dump(tmp_path / "objects", [
         {"stat": "ok", "total": "3", "pages": 2, "objects": [{"id": "1"}, {"id": "2"}]},
         {"stat": "ok", "total": "3", "pages": 2, "objects": [{"id": "3"}]}])
-    assert rows(dumps.site_objects(spark, folder)) == [(1,), (2,), (3,)]
+    assert rows(dumps.site_objects(spark, folder).select("id")) == [(1,), (2,), (3,)]
     assert dumps.page_completeness(spark, folder, "objects").first().asDict() == \
         {"found": 3, "total": 3, "complete": True}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "page.json").write_text(json.dumps(
+        {"total": 1, "objects": [{"id": "9"}]}, indent=4))
+    assert rows(dumps.site_objects(spark, str(tmp_path / "one"), whole_files=True).select("id")) \
+        == [(9,)]
     short = dump(tmp_path / "short", [{"total": 5, "objects": [{"id": "1"}]}])
     assert not dumps.page_completeness(spark, short, "objects").first()["complete"]
 
@@ -50,11 +58,14 @@ def test_site_lists(spark, tmp_path, rows):
          "other": 1}]}}])
     assert rows(dumps.site_rooms(spark, rooms)) == [("1", "201", 2, 5, 4)]
     spots = dump(tmp_path / "spots", [{"total": 1, "spots": {"spot": [{"id": "1", "name": "s"}]}}])
-    assert rows(dumps.site_spots(spark, spots)) == [("1", "s")]
-    for name, read in (("departments", dumps.site_departments), ("types", dumps.site_types),
-                       ("exhibitions", dumps.site_exhibitions)):
-        folder = dump(tmp_path / name, [{name: [{"id": "1", "name": "x"}]}])
+    assert rows(dumps.site_spots(spark, spots).select("id", "name")) == [("1", "s")]
+    for name, read in (("departments", dumps.site_departments), ("types", dumps.site_types)):
+        folder = dump(tmp_path / name, [{name: [{"id": "1", "name": "x"}]}, {name: []},
+                                        {"total": 0}])
         assert rows(read(spark, folder)) == [("1", "x")]
+    shown = dump(tmp_path / "exhibitions", [{"exhibitions": [
+        {"id": 5, "title": "t", "date_start": "2016-01-01", "date_end": "2016-02-01", "more": 1}]}])
+    assert rows(dumps.site_exhibitions(spark, shown)) == [("5", "t", "2016-01-01", "2016-02-01")]
 
 
 def test_exhibition_documents(spark, tmp_path, rows):
@@ -97,10 +108,13 @@ def test_views_and_small_tables(spark):
                              keep=True)
     assert spark.table("small").count() == 1 and df.storageLevel.useMemory
     df.unpersist()
-    assert len(files.to_local(spark.range(100), 7)) == 7
+    assert len(files.to_local(spark.range(7), 7)) == 7
+    with pytest.raises(ValueError):
+        files.to_local(spark.range(8), 7)
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+@pytest.mark.usefixtures("joins")
 def test_lookup_join_equals_a_plain_join(spark, rows, how):
     big = spark.range(200).select(
         "id", F.when(F.col("id") < 70, F.lit(1)).when(F.col("id") % 9 == 0, None)
@@ -108,20 +122,20 @@ def test_lookup_join_equals_a_plain_join(spark, rows, how):
     lookup = spark.createDataFrame([(1, "one"), (2, "two"), (8, "eight"), (None, "null")],
                                    "k long, name string")
     plain = rows(big.join(lookup, ["k"], how))
-    for limits in (skew.Limits(), skew.Limits(broadcast_bytes=0),
-                   skew.Limits(rows_per_split=10, broadcast_bytes=0)):
-        split = skew.lookup_join(big, lookup, ["k"], ["id"], how=how, limits=limits)
-        assert rows(split, *big.join(lookup, ["k"], how).columns) == plain
-
-
-def test_hot_key_is_spread_over_splits(spark):
-    big = spark.range(10_000).select("id", F.lit(1).alias("k"))
-    hot = skew.hot_keys(big, ["k"], skew.Limits(rows_per_split=1000))
-    assert [tuple(r) for r in hot.collect()] == [(1, 10)]
-    sizes = [r["count"] for r in skew.split_rows(big, ["k"], hot, ["id"])
-             .groupBy(skew.SPLIT).count().collect()]
-    assert len(sizes) == 10 and max(sizes) < 1300
-    assert skew.hot_keys(big, ["k"], skew.Limits(rows_per_split=10_000)) is None
+    assert rows(skew.lookup_join(big, lookup, ["k"], how), *big.join(lookup, ["k"], how).columns) \
+        == plain
+
+
+def test_hot_keys_are_split(spark, joins):
+    """Twenty keys hold most rows; none is singled out by the code."""
+    big = spark.range(0, 60_000, 1, 16).select(
+        "id", F.when(F.col("id") % 4 > 0, F.col("id") % 4 * 100).otherwise(F.col("id")).alias("k"))
+    lookup = spark.range(60_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = skew.lookup_join(big, lookup, ["k"])
+    assert len(got.collect()) == 60_000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("skew=true" in plan) == (joins == "shuffle")
+    assert got.where("v <> 2 * k OR v IS NULL").isEmpty()
 
 
 def test_cut_uses_the_named_folder(spark):
