@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagtrail.llm import decontamination, jaccard_join, line_dedup, mixing, toxicity
+from tagtrail.llm.stream import small_batches
 from tagtrail.scale.durable import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not reject."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, F.lit(True))
     return toxicity.score(docs, model, to="_toxic").where(F.col("_toxic") < toxicity.CUT) \
@@ -24,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the blocks that an earlier document has; emptied documents go."""
+    small_batches(spark)
     return line_dedup.dedup_lines(docs, keep_empty=False) \
         .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
         .select(*docs.columns)
@@ -31,11 +34,13 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of similar ones."""
+    small_batches(spark)
     return jaccard_join.near_distinct(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    small_batches(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

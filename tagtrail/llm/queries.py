@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from . import (decontamination, html_text, jaccard_join, language, line_dedup, mixing, quality,
                secrets, toxicity, vector_search)
+from .stream import small_batches
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -1,11 +1,22 @@
-"""Sorted groups as a stream over Arrow batches."""
+"""Batches of texts for Python workers, and sorted groups as a stream over them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that a worker holds at a time; texts are larger than what Spark's default is meant for.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python workers in batches of ``BATCH_ROWS`` at most."""
+    now = int(spark.conf.get(BATCH))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
 
 
 def sorted_groups(frames: Iterator[pd.DataFrame], keys: Sequence[str],
