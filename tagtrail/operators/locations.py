@@ -86,18 +86,24 @@ def object_loctypes(objects: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def tag_location_deltas(tags: DataFrame, locations: DataFrame) -> DataFrame:
-    """Day distance of each tag to each location row of its object.
-
-    The distance depends on the days only, so both sides are counted per object and day first:
-    a row stands for ``n_tags * n_locations`` pairs."""
-    tag_days = tags.groupBy("refers_to_object_id",
-                            cal.utc_date(F.col("created")).alias("created_date")) \
-        .agg(F.count(F.lit(1)).alias("n_tags"))
-    visits = locations.groupBy("refers_to_object_id",
-                               cal.utc_date(F.col("visit_raw")).alias("visit_date")) \
-        .agg(F.count(F.lit(1)).alias("n_locations"))
-    return tag_days.join(visits, "refers_to_object_id") \
-        .withColumn("delta", cal.day_gap(F.col("created_date"), F.col("visit_date")))
+    """Per object and tag day the number of tags, the last visit up to that day and the first after
+    it, and how many days away they are. Both sides are one row per object and day before the
+    window; objects without a visit have no row."""
+    asked = tags.filter(F.col("refers_to_object_id").isNotNull()).groupBy(
+        "refers_to_object_id", cal.utc_date(F.col("created")).alias("created_date")) \
+        .agg(F.count(F.lit(1)).alias("n_tags")).withColumn("visit", F.lit(None).cast("date"))
+    visits = locations.select("refers_to_object_id",
+                              cal.utc_date(F.col("visit_raw")).alias("created_date")).distinct() \
+        .withColumns({"n_tags": F.lit(None).cast("long"), "visit": F.col("created_date")})
+    days = Window.partitionBy("refers_to_object_id").orderBy(F.unix_date("created_date"))
+    # A visit on the day itself is the last one.
+    last = F.max("visit").over(days.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    later = F.min("visit").over(days.rangeBetween(1, Window.unboundedFollowing))
+    both = asked.unionByName(visits).withColumns({"last_visit": last, "next_visit": later})
+    return (both.filter("n_tags IS NOT NULL AND (last_visit IS NOT NULL OR next_visit IS NOT NULL)")
+            .select("refers_to_object_id", "created_date", "n_tags", "last_visit", "next_visit",
+                    F.datediff("created_date", "last_visit").alias("days_since"),
+                    F.datediff("next_visit", "created_date").alias("days_until")))
 
 
 def nearest_by_day(tags: DataFrame, locations: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Distances within a sample and cosine similarity of objects.
+"""Distances of vectors and cosine similarity of objects.
 
-Both compare rows with rows. Rows are dealt into blocks of even size by a hash of their unique id
-and compared block by block, so work is spread over block pairs and no group is large.
+Distances are taken to a bounded list of reference rows, which is linear in the rows, or within a
+sample. What compares rows with rows deals them into blocks of even size by a hash of their unique id
+and compares block by block, so work is spread over block pairs and no group is large.
 """
 
 from __future__ import annotations
@@ -63,6 +64,18 @@ def _dealt(df: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
                      F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
 
 
+def reference_distance(df: DataFrame, key: str, vector: str, references: Sequence,
+                       metric: str = "cityblock") -> DataFrame:
+    """(a, b, distance) of every row ``b`` to each row ``a`` whose key is among ``references``, a
+    list from the caller, small by that."""
+    vectors = df.select(F.col(key).alias("b"), F.col(vector).cast("array<double>").alias("v"))
+    few = vectors.filter(F.col("b").isin(list(references))) \
+        .select(F.col("b").alias("a"), F.col("v").alias("w"))
+    asked = F.explode(F.array(*[F.lit(r) for r in references])).alias("a")
+    return vectors.select("b", "v", asked).where("a != b").join(F.broadcast(few), "a") \
+        .select("a", "b", distance(F.col("w"), F.col("v"), metric).alias("distance"))
+
+
 def pairwise_distance(sample: DataFrame, key: str, vector: str, metric: str = "cityblock",
                       block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, distance) for every two rows of a sample, a < b."""

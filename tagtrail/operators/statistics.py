@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -16,8 +16,9 @@ def scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns centred and divided by their population standard deviation; constant columns
     become 0. One pass; two numbers per column reach the driver."""
     stats = {r["feature"]: (r["mean"], r["std"])
-             for r in _long(df, columns).groupBy("feature")
-             .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).collect()}
+             for r in _per_feature(df, columns, lambda x: F.struct(
+                 F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")))
+             .select("feature", "value.*").collect()}
     out = {}
     for c in columns:
         mean, std = stats.get(c, (None, None))
@@ -25,11 +26,11 @@ def scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(out)
 
 
-def pearson(x: str, y: str) -> Column:
+def pearson(x: Column, y: Column) -> Column:
     """Correlation over the rows where both are known; null when either is constant there."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, F.col(x)))
-                        * F.stddev_pop(F.when(both, F.col(y))))
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x))
+                        * F.stddev_pop(F.when(both, y)))
 
 
 def vector_columns(df: DataFrame, column: str, size: int, prefix: str = "e") -> DataFrame:
@@ -38,24 +39,32 @@ def vector_columns(df: DataFrame, column: str, size: int, prefix: str = "e") ->
                             for i in range(size)])
 
 
-def _long(df: DataFrame, columns: Sequence[str], **kept: str) -> DataFrame:
-    """One row per row and feature: (kept columns, feature, x). Aggregates over it stay small
-    however many features there are, and are pre-aggregated to one row per group and task."""
+def _per_feature(df: DataFrame, columns: Sequence[str], measure: Callable[[Column], Column],
+                 group: Sequence[str] = ()) -> DataFrame:
+    """(group, rows, feature, value): a measure of each column, all in one aggregate over the rows
+    as they are; only its one row per group is turned into one row per feature."""
     values = {f"_{i}": F.col(c).cast("double") for i, c in enumerate(columns)}
-    ids = [F.col(c).alias(name) for name, c in kept.items()]
-    pairs = ", ".join(f"{i}, _{i}" for i in range(len(columns)))
-    names = F.array(*[F.lit(c) for c in columns])
-    narrow = df.select(*ids, *[v.alias(n) for n, v in values.items()])
-    return narrow.selectExpr(*kept, f"stack({len(columns)}, {pairs}) AS (place, x)") \
-        .withColumn("feature", F.get(names, F.col("place")))
+    kept = [c for c in df.columns if c.startswith("_t_")] + list(group)
+    found = df.select(*kept, *[v.alias(n) for n, v in values.items()]).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("rows"), *[measure(F.col(n)).alias(n) for n in values])
+    features = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(n).alias("value"))
+                         for c, n in zip(columns, values)])
+    return found.where("rows > 0").select(*group, "rows", F.explode(features).alias("f")) \
+        .select(*group, "rows", "f.*")
+
+
+def _correlations(df: DataFrame, target: str, columns: Sequence[str],
+                  group: Sequence[str] = ()) -> DataFrame:
+    held = df.withColumn("_t_", F.col(target).cast("double"))
+    return _per_feature(held, columns, lambda x: pearson(x, F.col("_t_")), group) \
+        .withColumnRenamed("value", "corr")
 
 
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str],
                        k: int = 10) -> DataFrame:
     """(feature, corr): the ``k`` features that correlate most with ``target``, itself
     included; undefined correlations come last. One pass over the rows."""
-    return _long(df, columns, t=target).groupBy("feature") \
-        .agg(pearson("x", "t").alias("corr")) \
+    return _correlations(df, target, columns).select("feature", "corr") \
         .orderBy(F.desc_nulls_last(F.round("corr", 9)), "feature").limit(k)
 
 
@@ -63,8 +72,7 @@ def cluster_target_correlation(df: DataFrame, target: str, columns: Sequence[str
                                cluster: str = "cluster", k: int = 10) -> DataFrame:
     """Per cluster its share of rows and the ``k`` features that correlate most with
     ``target`` inside it; clusters with more rows first."""
-    stats = _long(df, columns, cluster=cluster, t=target).groupBy("cluster", "feature") \
-        .agg(F.count(F.lit(1)).alias("rows"), pearson("x", "t").alias("corr"))
+    stats = _correlations(df.withColumn("cluster", F.col(cluster)), target, columns, ["cluster"])
     # Every feature has a row per cluster, so the total is that of any one feature.
     total = F.sum("rows").over(Window.partitionBy("feature"))
     ordered = stats.withColumns({"share": F.col("rows") / total,
@@ -79,8 +87,8 @@ def cluster_feature_profile(df: DataFrame, columns: Sequence[str], cluster: str
     """Per cluster the ``k`` features with the highest mean (of z-scores with ``scale``).
     Means whose whole part is 1 are left out: features every row of the cluster has."""
     source = scaled(df, columns) if scale else df
-    means = _long(source, columns, cluster=cluster).groupBy("cluster", "feature") \
-        .agg(F.avg("x").alias("mean")) \
+    means = _per_feature(source.withColumn("cluster", F.col(cluster)), columns, F.avg, ["cluster"]) \
+        .select("cluster", "feature", F.col("value").alias("mean")) \
         .filter(F.col("mean").cast("long") != 1) \
         .withColumn("_order", F.round("mean", 9))
     return top_per_group(means, "cluster", "feature", "_order", k).drop("_order")

@@ -25,7 +25,7 @@ PAGERANK_TOL = 0.01
 LABEL_ROUNDS = 50
 DIMENSIONS = 64
 E_COLUMNS = [f"e{i}" for i in range(DIMENSIONS)]
-SAMPLE_ROWS = 10_000
+REFERENCES = 10
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -385,11 +385,17 @@ def nearest_location(v: Views) -> DataFrame:
 
 
 @query("tag_location_deltas", with_views("timed", "locations", sql="""
-SELECT t.refers_to_object_id, strftime(t.utc, '%Y-%m-%d') AS created_date,
-       strftime(l.visit_date, '%Y-%m-%d') AS visit_date,
-       CAST(abs(date_diff('day', CAST(t.utc AS DATE), l.visit_date)) AS INT) AS delta,
-       count(DISTINCT t.id) AS n_tags, count(DISTINCT l.location_id) AS n_locations
-FROM timed t JOIN locations l USING (refers_to_object_id) GROUP BY ALL"""))
+SELECT refers_to_object_id, strftime(day, '%Y-%m-%d') AS created_date, n_tags,
+       strftime(last, '%Y-%m-%d') AS last_visit, strftime(next, '%Y-%m-%d') AS next_visit,
+       CAST(date_diff('day', last, day) AS INT) AS days_since,
+       CAST(date_diff('day', day, next) AS INT) AS days_until
+FROM (SELECT t.refers_to_object_id, t.day, t.n_tags,
+             max(l.visit_date) FILTER (l.visit_date <= t.day) AS last,
+             min(l.visit_date) FILTER (l.visit_date > t.day) AS next
+      FROM (SELECT refers_to_object_id, CAST(utc AS DATE) AS day, count(*) AS n_tags
+            FROM timed GROUP BY 1, 2) t
+      JOIN (SELECT DISTINCT refers_to_object_id, visit_date FROM locations) l
+        USING (refers_to_object_id) GROUP BY 1, 2, 3)"""))
 def tag_location_deltas(v: Views) -> DataFrame:
     return locations.tag_location_deltas(v.tags, v.visits)
 
@@ -1047,11 +1053,10 @@ def _register_distances() -> None:
         query(f"pairwise_{metric}", f"""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT x.vec_id AS a, y.vec_id AS b, round({expression}, 6) AS distance
-FROM e x JOIN e y ON x.vec_id < y.vec_id""")(
-            # Distances are taken within a sample; a table this small is its own sample.
-            lambda v, metric=metric: similarity.pairwise_distance(
-                similarity.sample_rows(v.embeddings, rows=SAMPLE_ROWS), "vec_id", "embedding",
-                metric))
+FROM e x JOIN e y ON x.vec_id <> y.vec_id AND x.vec_id < {REFERENCES}""")(
+            # All rows against ten of them.
+            lambda v, metric=metric: similarity.reference_distance(
+                v.embeddings, "vec_id", "embedding", range(REFERENCES), metric))
 
 
 _register_distances()

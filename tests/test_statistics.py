@@ -92,6 +92,10 @@ def test_pairwise_distance(spark, metric, block_rows):
 
     want = {(i, j): plain(x[i], x[j]) for i in range(25) for j in range(i + 1, 25)}
     assert got == pytest.approx(want)
+    to = {(r["a"], r["b"]): r["distance"]
+          for r in similarity.reference_distance(df, "id", "v", [3, 7], metric).collect()}
+    assert to == pytest.approx({(i, j): plain(x[i], x[j]) for i in (3, 7) for j in range(25)
+                                if i != j})
 
 
 @pytest.mark.parametrize("block_rows", [7, 2048])
