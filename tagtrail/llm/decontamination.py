@@ -135,7 +135,9 @@ def _regions(documents: DataFrame, bitmap: np.ndarray, longest: int) -> DataFram
         for batch in batches:
             yield batch.map(regions)
 
-    found = documents.select("doc_id", scan("text").alias("found")) \
+    # Or else the filter that inline implies would scan every text once more.
+    once = scan.asNondeterministic()
+    found = documents.select("doc_id", once("text").alias("found")) \
         .select("doc_id", F.inline("found"))
     return stored(found.withColumn("region", F.xxhash64("doc_id", "at", "words")), "regions")
 
@@ -194,6 +196,12 @@ def _overlap(regions: pd.Series, items: pd.Series) -> pd.DataFrame:
                         dtype="Int64")
 
 
+# A filter on a result, as explode implies one, must not make Spark call a function once more.
+_words = _words.asNondeterministic()
+_item_seeds = _item_seeds.asNondeterministic()
+_overlap = _overlap.asNondeterministic()
+
+
 def _unsigned(w) -> np.ndarray:
     return np.asarray(w, np.int64).view(np.uint64)
 
@@ -203,7 +211,8 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     each region and item that overlap, with the number of words that agree."""
     items = benchmark_items(benchmark)
     longest = (items.agg(F.max(F.size("words"))).first()[0] or 0) + _MARGIN
-    seed_table = stored(items.select("item", F.explode(_item_seeds("words")).alias("seed")), "seeds")
+    seed_table = stored(items.select("item", _item_seeds("words").alias("all"))
+                        .select("item", F.explode("all").alias("seed")), "seeds")
     regions = _regions(documents, _bitmap(seed_table), longest)
     pairs = (regions.select("region", F.explode("seeds").alias("seed")).join(seed_table, "seed")
              .select("region", "item").distinct())

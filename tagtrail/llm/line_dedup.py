@@ -163,8 +163,8 @@ def deletions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     # One document per distinct text; repeated rows are one as well.
     distinct = stored(texts.join(firsts.select("place"), "place").dropDuplicates(["place"]),
                       "distinct_lines")
-    evidence = distinct.select("place", F.explode(_evidence("lines", "words")).alias("e")) \
-        .select("place", "e.hash", "e.runs")
+    evidence = distinct.select("place", _evidence("lines", "words").alias("all")) \
+        .select("place", F.explode("all").alias("e")).select("place", "e.hash", "e.runs")
     shared = evidence.groupBy("hash", "runs").agg(
         F.min("place").alias("first"), F.count(F.lit(1)).alias("n")) \
         .where(f"n > 1 AND (runs = 1 OR n <= {RARE})")
@@ -173,8 +173,8 @@ def deletions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = (pairs.join(distinct, "place")
            .join(distinct.select(F.col("place").alias("first"), F.col("lines").alias("earlier")),
                  "first"))
-    lost = (met.select("place", F.explode(_deleted("earlier", "lines", "words")).alias("line"))
-            .groupBy("place").agg(F.sort_array(F.collect_set("line")).alias("lost")))
+    lost = (met.select("place", _deleted("earlier", "lines", "words").alias("all"))
+            .select("place", F.explode("all").alias("line")).groupBy("place").agg(F.sort_array(F.collect_set("line")).alias("lost")))
     return firsts, lost
 
 
@@ -185,6 +185,11 @@ def _without(texts: pd.Series, lost: pd.Series) -> pd.Series:
                       for t, n in zip(texts, lost)], dtype=object)
 
 
+# A filter on a result, as explode implies one, must not make Spark call a function once more.
+_lines, _evidence = _lines.asNondeterministic(), _evidence.asNondeterministic()
+_deleted, _without = _deleted.asNondeterministic(), _without.asNondeterministic()
+
+
 def without_lines(text: str, lost: set[int]) -> str:
     kept, k, gone = [], 0, False
     for line in text.split("\n"):
