@@ -222,7 +222,8 @@ def _compared(places: DataFrame, firsts: DataFrame, documents: DataFrame) -> Dat
         .join(firsts.select("id", "doc_id"), "id")
     texts = documents.where("text IS NOT NULL").select("doc_id", "text")
     # The id names the rows, the signature the one among them that has the set.
-    found = (texts.join(wanted, "doc_id").select("id", "to", _packed("text").alias("p"))
+    # Both sides grow with the documents, so neither is sent everywhere at any size.
+    found = (texts.join(wanted.hint("merge"), "doc_id").select("id", "to", _packed("text").alias("p"))
              .select("id", "to", "p.*").where(f"{_ID} = id")
              .select("id", "packed", F.col("to.leader").alias("leaders"), F.explode("to").alias("t"))
              .select("id", "packed", "leaders", "t.*"))
