@@ -427,8 +427,8 @@ def _matrix_sql() -> str:
     # The levels that the test tables hold.
     for column, prefix, values in (("wom", "wom", range(1, 5)), ("year", "year", (2023, 2024)),
                                    ("month", "month", (1, 12)), ("quarter", "quarter", (1, 4)),
-                                   ("room_id", "room", (-9999, *range(25))),
-                                   ("room_floor", "floor", (-9999, *range(1, 6)))):
+                                   ("room_id", "room", range(25)),
+                                   ("room_floor", "floor", range(1, 6))):
         parts += _flag_sql({i: f"{prefix}_{i}" for i in values}, column)
     parts += ["bursty AS is_bursty", *features.FLAGS]
     return f"SELECT id, {', '.join(parts)} FROM binned"
@@ -836,7 +836,7 @@ SELECT m.label, f.{column}, count(*) AS "count" {by_tag} GROUP BY 1, 2""", "feat
 QUALIFY row_number() OVER (PARTITION BY label ORDER BY "count" DESC, {column}) <= {top}"""
         query(name, _labelled_sql(f"""
 SELECT * FROM (SELECT m.label, m.{column}, count(*) AS "count"
-  FROM tags f JOIN major m ON m.id = f.refers_to_object_id GROUP BY 1, 2){cap}"""))(
+  FROM tags f JOIN major m ON m.id = f.refers_to_object_id GROUP BY 1, 2){cap}""", "tags"))(
             lambda v, column=column, top=top: communities.cluster_attribute_counts(
                 v.tags, _majority(v), column, top))
 
