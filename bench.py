@@ -22,7 +22,8 @@ HEADLINE = [
     "tag_metrics", "first_tag_rooms", "graph_edges", "pagerank", "influence_report",
     "label_propagation", "connected_components", "basket_edges", "basket_pagerank",
     "basket_communities", "basket_triangles", "target_correlation", "cluster_variance",
-    "cosine_similarity",
+    "cosine_similarity", "pairwise_cityblock", "kmeans_sweep", "strongly_connected_components",
+    "cluster_type_correlation",
 ]
 
 
