@@ -1,11 +1,12 @@
 """Line deduplication by pairwise alignment of overlapping documents.
 
 1. Every distinct text is reduced to the hashes of its lines (one pass; texts stay where they are).
-2. Evidence of an overlap is a line of ``WORDS`` words or more that is rare (in ``RARE`` distinct
-   texts at most), or two neighbouring lines of ``WORDS`` words together at any frequency: large
-   groups of near copies share runs of lines, while a common line by itself says nothing. Each
-   document is paired with the first document that holds a piece of evidence: links grow with the
-   number of lines, never with the square of a group, and no frequency is left out.
+2. Evidence of an overlap is, at any frequency, a line of ``PASSAGE`` words or more or two
+   neighbouring lines of ``WORDS`` words together: large groups of near copies share runs of lines.
+   A line of ``WORDS`` words or more that is shorter than a passage is evidence while it is rare (in
+   ``RARE`` distinct texts at most); a common one by itself, such as a notice, says nothing and
+   stays. Each document is paired with the first document that holds a piece of evidence: links
+   grow with the number of lines, never with the square of a group.
 3. Each pair is aligned by patience diff: lines that occur once in both anchor the alignment, the
    longest increasing run of anchors is kept, and equal lines next to anchors or ends join them;
    between anchors the same is done again.
@@ -32,7 +33,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from ..scale.durable import stored
 from .text import codes, is_kind, mix, runs, span_hashes
 
-WORDS, RARE = 5, 10
+WORDS, RARE, PASSAGE = 5, 10, 50
 
 
 def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +68,16 @@ _EVIDENCE = ArrayType(StructType([StructField("hash", LongType()), StructField("
 
 @F.pandas_udf(_EVIDENCE)
 def _evidence(lines: pd.Series, words: pd.Series) -> pd.Series:
-    """Distinct (hash, 0) of single lines and (hash, 1) of pairs of lines."""
+    """Distinct (hash, 0) of single lines, (hash, 1) of pairs of lines and (hash, 2) of passages."""
     out = []
     for h, n in zip(lines, words):
         h, n = np.asarray(h, np.int64).view(np.uint64), np.asarray(n)
-        one = np.unique(h[n >= WORDS])
+        one, whole = np.unique(h[(n >= WORDS) & (n < PASSAGE)]), np.unique(h[n >= PASSAGE])
         two = np.unique(mix(h[:-1] * np.uint64(3) + h[1:])[n[:-1] + n[1:] >= WORDS]) \
             if len(h) > 1 else h[:0]
         out.append([{"hash": x, "runs": 0} for x in one.view(np.int64).tolist()]
-                   + [{"hash": x, "runs": 1} for x in two.view(np.int64).tolist()])
+                   + [{"hash": x, "runs": 1} for x in two.view(np.int64).tolist()]
+                   + [{"hash": x, "runs": 2} for x in whole.view(np.int64).tolist()])
     return pd.Series(out)
 
 
@@ -167,7 +169,7 @@ def deletions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("place", F.explode("all").alias("e")).select("place", "e.hash", "e.runs")
     shared = evidence.groupBy("hash", "runs").agg(
         F.min("place").alias("first"), F.count(F.lit(1)).alias("n")) \
-        .where(f"n > 1 AND (runs = 1 OR n <= {RARE})")
+        .where(f"n > 1 AND (runs > 0 OR n <= {RARE})")
     pairs = (evidence.join(shared, ["hash", "runs"]).where("place != first")
              .select("first", "place").distinct())
     met = (pairs.join(distinct, "place")

@@ -98,6 +98,16 @@ def test_common_line_alone_stays_but_large_groups_are_found(spark):
                                           for i in range(1, 30))
 
 
+@pytest.mark.parametrize("holders", [10, 11, 40])
+def test_passage_of_one_line_goes_at_any_frequency(spark, holders):
+    passage = sentence(1, 50)
+    rows = [(i, sentence(200 + i, 9) + "\n" + passage + "\n" + sentence(500 + i, 9))
+            for i in range(holders)]
+    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(documents(spark, rows)).collect()}
+    # Whatever the number of holders: the first keeps it, all others lose it and nothing else.
+    assert got == {i: t if i == 0 else t.replace(passage + "\n", "") for i, t in rows}
+
+
 def test_line_dedup_odd_rows(spark):
     text = sentence(1, 20) + "\n" + sentence(2, 20)
     long = "\n".join(sentence(1000 + i, 6) for i in range(4000))
