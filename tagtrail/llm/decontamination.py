@@ -2,7 +2,9 @@
 
 A seed is the hash of the words that a fixed mask picks from a run of words; the words under the
 mask's gaps may differ, so a passage with substituted words still has seeds in common with its
-source. Several masks with different gaps make up for each other; a short one serves short items.
+source. Masks with different gaps make up for each other, and items of 5 to 9, of 10 to 12 and of
+more words have masks of their own: whichever words are substituted in an item, or in a run of
+``SPAN`` words or more of it, up to a share of 1 - ``IDENTITY``, one seed at least is left.
 
 1. The seeds of all benchmark items are a table, and a bitmap of fixed size that every task gets.
 2. One pass over the documents tests the seeds of every text against the bitmap. What passes is
@@ -10,8 +12,9 @@ source. Several masks with different gaps make up for each other; a short one se
 3. The seeds of the regions are joined to the seed table (this is exact: the bitmap only thins out),
    which gives pairs of region and item.
 4. Each pair is verified along the diagonals that its common seeds name: an overlap is the best run
-   of positions in which at least ``IDENTITY`` of the words agree, and counts if it has
-   ``min(SPAN, words of the item)`` words or more.
+   of positions in which at least ``IDENTITY`` of the words agree, from an agreeing word to another.
+   It counts if it has ``SPAN`` words or more, or if the item as a whole agrees in that share, be
+   its first or last word substituted or not.
 
 Words are runs of letters and digits, lower-cased. Items of fewer than ``SHORTEST`` words, empty and
 null texts are never found. Items of equal words are one item, reported by the smallest id.
@@ -22,7 +25,7 @@ are those of the id. Rows with a null id are documents of no id: they are report
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,9 +37,13 @@ from ..scale.durable import stored
 from .text import mix, words
 
 #: 1: the word counts, 0: any word may stand there.
-MASKS = ("110110111", "1110100111", "101101011", "11011")
-_LONG, _LEAST = 3, 10  # the last mask is for items of fewer than 10 words alone
+MASKS = ("1110111", "11010001011", "11001001011", "111011", "11001011", "110100011",
+         "11011", "1111", "11101", "10111")
 SPAN, IDENTITY, SHORTEST = 13, 0.8, 5
+#: The masks of items by the number of words from which they serve. Each row is complete for its
+#: lengths, the first one for runs of 13 to 25 words; a longer run can be cut into such runs, and
+#: one of them has no larger share of substitutions than the whole.
+_SERVE = {SPAN: range(3), 10: range(3, 6), SHORTEST: range(6, 10)}
 #: The bitmap: 2**27 bits are 16 MB however large the benchmark is.
 BITMAP_BITS = 27
 _MARGIN = 64
@@ -54,19 +61,26 @@ def _mask_seeds(w: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(h)
 
 
-def _all_seeds(w: np.ndarray, masks: range) -> tuple[np.ndarray, np.ndarray]:
+def _class_of(count: int) -> int:
+    """The key in ``_SERVE`` of an item of ``count`` words."""
+    return next((low for low in _SERVE if count >= low), SHORTEST)
+
+
+def _all_seeds(w: np.ndarray, masks: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
     made = [_mask_seeds(w, MASKS[i], i) for i in masks]
+    made.append(np.empty(0, np.uint64))  # without items there are no masks
     return np.concatenate(made), np.concatenate([np.arange(len(m)) for m in made])
 
 
 def item_seeds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of an item and the word each begins at; a short item has those of the short mask."""
-    return _all_seeds(w, range(_LONG) if len(w) >= _LEAST else range(_LONG, len(MASKS)))
+    """Seeds of an item, by the masks for its length, and the word each begins at."""
+    return _all_seeds(w, _SERVE[_class_of(len(w))])
 
 
-def text_seeds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of a document, which has to meet items of any length."""
-    return _all_seeds(w, range(len(MASKS)))
+def text_seeds(w: np.ndarray, classes: Iterable[int] = tuple(_SERVE)
+               ) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of a document, which has to meet items of the given classes."""
+    return _all_seeds(w, [i for low in classes for i in _SERVE[low]])
 
 
 def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +116,10 @@ def _bitmap(seed_table: DataFrame) -> np.ndarray:
     return bits
 
 
-def _regions(documents: DataFrame, bitmap: np.ndarray, longest: int) -> DataFrame:
-    """(region, doc_id, at, words, seeds): the words around hits that are less than ``longest``
-    apart, from ``longest`` before the first to ``longest`` after the last."""
+def _regions(documents: DataFrame, bitmap: np.ndarray, longest: int,
+             classes: list[int]) -> DataFrame:
+    """(region, doc_id, at, words, seeds): the words around hits of items of ``classes`` that are
+    less than ``longest`` apart, from ``longest`` before the first to ``longest`` after the last."""
     shared = documents.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("array<struct<at: long, words: array<long>, seeds: array<long>>>")
@@ -119,7 +134,7 @@ def _regions(documents: DataFrame, bitmap: np.ndarray, longest: int) -> DataFram
 
         def regions(text: str | None) -> list[dict]:
             w = words(text or "")
-            h, at = text_seeds(w)
+            h, at = text_seeds(w, classes)
             hits = passing(h)
             if not len(hits):
                 return []
@@ -147,26 +162,24 @@ def best_run(same: np.ndarray) -> tuple[int, int]:
     of True of at least ``IDENTITY``; the first of several."""
     score = np.concatenate(([0], np.cumsum(np.where(same, 1 - IDENTITY, -IDENTITY))))
     score = np.round(score, 9)
-    # Longest i < j with score[j] >= score[i]: both ends from the running extremes.
-    low = np.minimum.accumulate(score)
+    true = np.flatnonzero(same)
+    if not len(true):
+        return 0, 0
+    # Longest i < j with score[j] >= score[i]: a start must be lower than all starts before it.
+    low = np.minimum.accumulate(score[true])
     best, start = 0, 0
-    for i in np.flatnonzero(np.append(True, low[1:] < low[:-1])):
-        later = np.flatnonzero(score[i:] >= score[i])
-        if len(later) and later[-1] > best:
-            best, start = int(later[-1]), int(i)
-    end = start + best
-    while start < end and not same[start]:
-        start += 1
-    while end > start and not same[end - 1]:
-        end -= 1
-    return start, end
+    for i in true[np.append(True, low[1:] < low[:-1])]:
+        later = true[score[true + 1] >= score[i]]
+        if later[-1] + 1 - i > best:
+            best, start = int(later[-1] + 1 - i), int(i)
+    return start, start + best
 
 
 def overlap(region: np.ndarray, item: np.ndarray) -> tuple[int, int, int] | None:
     """(start, end, words in common) in the region of the best overlap with an item that is long
     enough, along the diagonals of common seeds; None if there is none."""
     own, own_at = item_seeds(item)
-    theirs, at = text_seeds(region)
+    theirs, at = text_seeds(region, [_class_of(len(item))])
     order = np.argsort(own, kind="stable")
     own, own_at = own[order], own_at[order]
     left, right = np.searchsorted(own, theirs, "left"), np.searchsorted(own, theirs, "right")
@@ -179,7 +192,8 @@ def overlap(region: np.ndarray, item: np.ndarray) -> tuple[int, int, int] | None
         start, end = max(0, d), min(len(region), d + len(item))
         same = region[start:end] == item[start - d:end - d]
         a, b = best_run(same)
-        if b - a >= min(SPAN, len(item)) and (best is None or b - a > best[1] - best[0]):
+        whole = end - start == len(item) and round(same.mean() - IDENTITY, 9) >= 0
+        if (whole or b - a >= SPAN) and (best is None or b - a > best[1] - best[0]):
             best = (start + a, start + b, int(same[a:b].sum()))
     return best
 
@@ -210,10 +224,13 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, same): overlaps by word positions in the document, one for
     each region and item that overlap, with the number of words that agree."""
     items = benchmark_items(benchmark)
-    longest = (items.agg(F.max(F.size("words"))).first()[0] or 0) + _MARGIN
+    n = F.size("words")
+    kind = F.coalesce(*(F.when(n >= low, low) for low in _SERVE))
+    most, classes = items.agg(F.max(n), F.collect_set(kind)).first()
+    longest = (most or 0) + _MARGIN
     seed_table = stored(items.select("item", _item_seeds("words").alias("all"))
                         .select("item", F.explode("all").alias("seed")), "seeds")
-    regions = _regions(documents, _bitmap(seed_table), longest)
+    regions = _regions(documents, _bitmap(seed_table), longest, classes)
     pairs = (regions.select("region", F.explode("seeds").alias("seed")).join(seed_table, "seed")
              .select("region", "item").distinct())
     met = (pairs.join(regions.select("region", "doc_id", "at", "words").distinct(), "region")

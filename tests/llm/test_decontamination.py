@@ -1,5 +1,6 @@
 """Spaced seeds against exact search, substitutions, odd rows."""
 
+import itertools
 import os
 import re
 
@@ -72,6 +73,46 @@ def test_best_run_against_all_runs():
         assert b - a >= longest - 1
 
 
+@pytest.mark.parametrize("n", range(5, 21))
+def test_every_substitution_pattern_is_found(n):
+    item, around = words(sentence(31, n)), words(sentence(32, 60))
+    for gone in itertools.combinations(range(n), n // 5):
+        inside = item.copy()
+        inside[list(gone)] = np.arange(len(gone), dtype=np.uint64)
+        kept = sorted(set(range(n)) - set(gone))
+        got = d.overlap(np.concatenate([around[:30], inside, around[30:]]), item)
+        assert got == (30 + kept[0], 31 + kept[-1], len(kept)), gone
+    # One more substitution than a fifth is no overlap.
+    inside[:n // 5 + 1] = np.arange(n // 5 + 1, dtype=np.uint64)
+    inside[n // 5 + 1:] = item[n // 5 + 1:]
+    if n - n // 5 - 1 < d.SPAN:
+        assert d.overlap(inside, item) is None
+
+
+@pytest.mark.parametrize("n", range(13, 26))
+def test_masks_are_complete_for_runs_inside_an_item(n):
+    gone = np.array(list(itertools.combinations(range(n), n // 5)))
+    gone = np.bitwise_or.reduce(1 << gone, axis=1)
+    left = np.ones(len(gone), bool)
+    for i in d._SERVE[d.SPAN]:
+        picked = sum(1 << k for k, bit in enumerate(d.MASKS[i]) if bit == "1")
+        for at in range(n - len(d.MASKS[i]) + 1):
+            left &= (gone & (picked << at)) != 0
+    assert not left.any()
+
+
+def test_substituted_ends_and_sparse_agreement(spark):
+    items = {i: sentence(60 + i, n) for i, n in enumerate((13, 10, 15, 11))}
+    gone = {0: (0, 12), 1: (3, 6), 2: (3, 7, 11), 3: (3, 7)}
+    docs = []
+    for i, item in items.items():
+        changed = item.split()
+        for k in gone[i]:
+            changed[k] = "other"
+        docs.append((i, sentence(80 + i, 30) + " " + " ".join(changed) + " " + sentence(90 + i, 30)))
+    assert set(found(spark, documents(spark, docs), list(items.items()))) == {(i, i) for i in items}
+
+
 def test_seeds_do_not_depend_on_place():
     w = words(sentence(3, 60))
     inner, _ = d.item_seeds(w[20:45])
