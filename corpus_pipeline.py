@@ -57,7 +57,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: No SQL for a trained classifier, patience diff or sampled paths.
+#: No SQL for a trained classifier, common runs of lines or sampled paths.
 ORACLE_SQL = None
 
 

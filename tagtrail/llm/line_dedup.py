@@ -1,4 +1,4 @@
-"""Line deduplication by pairwise alignment of overlapping documents.
+"""Line deduplication by pairwise comparison of overlapping documents.
 
 1. Every distinct text is reduced to the hashes of its lines (one pass; texts stay where they are).
 2. Evidence of an overlap is, at any frequency, a line of ``PASSAGE`` words or more or two
@@ -7,13 +7,13 @@
    ``RARE`` distinct texts at most); a common one by itself, such as a notice, says nothing and
    stays. Each document is paired with the first document that holds a piece of evidence: links
    grow with the number of lines, never with the square of a group.
-3. Each pair is aligned by patience diff: lines that occur once in both anchor the alignment, the
-   longest increasing run of anchors is kept, and equal lines next to anchors or ends join them;
-   between anchors the same is done again.
-4. Aligned runs of lines of ``WORDS`` words or more in total are deleted from the later document.
+3. In each pair, every run of lines of ``WORDS`` words or more in total that stands in both
+   documents is deleted from the later one, wherever and however often it stands in either. Such a
+   run is covered by its shortest runs of ``WORDS`` words, so these alone are looked up: the time is
+   linear in the lines.
 
 The earlier document is the one with the smaller id (null ids last, then the smaller text hash). A
-text that an earlier document has as it is loses all its lines, without an alignment. A line is
+text that an earlier document has as it is loses all its lines, without a comparison. A line is
 compared without white space at its ends; blank lines are not counted as lines and go with the
 block around them. Null and empty texts stay as they are. Rows that repeat both id and text are one
 document and are treated alike; other columns stay, whatever their names.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,7 +83,8 @@ def _evidence(lines: pd.Series, words: pd.Series) -> pd.Series:
 
 
 def matches(a: list, b: list) -> list[tuple[int, int]]:
-    """Patience diff: pairs of positions of equal lines, increasing in both."""
+    """Patience diff: pairs of positions of equal lines, increasing in both. It leaves out repeated
+    and swapped passages, so deletions don't rest on it."""
     found: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
     while work:
@@ -128,19 +130,29 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _shortest_runs(lines: list, size: dict, least: int) -> Iterator[tuple[int, int]]:
+    """[start, end) of the shortest runs of ``least`` words from each line on and up to each line,
+    among lines that have a size."""
+    for step in (1, -1):
+        for i in range(len(lines)):
+            total, k = 0, i
+            while 0 <= k < len(lines) and lines[k] in size:
+                total += size[lines[k]]
+                if total >= least:
+                    yield min(i, k), max(i, k) + 1
+                    break
+                k += step
+
+
 def common_blocks(earlier: list, later: list, words: list, least: int = WORDS) -> list[int]:
-    """Positions of the lines of ``later`` in aligned blocks of ``least`` words or more."""
-    out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for i, j in [*matches(earlier, later), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[k] for k in block) >= least:
-                out += block
-            block = []
-        block.append(j)
-        last = (i, j)
-    return out
+    """Positions of the lines of ``later`` in runs of ``least`` words or more that ``earlier`` has."""
+    size = dict(zip(later, words))
+    held = {tuple(earlier[a:b]) for a, b in _shortest_runs(earlier, size, least)}
+    out: set[int] = set()
+    for a, b in _shortest_runs(later, size, least):
+        if tuple(later[a:b]) in held:
+            out.update(range(a, b))
+    return sorted(out)
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -204,7 +216,7 @@ def without_lines(text: str, lost: set[int]) -> str:
 
 
 def dedup_lines(documents: DataFrame, report: bool = False, keep_empty: bool = True) -> DataFrame:
-    """``documents`` with aligned common blocks deleted from the later document. Without
+    """``documents`` with common blocks deleted from the later document. Without
     ``keep_empty``, documents of which nothing is left go, if they were not blank before. With
     ``report`` also ``lines_lost``, the positions of the deleted lines among those that aren't blank
     (null where none are), and ``copy_of``, whether an earlier document has the same text."""

@@ -73,6 +73,30 @@ def test_matches_is_a_common_subsequence_like_difflib():
         m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
 
 
+def brute_blocks(a, b, n, least):
+    """All common runs, by comparing every run of ``b`` with every run of ``a``."""
+    runs = {tuple(a[i:k]) for i in range(len(a)) for k in range(i + 1, len(a) + 1)}
+    return sorted({x for i in range(len(b)) for k in range(i + 1, len(b) + 1)
+                   if sum(n[i:k]) >= least and tuple(b[i:k]) in runs for x in range(i, k)})
+
+
+def test_common_blocks_against_all_runs():
+    rng = random.Random(5)
+    for _ in range(400):
+        size = {x: rng.choice([1, 1, 2, 3, 6]) for x in range(8)}
+        a, b = ([rng.randrange(8) for _ in range(rng.randrange(16))] for _ in "ab")
+        n = [size[x] for x in b]
+        assert ld.common_blocks(a, b, n) == brute_blocks(a, b, n, ld.WORDS)
+
+
+def test_repeated_and_swapped_passages_go():
+    one, two = [1, 2, 3], [4, 5, 6]
+    n = [9] * 20
+    assert ld.common_blocks([90, *one, 91, *one, 92], [80, *one, 81], n) == [1, 2, 3]
+    assert ld.common_blocks([90, *one, 92], [80, *one, 81, *one, 82], n) == [1, 2, 3, 5, 6, 7]
+    assert ld.common_blocks([*one, 90, *two], [*two, 80, *one], n) == [0, 1, 2, 4, 5, 6]
+
+
 def test_blocks_go_from_the_later_document(spark):
     block = "\n".join(sentence(i, 8) for i in range(3))
     own = [sentence(100 + i, 9) for i in range(6)]
