@@ -1,8 +1,9 @@
 """Line deduplication by pairwise comparison of overlapping documents.
 
 1. Every distinct text is reduced to the hashes of its lines (one pass; texts stay where they are).
-2. Evidence of an overlap is, at any frequency, a line of ``PASSAGE`` words or more or two
-   neighbouring lines of ``WORDS`` words together: large groups of near copies share runs of lines.
+2. Evidence of an overlap is, at any frequency, a line of ``PASSAGE`` words or more, two
+   neighbouring lines of ``WORDS`` words together, or as many more neighbouring lines as it takes to
+   reach ``WORDS`` words: large groups of near copies share runs of lines.
    A line of ``WORDS`` words or more that is shorter than a passage is evidence while it is rare (in
    ``RARE`` distinct texts at most); a common one by itself, such as a notice, says nothing and
    stays. Each document is paired with the first document that holds a piece of evidence: links
@@ -14,7 +15,9 @@
 
 The earlier document is the one with the smaller id (null ids last, then the smaller text hash). A
 text that an earlier document has as it is loses all its lines, without a comparison. A line is
-compared without white space at its ends; blank lines are not counted as lines and go with the
+compared without white space at its ends. Its words are its runs between white space or, where a
+script sets no spaces, one for each two code points (Chinese, Japanese) or four (Thai, Lao, Burmese,
+Khmer), whichever is more. Blank lines are not counted as lines and go with the
 block around them. Null and empty texts stay as they are. Rows that repeat both id and text are one
 document and are treated alike; other columns stay, whatever their names.
 """
@@ -35,6 +38,9 @@ from ..scale.durable import stored
 from .text import codes, is_kind, mix, runs, span_hashes
 
 WORDS, RARE, PASSAGE = 5, 10, 50
+#: First and last code points of scripts without spaces, and quarters of a word that each stands for.
+_UNSPACED = ((0x0E00, 0x0EFF, 1), (0x1000, 0x109F, 1), (0x1780, 0x17FF, 1), (0x3040, 0x30FF, 2),
+             (0x3400, 0x4DBF, 2), (0x4E00, 0x9FFF, 2), (0xF900, 0xFAFF, 2), (0x20000, 0x323AF, 2))
 
 
 def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +56,12 @@ def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = solid[first[kept]], solid[last[kept] - 1] + 1
     word_starts, _ = runs(~blank)
     n = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
+    if len(p) and p.max() >= _UNSPACED[0][0]:
+        quarters = np.zeros(len(p) + 1, np.int64)
+        for low, high, each in _UNSPACED:
+            quarters[1:] += each * ((p >= low) & (p <= high))
+        quarters = np.cumsum(quarters)
+        n = np.maximum(n, (quarters[ends] - quarters[starts]) // 4)
     return span_hashes(p, starts, ends), n
 
 
@@ -69,13 +81,17 @@ _EVIDENCE = ArrayType(StructType([StructField("hash", LongType()), StructField("
 
 @F.pandas_udf(_EVIDENCE)
 def _evidence(lines: pd.Series, words: pd.Series) -> pd.Series:
-    """Distinct (hash, 0) of single lines, (hash, 1) of pairs of lines and (hash, 2) of passages."""
+    """Distinct (hash, 0) of single lines, (hash, 1) of runs of lines and (hash, 2) of passages."""
     out = []
     for h, n in zip(lines, words):
         h, n = np.asarray(h, np.int64).view(np.uint64), np.asarray(n)
         one, whole = np.unique(h[(n >= WORDS) & (n < PASSAGE)]), np.unique(h[n >= PASSAGE])
-        two = np.unique(mix(h[:-1] * np.uint64(3) + h[1:])[n[:-1] + n[1:] >= WORDS]) \
-            if len(h) > 1 else h[:0]
+        total, run, several = n, h, []
+        for k in range(1, min(WORDS, len(h))):  # a line has a word at least
+            before, total = total[:-1], total[:-1] + n[k:]
+            run = mix(run[:-1] * np.uint64(3) + h[k:])
+            several.append(run[(total >= WORDS) & ((before < WORDS) | (k == 1))])
+        two = np.unique(np.concatenate(several)) if several else h[:0]
         out.append([{"hash": x, "runs": 0} for x in one.view(np.int64).tolist()]
                    + [{"hash": x, "runs": 1} for x in two.view(np.int64).tolist()]
                    + [{"hash": x, "runs": 2} for x in whole.view(np.int64).tolist()])

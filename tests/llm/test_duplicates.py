@@ -122,6 +122,26 @@ def test_common_line_alone_stays_but_large_groups_are_found(spark):
                                           for i in range(1, 30))
 
 
+def test_blocks_of_short_lines_and_unspaced_lines_go(spark):
+    verse = "\n".join(sentence(1, 60).split())
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(40))
+    thai = "".join(chr(0x0E01 + i) for i in range(40))
+    rows = [(10 * k + i, f"{sentence(200 + 10 * k + i, 9)}\n{block}\n{sentence(500 + 10 * k + i, 9)}")
+            for k, block in enumerate((verse, han, thai, "\n".join("abcd"))) for i in range(2)]
+    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(documents(spark, rows)).collect()}
+    for k, block in enumerate((verse, han, thai)):
+        assert got[10 * k] == rows[2 * k][1]
+        assert got[10 * k + 1] == rows[2 * k + 1][1].replace(block + "\n", "")
+    assert got[31] == rows[7][1]  # four words together are too few
+
+
+def test_words_of_lines():
+    han, thai = chr(0x4E2D), chr(0x0E01)
+    text = f"a b c\n{han * 10}\n{han}\nab {han * 4}\n{thai * 12}\n"
+    assert ld.lines_of(text)[1].tolist() == [3, 5, 1, 2, 3]
+    assert ld.lines_of("")[1].tolist() == []
+
+
 @pytest.mark.parametrize("holders", [10, 11, 40])
 def test_passage_of_one_line_goes_at_any_frequency(spark, holders):
     passage = sentence(1, 50)
