@@ -2,7 +2,7 @@
 
 Every text is a layer. A layer is scanned for three kinds of secret, then searched for encoded parts
 (percent escapes, \\\\u escapes, base64; decoded bytes that start like gzip, zlib, bzip2 or Zstandard
-data are unpacked), each of which is a new layer on the worklist, until none is left. A layer seen
+data are unpacked, all members of them; base64 may be wrapped into lines), each of which is a new layer on the worklist, until none is left. A layer seen
 before for the same part of the document is not opened again, so that data that decodes to itself
 ends. A find in a decoded layer is reported at the span of the original text that it was decoded
 from: escapes map character by character, base64 and compressed data as a whole.
@@ -11,7 +11,8 @@ Positions are code points, ends exclusive. Null text is empty text: no spans. A
 distinct and sorted by start, kind and end. Repeated rows are scanned one by one.
 
 ``MAX_UNPACKED`` bounds what one compressed part may unpack to, against decompression bombs; the
-part before the bound is scanned, and ``n_cut`` counts parts that reached it.
+part before the bound is scanned, and ``n_cut`` counts parts that reached it, end early or have a
+broken member behind the first.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BREAK = re.compile(r"\r?\n[ \t]*")
+_LAST_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]{1,15}={0,2})(?![A-Za-z0-9+/_=-])")
 MAX_UNPACKED = 1 << 26
 
 
@@ -68,23 +71,50 @@ def _as_text(data: bytes) -> str | None:
     return text if bad * 20 <= len(text) else None
 
 
+def _packing(head: bytes) -> str | None:
+    """The kind of compressed data that begins like this."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip"
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return "zlib"
+    if head[:3] == b"BZh":
+        return "bzip2"
+    return "zstd" if head[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+def _decompressor(kind: str):
+    if kind == "zstd":
+        return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+    return bz2.BZ2Decompressor() if kind == "bzip2" else \
+        zlib.decompressobj(31 if kind == "gzip" else 15)
+
+
 def _unpack(data: bytes) -> tuple[bytes, bool] | None:
-    """Unpacked data and whether it was cut, None for data that isn't compressed."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            out = zlib.decompressobj(31).decompress(data, MAX_UNPACKED)
-        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            out = zlib.decompressobj().decompress(data, MAX_UNPACKED)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, MAX_UNPACKED)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data) as r:
-                out = r.read(MAX_UNPACKED)
-        else:
-            return None
-    except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
+    """Unpacked data of all members that follow each other, and whether the bound, an early end or
+    an error in a later member cut it; None for data that isn't compressed."""
+    kind = _packing(data)
+    if kind is None:
         return None
-    return out, len(out) >= MAX_UNPACKED
+    # Zstandard takes no bound, so it gets little at a time.
+    step = 64 if kind == "zstd" else 4096
+    parts, size, at, cut = [], 0, 0, False
+    while not cut and at < len(data) and _packing(data[at:at + 4]) == kind:
+        first = at == 0
+        try:
+            d = _decompressor(kind)
+            while not d.eof and at < len(data) and size < MAX_UNPACKED:
+                piece = data[at:at + step]
+                out = d.decompress(piece) if kind == "zstd" else \
+                    d.decompress(piece, MAX_UNPACKED - size)
+                parts.append(out)
+                size += len(out)
+                at += len(piece) - (len(d.unused_data) if d.eof else 0)
+            cut = not d.eof or size >= MAX_UNPACKED
+        except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
+            if first:
+                return None
+            cut = True
+    return b"".join(parts)[:MAX_UNPACKED], cut
 
 
 def _spread(text: str, pattern: re.Pattern, value) -> tuple[str, np.ndarray, np.ndarray]:
@@ -127,14 +157,42 @@ def _whole(start: int, end: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.full(n, start), np.full(n, end)
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, characters) of base64 lines, and of the blocks of lines of one width that they
+    make, with a last line that is shorter."""
+    block: list[re.Match] = []
+
+    def blocks() -> Iterator[tuple[int, int, str]]:
+        whole = "".join(x.group() for x in block)
+        start, end, width = block[0].start(), block[-1].end(), len(block[0].group())
+        if len(block) > 1:
+            yield start, end, whole
+        last = _LAST_LINE.match(text, end)
+        if last and len(block[-1].group()) == width and not whole.endswith("=") \
+                and len(last[1]) < width:
+            yield start, last.end(), whole + last[1]
+
+    for m in _BASE64.finditer(text):
+        yield m.start(), m.end(), m.group()
+        # A line that is shorter, or padded, ends its block.
+        if block and not (_BREAK.fullmatch(text, block[-1].end(), m.start())
+                          and len(block[-1].group()) == len(block[0].group()) >= len(m.group())
+                          and not block[-1].group().endswith("=")):
+            yield from blocks()
+            block = []
+        block.append(m)
+    if block:
+        yield from blocks()
+
+
 def _layers(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, bool]]:
     """Decoded parts of a layer: text, start and end in the layer of each character, cut or not."""
     if "%" in text and _PERCENT.search(text):
         yield *_spread(text, _PERCENT_CHARACTER, _percent_text), False
     if "\\u" in text and _UNICODE.search(text):
         yield *_spread(text, _UNICODE_CHARACTER, _unicode_text), False
-    for m in _BASE64.finditer(text):
-        token = m.group().rstrip("=").replace("-", "+").replace("_", "/")
+    for start, end, token in _tokens(text):
+        token = token.rstrip("=").replace("-", "+").replace("_", "/")
         if len(token) % 4 == 1:
             continue
         try:
@@ -152,7 +210,7 @@ def _layers(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, bool]]:
             cut |= was_cut
         inner = data.decode("utf-8", "replace") if cut else _as_text(data)
         if inner:
-            yield inner, *_whole(m.start(), m.end(), len(inner)), cut
+            yield inner, *_whole(start, end, len(inner)), cut
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:

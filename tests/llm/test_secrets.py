@@ -73,6 +73,27 @@ def test_layers_are_unwrapped(encode):
     assert hits and all(6 <= a < b <= 6 + len(coded) for a, _, b in hits)
 
 
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress, zstandard.compress])
+@pytest.mark.parametrize("before", [40, 47, 300])
+def test_wrapped_base64_is_one_part(width, line_end, pack, before):
+    words = " ".join(str(i * 7919) for i in range(200))
+    coded = b64(pack((words[:before] + f" {KEY} " + words[before:before + 90]).encode()))
+    lines = [coded[i:i + width] for i in range(0, len(coded), width)]
+    text = f"start{line_end}{line_end.join(lines)}{line_end}"
+    assert any(k == 1 and a == 5 + len(line_end) for a, k, _ in secrets.find(text)[1])
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, zstandard.compress])
+def test_all_members_are_read_and_early_ends_counted(pack):
+    first, second = pack(b"nothing here. " * 20), pack(f"see {KEY} there".encode())
+    coded = b64(first + second)
+    assert secrets.find(coded)[1:] == ([(0, 1, len(coded))], 0)
+    assert secrets.find(b64(first + second[:-6]))[2] == 1
+    assert secrets.find(b64(first))[1:] == ([], 0)
+
+
 def test_escapes_map_to_their_characters():
     text = "é token%20%3D%20abcdefgh tail"
     assert spans(text) == f"assign:2:{text.index(' tail')}"
