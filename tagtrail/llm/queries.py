@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontamination, html_text, jaccard_join, language, line_dedup, mixing, quality,
-               secrets, toxicity, vector_search)
+from . import (decontamination, divergence, html_text, jaccard_join, language, line_dedup, mixing,
+               prefix_trie, quality, secrets, simhash, toxicity, vector_search)
 from .stream import small_batches
 
 
@@ -95,6 +95,20 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_classes(table(spark, folder, "documents"))
 
 
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefix_trie.numbered(table(spark, folder, "conversations"))
+    return prefix_trie.nodes(*prefix_trie.regrown(turns))
+
+
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergences(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_html_text": op2_html_text,
@@ -106,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_simhash": op11_simhash,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -126,5 +143,103 @@ ranked AS (
            vec_id, score
     FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    # Members of a node hold the heads of all nodes below it; a node is below another if it is as
+    # deep and its head is a member of it. Prefixes are compared as text, not by digest.
+    "op12_prefix_trie": r"""
+WITH ids AS (
+    SELECT DISTINCT CAST(conv_id AS BIGINT) AS c FROM conversations WHERE conv_id IS NOT NULL),
+family AS (
+    SELECT c, c - c % 20 AS base, CAST(xor(list_reduce(
+        list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS UBIGINT)),
+        lambda r, b: list_reduce(list_transform(range(8), lambda k: CAST(k AS UBIGINT)),
+            lambda a, k: xor(a >> 1, (a & 1) * CAST(3988292384 AS UBIGINT)), xor(r, b)),
+        CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT)) % 4 AS BIGINT) AS h
+    FROM ids),
+turns AS (
+    SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+chosen AS (
+    SELECT f.c, t.pos, t.role, t.text, 0 AS own FROM family f JOIN turns t ON t.c = f.base
+    WHERE t.pos <= f.h
+    UNION ALL
+    SELECT f.c, t.pos, t.role, t.text, 1 FROM family f JOIN turns t ON t.c = f.c WHERE t.pos > f.h),
+placed AS (
+    SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS depth FROM chosen),
+member AS (
+    SELECT c, depth, string_agg(length(role) || ':' || length(text) || ':' || role || text, '' )
+               OVER (PARTITION BY c ORDER BY depth) AS prefix, text AS last FROM placed
+    UNION ALL SELECT c, 0, '', '' FROM ids),
+long AS (SELECT c, max(depth) AS length FROM member GROUP BY c),
+above AS (
+    SELECT m.c, m.depth, m.prefix, m.last, p.prefix AS parent, l.length FROM member m
+    JOIN long l ON l.c = m.c LEFT JOIN member p ON p.c = m.c AND p.depth = m.depth - 1),
+node AS (
+    SELECT depth, prefix, min(parent) AS parent, min(c) AS head, count(*) AS n_convs,
+           (count(*) - 1) * len(regexp_extract_all(min(last), '[^\x20\x09-\x0D]+')) AS saved,
+           max(length) = depth AS childless,
+           sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)
+                           FILTER (WHERE length = depth), '')) AS ends_sha256
+    FROM above GROUP BY depth, prefix),
+below AS (
+    SELECT m.depth, m.prefix, sum(v.saved) AS saved_tokens,
+           count(*) FILTER (WHERE v.childless) AS n_leaves
+    FROM member m JOIN node v ON v.head = m.c AND v.depth >= m.depth GROUP BY m.depth, m.prefix),
+kids AS (SELECT depth - 1 AS depth, parent AS prefix, count(*) AS n FROM node WHERE depth > 0
+         GROUP BY 1, 2)
+SELECT n.head AS conv_id, CAST(n.depth AS BIGINT) AS depth, p.head AS parent_conv_id,
+       n.n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children, b.n_leaves,
+       CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM node n JOIN below b ON b.depth = n.depth AND b.prefix = n.prefix
+LEFT JOIN node p ON p.depth = n.depth - 1 AND p.prefix = n.parent
+LEFT JOIN kids k ON k.depth = n.depth AND k.prefix = n.prefix
+""",
+    "op13_divergence": r"""
+WITH filled AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           coalesce(text, '') AS text
+    FROM documents),
+word AS (
+    SELECT id, lang, source, translate(unnest(regexp_extract_all(
+               text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+    FROM filled),
+kept AS (
+    SELECT lang, term FROM word GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+volume AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM filled),
+counted AS (
+    SELECT w.lang, w.source, w.term, count(*) AS n FROM word w
+    JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY 1, 2, 3),
+cell AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM grp g JOIN kept k ON k.lang = g.lang
+    LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (
+    SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000 * CAST(c.n + 1 AS HUGEINT))
+           // (sum(c.n) OVER (PARTITION BY c.lang, c.source) + v.v) AS p
+    FROM cell c JOIN volume v ON v.lang = c.lang),
+whole AS (SELECT lang, term, sum(n) AS n FROM cell GROUP BY lang, term),
+q AS (
+    SELECT w.lang, w.term, 1 + (1000000000 * CAST(w.n + 1 AS HUGEINT))
+           // (sum(w.n) OVER (PARTITION BY w.lang) + v.v) AS q
+    FROM whole w JOIN volume v ON v.lang = w.lang),
+pair AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source
+    GROUP BY 1, 2, 3),
+found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+           CAST(coalesce(x.value, 0) AS BIGINT) AS value
+    FROM grp a JOIN grp b ON b.lang = a.lang AND b.source <> a.source
+    LEFT JOIN pair x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL
+    SELECT p.lang, p.source, 'term', p.term, CAST(((p.p - q.q) * (p.p - q.q)) // q.q AS BIGINT)
+    FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (
+        PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """,
 }
