@@ -34,16 +34,6 @@ def hour_bin(hour: Column) -> Column:
     return right_closed(hour, HOUR_EDGES, HOUR_LABELS)
 
 
-def percentile_of_sorted(values: Column, percent: float) -> Column:
-    """Linearly interpolated percentile of an ascending array column."""
-    position = (F.size(values) - 1) * F.lit(percent / 100.0)
-    low = F.floor(position).cast("int")
-    high = F.ceil(position).cast("int")
-    below = F.get(values, low).cast("double")
-    above = F.get(values, high).cast("double")
-    return below + (above - below) * (position - low)
-
-
 def indicator(condition: Column) -> Column:
     """0/1 integer; a null condition counts as 0."""
     return F.coalesce(condition.cast("int"), F.lit(0))

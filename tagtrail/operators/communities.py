@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale.durable import stored
+from ..scale.durable import release, stored
 from ..scale.skew import lookup_join
 from .graph import Adjacency, both_ways
 from .summaries import top_per_group
@@ -26,15 +26,18 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, max_iter: int = 50)
         held = state.selectExpr("id AS dst", "id AS label", "0L AS n", "label AS before",
                                 "before AS earlier")
         nothing = "CAST(NULL AS BIGINT)"
-        state = stored(held.union(votes.selectExpr("dst", "label", "n", nothing, nothing))
+        last_state, state = state, stored(held.union(votes.selectExpr("dst", "label", "n", nothing, nothing))
                        .groupBy("dst")
                        .agg(F.expr("max(struct(n, -label AS low)) AS best"),
                             F.expr("max(before) AS before"), F.expr("max(earlier) AS earlier"))
                        .selectExpr("dst AS id", "-best.low AS label", "before", "earlier"),
                        "labels")
-        if state.filter("label <> before").isEmpty():
+        release(last_state)
+        moved, new = state.agg(F.expr("bool_or(label <> before)"),
+                               F.expr("bool_or(earlier IS NULL OR label <> earlier)")).first()
+        if not moved:
             break
-        if state.filter("earlier IS NULL OR label <> earlier").isEmpty():
+        if not new:
             # The two states take turns: the last round gives this one or the one before.
             last = "label" if (max_iter - i) % 2 == 0 else "before"
             state = state.selectExpr("id", f"{last} AS label")

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import binning as b
 from ..functions import calendar as cal
+from ..scale.durable import stored
 from .locations import impute_locations
+from .selection import distinct_percentiles
 
+# Columns that are flags already.
 FLAGS = ["weekend", "tagged_after_close", "during_exhibition", "visitor_drawn", "meta_store"]
 
 # Weekday columns; Saturday and Sunday are covered by ``weekend``.
 WEEKDAYS = {0: "Mon", 1: "Tues", 2: "Wed", 3: "Thur", 4: "Fri"}
 
-# Columns whose levels become indicator columns, with their prefix.
+# Columns whose levels become indicator columns, with their prefix.
 FAMILIES = {"wom": "wom", "year": "year", "month": "month", "quarter": "quarter",
             "room_id": "room", "room_floor": "floor"}
 
@@ -35,22 +38,13 @@ def prepare(tags: DataFrame) -> DataFrame:
     return impute_locations(tags).withColumn("wom", cal.week_of_month(F.col("day")))
 
 
-def _edges(column: str, percents: list[int]) -> Column:
-    """Percentiles of the distinct values without the smallest. Distinct object counts of N
-    location rows number at most about sqrt(2N), so the array stays small."""
-    ordered = F.array_sort(F.collect_set(column))
-    kept = F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0)))
-    return F.array(*[b.percentile_of_sorted(kept, p) for p in percents])
-
-
 def find_levels(prepared: DataFrame) -> Levels:
-    """One pass over the rows; what reaches the driver is as long as the column list."""
-    row = prepared.agg(
-        *[F.array_sort(F.collect_set(c)).alias(c) for c in FAMILIES],
-        _edges("room_count_objects", b.ROOM_PERCENTS).alias("room_edges"),
-        _edges("spot_count_objects", b.SPOT_PERCENTS).alias("spot_edges")).first()
-    return Levels({c: list(row[c]) for c in FAMILIES}, list(row["room_edges"]),
-                  list(row["spot_edges"]))
+    """Levels and bin edges; what reaches the driver is as long as the column list. Bin edges are
+    percentiles of the distinct counts without the smallest, however many those are."""
+    row = prepared.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in FAMILIES]).first()
+    return Levels({c: list(row[c]) for c in FAMILIES},
+                  distinct_percentiles(prepared, "room_count_objects", b.ROOM_PERCENTS, skip=1),
+                  distinct_percentiles(prepared, "spot_count_objects", b.SPOT_PERCENTS, skip=1))
 
 
 def room_capacity(levels: Levels) -> Column:
@@ -100,3 +94,50 @@ def feature_matrix(tags: DataFrame, keys: tuple[str, ...] = ("id",),
     levels = levels or find_levels(prepared)
     columns = feature_columns(levels)
     return prepared.select(*keys, *[c.alias(name) for name, c in columns.items()])
+
+
+# --- the same as sets of levels ----------------------------------------------------------------------
+
+def level_sets(tags: DataFrame, keys: tuple[str, ...] = ("id",),
+               edges: Levels | None = None) -> DataFrame:
+    """(keys, levels): of every tag the names of the matrix columns that are 1, in order. Nothing is
+    collected but bin edges, and a vocabulary of any size is no wider than one of ten."""
+    prepared = prepare(tags)
+    edges = edges or Levels({}, *[distinct_percentiles(prepared, c, p, skip=1) for c, p in (
+        ("room_count_objects", b.ROOM_PERCENTS), ("spot_count_objects", b.SPOT_PERCENTS))])
+    day = F.lit(None).cast("string")
+    for number, name in WEEKDAYS.items():
+        day = F.when(F.col("dow") == number, F.lit(name)).otherwise(day)
+    names = [b.hour_bin(F.col("hour")), day, room_capacity(edges), spot_turnover(edges),
+             F.when(F.col("bursty") == 1, F.lit("is_bursty"))]
+    names += [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{prefix}_"), F.col(c).cast("string")))
+              for c, prefix in FAMILIES.items()]
+    names += [F.when(F.col(flag).cast("int") == 1, F.lit(flag)) for flag in FLAGS]
+    return prepared.select(*keys, F.array_sort(F.array_compact(F.array(*names))).alias("levels"))
+
+
+def dictionary(sets: DataFrame) -> DataFrame:
+    """(level, index): the levels in use, numbered from 0 in their order."""
+    placed = stored(sets.select(F.explode("levels").alias("level")).distinct()
+                    .repartitionByRange("level").withColumn("part", F.spark_partition_id()), "levels")
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("level")) - 1
+    return placed.withColumn("nth", nth).join(shifts, "part") \
+        .select("level", (F.col("shift") + F.col("nth")).alias("index"))
+
+
+def coded(sets: DataFrame, numbered: DataFrame, key: str = "id") -> DataFrame:
+    """(key, indices): sparse indicator vectors, as the ascending indices that are 1. A frequent level
+    is one row of the dictionary, whose join can be split."""
+    at = sets.select(key, F.explode("levels").alias("level")).join(numbered, "level")
+    some = at.groupBy(key).agg(F.array_sort(F.collect_list("index")).alias("indices"))
+    return sets.select(key).join(some, key, "left") \
+        .withColumn("indices", F.coalesce("indices", F.array().cast("array<long>")))
+
+
+def decoded(codes: DataFrame, numbered: DataFrame, key: str = "id") -> DataFrame:
+    """(key, level): a row for each indicator that is 1."""
+    return codes.select(key, F.explode("indices").alias("index")).join(numbered, "index") \
+        .select(key, "level")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale.durable import stored
+from ..scale.durable import bucketed, buckets, stored
 from ..scale.skew import lookup_join
 from .journeys import transitions
 
@@ -82,17 +82,41 @@ def endpoints(edges: DataFrame) -> DataFrame:
 class Adjacency:
     """Edges kept for repeated passes that send a value along each edge.
 
-    The edges are written once; a pass joins them to the vertex values by source. Where the values
-    fit into memory Spark broadcasts them and the edges stay where they are; otherwise they shuffle,
-    and adaptive execution splits the edges of a busy source."""
+    The edges are written once, in buckets by source (``durable.bucketed``): a pass brings the state
+    of the vertices to them, and edges are never shuffled. A source with more edges than a bucket holds
+    on average, or than ``BUSY``, would fill a bucket by itself: there are no more such sources than
+    buckets, so their edges are dealt evenly and their values sent to all tasks. Fewer edges than ``SMALL`` stay as they are: one task reads them faster than many open
+    their buckets."""
+
+    BUSY, SMALL = 10_000, 1 << 20
 
     def __init__(self, edges: DataFrame):
-        self._edges = stored(edges, "edges")
+        spark = edges.sparkSession
+        n = buckets(spark)
+        edges = stored(edges.select("src", "dst"), "edges")
+        total = edges.count()
+        self._busy = self._spread = None
+        if total < self.SMALL:
+            self._edges = edges
+            return
+        most = max(total // n, self.BUSY)
+        busy = stored(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+                      .select("src"), "busy")
+        if not busy.isEmpty():  # n sources at most
+            self._busy = busy
+            self._spread = stored(edges.join(F.broadcast(busy), "src", "left_semi").repartition(n),
+                                  "edges")
+            edges = edges.join(F.broadcast(busy), "src", "left_anti")
+        self._edges = bucketed(edges.repartition(n, "src"), "src", "edges")
 
     def send(self, state: DataFrame, value: str, name: str = "value") -> DataFrame:
         """(dst, value) for each edge; ``value`` is an SQL expression over the source's row."""
         state = state.selectExpr("id AS src", f"{value} AS {name}")
-        return self._edges.join(state, "src").select("dst", name)
+        sent = self._edges.join(state, "src").select("dst", name)
+        if self._busy is None:
+            return sent
+        few = state.join(F.broadcast(self._busy), "src", "left_semi")
+        return sent.union(self._spread.join(F.broadcast(few), "src").select("dst", name))
 
 
 def vertex_reindex(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..scale.durable import stored
+from ..scale.durable import release, stored
 from .graph import Adjacency, endpoints
 from .summaries import share, top_per_group
 
@@ -49,7 +49,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, tol: fl
     along = Adjacency(edges)
     rounds = count() if iterations is None else range(iterations)
     for _ in rounds:
-        state = stored(_round(along, state, reset, 1 - reset), "ranks")
+        before, state = state, stored(_round(along, state, reset, 1 - reset), "ranks")
+        release(before)
         if iterations is None and _change(state)[0] <= tol:
             break
     return vertices.join(state.select("id", "pagerank"), "id")
@@ -68,8 +69,9 @@ def pagerank_normalized(edges: DataFrame, damping: float = 0.85, tol: float = 1e
     state = fixed.withColumn("pagerank", F.lit(1.0 / n))
     for _ in count() if iterations is None else range(iterations):
         loose = state.filter("out_degree = 0").agg(F.sum("pagerank").alias("s")).first()["s"]
-        state = stored(_round(along, state, (1 - damping + damping * (loose or 0.0)) / n, damping),
-                       "ranks")
+        before, state = state, stored(
+            _round(along, state, (1 - damping + damping * (loose or 0.0)) / n, damping), "ranks")
+        release(before)
         if iterations is None and _change(state)[1] < n * tol:
             break
     return state.select("id", "pagerank").orderBy(F.desc("pagerank"), "id")

@@ -76,11 +76,11 @@ def reference_distance(df: DataFrame, key: str, vector: str, references: Sequenc
         .select("a", "b", distance(F.col("w"), F.col("v"), metric).alias("distance"))
 
 
-def pairwise_distance(sample: DataFrame, key: str, vector: str, metric: str = "cityblock",
-                      block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, distance) for every two rows of a sample, a < b."""
-    blocks = _block_count(sample, block_rows)
-    dealt = _dealt(sample, key, vector, blocks)
+def block_pairs(df: DataFrame, key: str, value: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, va, vb): every two rows, a < b, with a value of each."""
+    blocks = _block_count(df, block_rows)
+    dealt = df.select(F.col(key).alias("id"), F.col(value).alias("v"),
+                      F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     left = dealt.select(F.col("id").alias("a"), F.col("v").alias("va"),
                         F.col("block").alias("i"),
                         F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"))
@@ -88,8 +88,18 @@ def pairwise_distance(sample: DataFrame, key: str, vector: str, metric: str = "c
                          F.explode(F.sequence(F.lit(0), "block")).alias("i"),
                          F.col("block").alias("j"))
     met = left.join(right, ["i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    swap = F.col("a") > F.col("b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                      distance(F.col("va"), F.col("vb"), metric).alias("distance"))
+                      F.when(swap, F.col("vb")).otherwise(F.col("va")).alias("va"),
+                      F.when(swap, F.col("va")).otherwise(F.col("vb")).alias("vb"))
+
+
+def pairwise_distance(sample: DataFrame, key: str, vector: str, metric: str = "cityblock",
+                      block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, distance) for every two rows of a sample, a < b."""
+    vectors = sample.select(key, F.col(vector).cast("array<double>").alias("v"))
+    return block_pairs(vectors, key, "v", block_rows).select(
+        "a", "b", distance(F.col("va"), F.col("vb"), metric).alias("distance"))
 
 
 def cosine_similarity(objects: DataFrame, key: str, vector: str, n: int = 10,

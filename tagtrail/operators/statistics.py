@@ -68,6 +68,21 @@ def target_correlation(df: DataFrame, target: str, columns: Sequence[str],
         .orderBy(F.desc_nulls_last(F.round("corr", 9)), "feature").limit(k)
 
 
+def level_correlation(sets: DataFrame, target: str, levels: str = "levels") -> DataFrame:
+    """(level, corr): the Pearson correlation of each level's indicator with that of ``target``, null
+    where one is constant. With n rows, b of the level, a of the target and ab of both it is
+    (n ab - a b) / sqrt(a (n - a) b (n - b)): one count per level, whatever their number, and no
+    column for any of them."""
+    has = F.array_contains(levels, target)
+    whole = sets.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(has, 1)).alias("a"))
+    counts = sets.select(F.explode(levels).alias("level"), has.cast("long").alias("both")) \
+        .groupBy("level").agg(F.count(F.lit(1)).alias("b"), F.sum("both").alias("ab"))
+    n, a, b, ab = (F.col(c).cast("double") for c in ("n", "a", "b", "ab"))
+    spread = a * (n - a) * b * (n - b)
+    return counts.crossJoin(whole).select("level", F.when(  # one row
+        spread > 0, (n * ab - a * b) / F.sqrt(spread)).alias("corr"))
+
+
 def cluster_target_correlation(df: DataFrame, target: str, columns: Sequence[str],
                                cluster: str = "cluster", k: int = 10) -> DataFrame:
     """Per cluster its share of rows and the ``k`` features that correlate most with

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import binning, frames, labels
 from ..operators import (clustering, communities, components, exhibitions, features, graph,
-                         journeys, locations, ranking, similarity, statistics, summaries, times)
+                         journeys, linkage, locations, metadata, ranking, selection, similarity,
+                         statistics, summaries, times)
 from ..scale.durable import scratch_path, stored
 from ..sources import dumps, files, store
 from .model_views import Views
@@ -26,6 +27,10 @@ LABEL_ROUNDS = 50
 DIMENSIONS = 64
 E_COLUMNS = [f"e{i}" for i in range(DIMENSIONS)]
 REFERENCES = 10
+# Starts for each k of the sweep; every other k-means query has the hundred.
+SWEEP_STARTS = 10
+# Share of the feature rows that is drawn for linkage.
+SAMPLED = 0.00275
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -76,8 +81,8 @@ def tag_log_csv(v: Views) -> DataFrame:
 def tag_snapshot(v: Views) -> DataFrame:
     """Built and written by the first call, loaded by the second, which must not build."""
     path = scratch_path(v.spark, "tags-snapshot")
-    files.load_or_build(v.spark, {"tags": path}, lambda: {"tags": v.tags})
-    return files.load_or_build(v.spark, {"tags": path}, lambda: {})["tags"]
+    files.load_or_build(v.spark, path, ["tags"], lambda: {"tags": v.tags})
+    return files.load_or_build(v.spark, path, ["tags"], lambda: {})["tags"]
 
 
 def _pages(v: Views, records: DataFrame, field: str, key: str = "id", per_page: int = 500) -> str:
@@ -995,9 +1000,8 @@ WITH long AS (SELECT vec_id, label AS cluster, unnest(range(0, 64)) AS i,
 @query("pca")
 def pca(v: Views) -> DataFrame:
     projected = clustering.pca(_vectors(v), 10).projected
-    return projected.select("vec_id", F.explode(F.arrays_zip(
-        F.sequence(F.lit(1), F.lit(10)).alias("component"),
-        clustering.vector_to_array("pca").alias("value"))).alias("p")).select("vec_id", "p.*")
+    return projected.select("vec_id", F.posexplode("pca").alias("component", "value")) \
+        .withColumn("component", F.col("component") + 1)
 
 
 @query("scree")
@@ -1007,22 +1011,208 @@ def scree(v: Views) -> DataFrame:
 
 @query("kmeans")
 def kmeans(v: Views) -> DataFrame:
-    return clustering.kmeans(_vectors(v), 10, n_init=3)[0].select("vec_id", "cluster")
+    """Every row with its cluster, its squared distance from the centroid, and the cluster's size."""
+    rows, centres = clustering.kmeans(_vectors(v), "vec_id", 10, starts=100)
+    away = F.aggregate(F.zip_with("embedding", "centroid", lambda x, c: (x - c) * (x - c)),
+                       F.lit(0.0), lambda a, x: a + x)
+    return rows.join(centres, "cluster").select("vec_id", "cluster", "size", away.alias("distance_sq"))
+
+
+@query("kmeans_centroids")
+def kmeans_centroids(v: Views) -> DataFrame:
+    centres = clustering.kmeans(_vectors(v), "vec_id", 10, starts=100)[1]
+    return centres.select("cluster", "size", F.posexplode("centroid").alias("component", "value"))
 
 
 @query("kmeans_sweep")
 def kmeans_sweep(v: Views) -> DataFrame:
-    return clustering.kmeans_sweep(_vectors(v), range(2, 11))
+    return clustering.kmeans_sweep(_vectors(v), "vec_id", range(2, 51), starts=SWEEP_STARTS)
+
+
+@query("bisected_clusters")
+def bisected_clusters(v: Views) -> DataFrame:
+    return clustering.bisected_clusters(_vectors(v), 10).select("vec_id", "cluster")
+
+
+# Catalogue profiles: the levels of department and type, and whether an object is on loan.
+LEVELS, FLAGS = ["department_id", "type"], ["is_loan_object"]
+
+_LEVEL_ROWS = """
+level_rows AS (
+  SELECT id, list_filter(['department_id=' || department_id, 'type=' || type,
+    CASE WHEN is_loan_object = '1' THEN 'is_loan_object' END], lambda x: x IS NOT NULL) AS levels
+  FROM objects),"""
+
+_PROFILES = """
+profiles AS (SELECT levels, min(id) AS id, count(*) AS n FROM level_rows GROUP BY levels),
+apart AS (
+  SELECT a.id AS a, b.id AS b, a.n * b.n AS pairs, len(a.levels) AS la, len(b.levels) AS lb,
+         len(list_intersect(a.levels, b.levels)) AS common
+  FROM profiles a JOIN profiles b ON a.id < b.id),
+measured AS (
+  SELECT a, b, pairs, unnest([
+    {'metric': 'cityblock', 'distance': CAST(la + lb - 2 * common AS DOUBLE)},
+    {'metric': 'cosine', 'distance': 1 - common / sqrt(CAST(la * lb AS DOUBLE))},
+    {'metric': 'hamming', 'distance': CAST(la + lb - 2 * common AS DOUBLE)
+        / (SELECT count(DISTINCT l) FROM (SELECT unnest(levels) AS l FROM profiles))},
+    {'metric': 'jaccard', 'distance': CAST(la + lb - 2 * common AS DOUBLE) / (la + lb - common)}]) AS m
+  FROM apart),
+distances AS (SELECT m.metric AS metric, a, b, m.distance AS distance, pairs FROM measured)"""
+
+# Merging the nearest two clusters over and over.
+_TREE = _PROFILES + """,
+tree AS (
+  SELECT metric, 0 AS step, a, b, {'d': distance,
+         's': (a * 7919 + b * 104729 + a * b % 65521 * 31) % 1000003, 'a': a, 'b': b} AS k,
+         pairs, distance * pairs AS total
+  FROM distances WHERE metric IN (METRICS)
+  UNION ALL
+  SELECT metric, step + 1, least(x, y), greatest(x, y), max(k), CAST(sum(pairs) AS BIGINT), sum(total)
+  FROM (SELECT t.metric, t.step, t.k, t.pairs, t.total,
+               CASE WHEN t.a = m.b THEN m.a ELSE t.a END AS x,
+               CASE WHEN t.b = m.b THEN m.a ELSE t.b END AS y
+        FROM tree t JOIN (SELECT metric, arg_min(a, k) AS a, arg_min(b, k) AS b FROM tree
+                          GROUP BY metric) m ON m.metric = t.metric)
+  WHERE x <> y GROUP BY metric, step, least(x, y), greatest(x, y)),
+merges AS (
+  SELECT metric, step, arg_min(a, k) AS a, arg_min(b, k) AS b, min(k).d AS height,
+         arg_min(pairs, k) AS pairs, arg_min(total, k) AS total
+  FROM tree GROUP BY metric, step)"""
+
+
+_CLUSTERS = """
+, low AS (SELECT a, b FROM merges WHERE height <= 0.6 * (SELECT max(height) FROM merges)),
+climb AS (
+  SELECT id, id AS upper FROM profiles
+  UNION ALL SELECT c.id, l.a FROM climb c JOIN low l ON l.b = c.upper),
+clusters AS (
+  SELECT o.id, c.cluster FROM level_rows o JOIN profiles p ON p.levels = o.levels
+  JOIN (SELECT id, min(upper) AS cluster FROM climb GROUP BY 1) c ON c.id = p.id)"""
+
+
+def _tree_sql(body: str, *metrics: str) -> str:
+    named = ", ".join(f"'{m}'" for m in metrics or linkage.METRICS)
+    return with_views("objects", sql=f"WITH {_LEVEL_ROWS}{_TREE.replace('METRICS', named)}\n{body}")
+
 
+def _profiled(v: Views) -> tuple[DataFrame, DataFrame]:
+    found = stored(linkage.profiles(v.objects, "id", LEVELS, FLAGS), "profiles")
+    return found, stored(linkage.profile_pairs(found), "profile-pairs")
 
-@query("hierarchical_clusters")
+
+@query("profile_distances", with_views("objects", sql=f"""WITH {_LEVEL_ROWS}{_PROFILES}
+SELECT metric, a, b, round(distance, 6) AS distance, pairs FROM distances"""))
+def profile_distances(v: Views) -> DataFrame:
+    return _profiled(v)[1]
+
+
+@query("linkage_merges", _tree_sql("""
+SELECT metric, a, b, round(height, 6) AS height, pairs, round(total, 3) AS total FROM merges"""))
+def linkage_merges(v: Views) -> DataFrame:
+    return linkage.complete_linkage(_profiled(v)[1]).withColumn("total", F.round("total", 3))
+
+
+@query("cophenetic_correlation", _tree_sql("""
+SELECT metric, round((w * dh - d * h) / sqrt((w * dd - d * d) * (w * hh - h * h)), 6) AS correlation
+FROM (SELECT metric, sum(pairs * distance) AS d, sum(pairs * distance * distance) AS dd
+      FROM distances GROUP BY 1)
+JOIN (SELECT metric, sum(pairs * height) AS h, sum(pairs * height * height) AS hh,
+             sum(total * height) AS dh FROM merges GROUP BY 1) USING (metric),
+     (SELECT sum(CAST(n AS DOUBLE)) * (sum(CAST(n AS DOUBLE)) - 1) / 2 AS w FROM profiles)"""))
+def cophenetic_correlation(v: Views) -> DataFrame:
+    found, pairs = _profiled(v)
+    return linkage.cophenetic_correlation(found, pairs, linkage.complete_linkage(pairs))
+
+
+@query("hierarchical_clusters", _tree_sql(_CLUSTERS + " SELECT id, cluster FROM clusters",
+                                          "cityblock"))
 def hierarchical_clusters(v: Views) -> DataFrame:
-    return clustering.hierarchical_clusters(_vectors(v), 10).select("vec_id", "cluster")
+    found = stored(linkage.profiles(v.objects, "id", LEVELS, FLAGS), "profiles")
+    merges = linkage.complete_linkage(linkage.profile_pairs(found, ["cityblock"]))
+    return linkage.row_clusters(v.objects, "id", LEVELS, FLAGS, found,
+                                linkage.flat_clusters(found, merges))
+
+
+@query("object_similarity", with_views("objects", sql="""
+SELECT x.id, y.id AS other, round(s.shared / 4.0, 6) AS similarity
+FROM objects x JOIN objects y ON x.id <> y.id,
+  LATERAL (SELECT CAST(x.department_id = y.department_id AS INT) + CAST(x.type = y.type AS INT)
+    + CAST(x.is_loan_object = y.is_loan_object AS INT) + CAST(x.date = y.date AS INT) AS shared) s
+WHERE s.shared > 0
+QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY s.shared DESC, y.id) <= 10"""))
+def object_similarity(v: Views) -> DataFrame:
+    return metadata.object_similarity(
+        v.objects, "id", ["department_id", "type", "is_loan_object", "date"])
+
+
+@query("sampled_rows", with_views("tags", sql="""
+SELECT id, tool_id, bundle_id, refers_to_object_id FROM tags
+QUALIFY row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || 'features'))
+  <= (SELECT round(count(*) * 0.00275) FROM tags)"""))
+def sampled_rows(v: Views) -> DataFrame:
+    return selection.sampled_rows(v.tags, "id", fraction=SAMPLED, salt="features") \
+        .select("id", "tool_id", "bundle_id", "refers_to_object_id")
+
+
+@query("temp_view_counts", with_views("tags", sql="""
+SELECT tool_id, count(*) AS n, count(DISTINCT bundle_id) AS bundles FROM tags GROUP BY 1"""))
+def temp_view_counts(v: Views) -> DataFrame:
+    files.register_view(v.tags, "tag_log")
+    return v.spark.sql("SELECT tool_id, count(*) AS n, count(DISTINCT bundle_id) AS bundles "
+                       "FROM tag_log GROUP BY tool_id")
+
+
+@query("tool_names", with_views("tags", sql="""
+SELECT name, count(*) AS n FROM tags JOIN (VALUES (0, 'wall'), (1, 'purchase'), (2, 'signup'))
+  t(tool_id, name) USING (tool_id) GROUP BY 1"""))
+def tool_names(v: Views) -> DataFrame:
+    names = files.small_table(v.spark, [(0, "wall"), (1, "purchase"), (2, "signup")],
+                              "tool_id int, name string")
+    return v.tags.join(names, "tool_id").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("busiest_objects_local", with_views("tags", sql="""
+SELECT refers_to_object_id, count(*) AS n FROM tags WHERE refers_to_object_id IS NOT NULL
+GROUP BY 1 ORDER BY n DESC, refers_to_object_id LIMIT 10"""))
+def busiest_objects_local(v: Views) -> DataFrame:
+    """A report of ten rows through the driver and back."""
+    local = files.to_local(summaries.top_counts(v.tags, "refers_to_object_id", 10), 10)
+    return files.small_table(v.spark, local, "refers_to_object_id long, n long")
+
+
+@query("feature_group_totals", with_views("binned", sql=f"""
+WITH matrix AS ({_matrix_sql()}),
+flags AS (UNPIVOT matrix ON COLUMNS(* EXCLUDE (id)) INTO NAME feature VALUE x),
+named AS (SELECT feature, x, unnest(list_filter([
+    CASE WHEN contains(feature, '_freq') THEN 'turnover' END,
+    CASE WHEN contains(feature, '_cap') THEN 'capacity' END,
+    CASE WHEN contains(feature, 'floor_') THEN 'floor' END,
+    CASE WHEN contains(feature, 'room_') THEN 'room' END,
+    CASE WHEN contains(feature, 'quarter_') THEN 'quarter' END,
+    CASE WHEN contains(feature, 'month_') THEN 'month' END,
+    CASE WHEN contains(feature, 'year_') THEN 'year' END,
+    CASE WHEN contains(feature, 'wom_') THEN 'wom' END,
+    CASE WHEN feature IN ('Mon', 'Tues', 'Wed', 'Thur', 'Fri', 'weekend') THEN 'days' END,
+    CASE WHEN feature IN ('pre-morning', 'morning', 'afternoon', 'evening', 'night',
+                          'tagged_after_close') THEN 'time_of_day' END,
+    CASE WHEN feature IN ('is_bursty', 'during_exhibition', 'visitor_drawn', 'meta_store')
+         THEN 'events' END], lambda g: g IS NOT NULL)) AS name FROM flags)
+SELECT name AS "group", feature, CAST(sum(x) AS BIGINT) AS total FROM named GROUP BY 1, 2"""))
+def feature_group_totals(v: Views) -> DataFrame:
+    """How often each feature of each group is set."""
+    matrix = features.feature_matrix(v.modelled)
+    columns = [c for c in matrix.columns if c != "id"]
+    groups = [(g, c) for g, cs in frames.feature_groups(columns).items() for c in cs]
+    sums = matrix.agg(*[F.sum(c).alias(c) for c in columns])
+    rows = F.explode(F.array(*[F.struct(F.lit(g).alias("group"), F.lit(c).alias("feature"),
+                                        F.col(f"`{c}`").cast("long").alias("total"))
+                               for g, c in groups])).alias("r")
+    return sums.select(rows).select("r.*")
 
 
 @query("projected_clusters")
 def projected_clusters(v: Views) -> DataFrame:
-    return clustering.projected_clusters(_vectors(v), 10, n_init=1) \
+    return clustering.projected_clusters(_vectors(v), "vec_id", 10, starts=100) \
         .select("vec_id", "cluster", "x", "y", "centre_x", "centre_y")
 
 
@@ -1113,9 +1303,8 @@ def cluster_feature_profile_scaled(v: Views) -> DataFrame:
     return statistics.cluster_feature_profile(_wide(v), E_COLUMNS, scale=True)
 
 
-def _named_matrix(v: Views) -> DataFrame:
-    """Feature matrix with room columns named after the rooms."""
-    matrix = features.feature_matrix(v.modelled)
+def _renamed_rooms(v: Views, matrix: DataFrame) -> DataFrame:
+    """Room columns named after the rooms."""
     wanted = [int(c[5:]) for c in matrix.columns if c.startswith("room_") and c[5:].isdigit()]
     # One name per room column.
     names = {int(r["id"]): r["name"] for r in
@@ -1123,6 +1312,58 @@ def _named_matrix(v: Views) -> DataFrame:
     return matrix.withColumnsRenamed(frames.room_renames(matrix.columns, names))
 
 
+def _sampled_clusters(v: Views) -> DataFrame:
+    """The model chain: feature matrix, sample, linkage, flat clusters, room names."""
+    matrix = features.feature_matrix(v.modelled)
+    sample = stored(selection.sampled_rows(matrix, "id", fraction=SAMPLED, salt="features"), "sample")
+    columns = [c for c in sample.columns if c != "id"]
+    found = stored(linkage.profiles(sample, "id", [], columns), "profiles")
+    merges = linkage.complete_linkage(linkage.profile_pairs(found, ["cityblock"]))
+    clusters = linkage.row_clusters(sample, "id", [], columns, found,
+                                    linkage.flat_clusters(found, merges))
+    return stored(_renamed_rooms(v, sample.join(clusters, "id").drop("id")), "clustered")
+
+
+def _sampled_sql(body: str) -> str:
+    return with_views("binned", "rooms", sql=f"""
+WITH matrix AS ({_matrix_sql()}),
+sample AS (SELECT * FROM matrix QUALIFY row_number() OVER (
+    ORDER BY md5(CAST(id AS VARCHAR) || 'features')) <= (SELECT round(count(*) * {SAMPLED}) FROM matrix)),
+flags AS (UNPIVOT sample ON COLUMNS(* EXCLUDE (id)) INTO NAME feature VALUE x),
+level_rows AS (SELECT id, coalesce(list(feature ORDER BY feature) FILTER (WHERE x = 1), []) AS levels
+               FROM flags GROUP BY id),
+{_TREE.replace("METRICS", "'cityblock'")}{_CLUSTERS},
+named AS (
+  SELECT c.cluster, coalesce('rm_' || r.name, f.feature) AS feature, f.x, t.x AS t
+  FROM flags f JOIN clusters c ON c.id = f.id
+  JOIN flags t ON t.id = f.id AND t.feature = 'during_exhibition'
+  LEFT JOIN rooms r ON f.feature = 'room_' || CAST(r.id AS VARCHAR))
+{body}""")
+
+
+@query("sample_cluster_correlation", _sampled_sql("""
+SELECT cluster, round(n / (SELECT CAST(count(*) AS DOUBLE) FROM sample), 6) AS share, feature,
+       round(c, 6) AS corr
+FROM (SELECT cluster, feature, count(*) AS n,
+             CASE WHEN isfinite(corr(x, t)) THEN corr(x, t) END AS c FROM named GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY coalesce(round(c, 9), -2) DESC, feature)
+  <= 10"""))
+def sample_cluster_correlation(v: Views) -> DataFrame:
+    rows = _sampled_clusters(v)
+    columns = [c for c in rows.columns if c != "cluster"]
+    return statistics.cluster_target_correlation(rows, "during_exhibition", columns)
+
+
+@query("sample_cluster_profile", _sampled_sql("""
+SELECT cluster, feature, round(avg(x), 6) AS mean FROM named GROUP BY cluster, feature
+HAVING trunc(avg(x)) <> 1
+QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(avg(x), 9) DESC, feature) <= 15"""))
+def sample_cluster_profile(v: Views) -> DataFrame:
+    rows = _sampled_clusters(v)
+    columns = [c for c in rows.columns if c != "cluster"]
+    return statistics.cluster_feature_profile(rows, columns, k=15)
+
+
 @query("target_correlation", with_views("binned", "rooms", sql=f"""
 WITH matrix AS ({_matrix_sql()}),
 flags AS (UNPIVOT matrix ON COLUMNS(* EXCLUDE (id)) INTO NAME feature VALUE x),
@@ -1133,9 +1374,30 @@ SELECT feature, CASE WHEN isfinite(c) THEN round(c, 6) END AS corr FROM (
   SELECT feature, corr(x, t) AS c FROM named GROUP BY 1)
 ORDER BY CASE WHEN isfinite(c) THEN round(c, 9) ELSE -2 END DESC, feature LIMIT 10"""))
 def target_correlation(v: Views) -> DataFrame:
-    matrix = _named_matrix(v)
-    columns = [c for c in matrix.columns if c != "id"]
-    return statistics.target_correlation(matrix, "during_exhibition", columns)
+    found = statistics.level_correlation(features.level_sets(v.modelled), "during_exhibition")
+    room = v.rooms.select(F.concat(F.lit("room_"), F.col("id").cast("string")).alias("level"),
+                          F.concat(F.lit("rm_"), "name").alias("named"))
+    return found.join(room, "level", "left") \
+        .select(F.coalesce("named", "level").alias("feature"), "corr") \
+        .orderBy(F.desc_nulls_last(F.round("corr", 9)), "feature").limit(10)
+
+
+@query("feature_codes", with_views("binned", sql=f"""
+WITH matrix AS ({_matrix_sql()}),
+flags AS (UNPIVOT matrix ON COLUMNS(* EXCLUDE (id)) INTO NAME feature VALUE x),
+used AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS index
+         FROM (SELECT DISTINCT feature FROM flags WHERE x = 1))
+SELECT id, string_agg(CAST(index AS VARCHAR), ',' ORDER BY index) AS indices,
+       string_agg(feature, ',' ORDER BY index) AS levels
+FROM flags JOIN used USING (feature) WHERE x = 1 GROUP BY 1"""))
+def feature_codes(v: Views) -> DataFrame:
+    """Sparse vectors of the feature matrix, and what they unpack to."""
+    sets = stored(features.level_sets(v.modelled), "level-sets")
+    numbered = stored(features.dictionary(sets), "dictionary")
+    codes = stored(features.coded(sets, numbered), "codes")
+    names = features.decoded(codes, numbered).groupBy("id") \
+        .agg(F.array_join(F.array_sort(F.collect_list("level")), ",").alias("levels"))
+    return codes.join(names, "id").select("id", F.array_join("indices", ",").alias("indices"), "levels")
 
 
 @query("hour_labels", with_views("calendar", sql="""

@@ -44,4 +44,37 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     columns the optimizer knows, and that column pruning works on."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path  # for release
+    return table
+
+
+def buckets(spark: SparkSession) -> int:
+    """Into how many buckets ``bucketed`` deals rows: as many as a shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, key: str, name: str = "table") -> DataFrame:
+    """``df`` as ``stored`` gives it, dealt into buckets by ``key``: tables with the same key join, and
+    group by it, where they lie. Rows that aren't dealt by the key yet should be repartitioned by it
+    into ``buckets`` first, or each task writes a file to every bucket."""
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets(spark), key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._scratch, out._named = path, table
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Remove the files of a table from ``stored`` or ``bucketed`` that nothing will read again, such as
+    the state of a finished round. Anything else is left alone."""
+    path = getattr(table, "_scratch", None)
+    if path is None:
+        return
+    if named := getattr(table, "_named", None):
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {named}")
+    jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(session.sessionState().newHadoopConf()).delete(at, True)
+    table._scratch = table._named = None

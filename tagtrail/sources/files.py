@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -67,28 +69,66 @@ def read_json_records(spark: SparkSession, path: str, field: str,
     return exploded
 
 
-_NOT_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+class SnapshotSets:
+    """Versions of a set of stage snapshots in a folder. A version counts once its manifest stands in
+    the folder, which is put there by one rename after all its snapshots are written. So a reader sees
+    all of one version, and a rebuild that fails leaves the version before it in place."""
 
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(
+            spark._jsparkSession.sessionState().newHadoopConf())
 
-def _try_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return read_snapshot(spark, path)
-    except AnalysisException as error:
-        if (error.getCondition() or "").startswith(_NOT_THERE):
-            return None
-        raise
-
+    def _manifests(self) -> list[str]:
+        top = self._path(self.folder)
+        names = [f.getPath().getName() for f in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        return sorted(n for n in names if re.fullmatch(r"set-[0-9]{9}[.]json", n))
 
-def load_or_build(spark: SparkSession, paths: Mapping[str, str],
+    def current(self) -> dict[str, str] | None:
+        """Name to path of the latest version."""
+        manifests = self._manifests()
+        if not manifests:
+            return None
+        lines = self.spark.read.text(f"{self.folder}/{manifests[-1]}", wholetext=True)
+        return {n: f"{self.folder}/{at}" for n, at in json.loads(lines.first()[0]).items()}
+
+    def read(self) -> dict[str, DataFrame] | None:
+        found = self.current()
+        return found and {n: read_snapshot(self.spark, at) for n, at in found.items()}
+
+    def write(self, tables: Mapping[str, DataFrame]) -> None:
+        """Write a version. Of writers that run at once each has files of its own, and the later
+        manifest counts."""
+        version = f"set-{uuid.uuid4().hex}"
+        places = {name: f"{version}/{name}" for name in tables}
+        for name, df in tables.items():
+            write_snapshot(df, f"{self.folder}/{places[name]}")
+        draft = self._path(f"{self.folder}/{version}/manifest")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(places).encode()))
+        out.close()
+        while True:
+            last = self._manifests()
+            number = int(last[-1][4:13]) + 1 if last else 1
+            taken = self._path(f"{self.folder}/set-{number:09}.json")
+            # Someone else may have taken the number: a rename onto a file that is there fails, or,
+            # where a store would replace it, isn't tried.
+            if not self._fs.exists(taken) and self._fs.rename(draft, taken):
+                return
+
+
+def load_or_build(spark: SparkSession, folder: str, names: Sequence[str],
                   build: Callable[[], Mapping[str, DataFrame]]) -> dict[str, DataFrame]:
-    """The snapshots at ``paths`` if all exist; otherwise build, write and read all of them."""
-    found = {name: _try_snapshot(spark, path) for name, path in paths.items()}
-    if all(df is not None for df in found.values()):
-        return found
-    built = build()
-    for name, path in paths.items():
-        write_snapshot(built[name], path)
-    return {name: read_snapshot(spark, path) for name, path in paths.items()}
+    """The snapshots of the latest version in ``folder`` if it has all ``names``; otherwise build,
+    write a version and read it."""
+    sets = SnapshotSets(spark, folder)
+    found = sets.read()
+    if found is None or not set(names) <= set(found):
+        built = build()
+        sets.write({name: built[name] for name in names})
+        found = sets.read()
+    return {name: found[name] for name in names}
 
 
 def register_view(df: DataFrame, name: str, keep: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagtrail.operators import communities, components, graph, ranking
 from tagtrail.schemas import EDGES
@@ -173,6 +174,110 @@ def test_strongly_connected_components(spark):
     assert got == {i: min(j for j in ahead[i] if i in ahead[j]) for i in got}
 
 
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("Exchange")
+
+
+def test_a_round_shuffles_state_and_messages_but_no_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph.Adjacency, "SMALL", 0)
+    vertices, edges = make(spark, random_pairs(300, 900, 3))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        along = graph.Adjacency(edges)
+        state = ranking.stored(ranking._with_out_degree(vertices, edges)
+                               .withColumn("pagerank", F.lit(1.0)))
+        sent = along.send(state, "pagerank")
+        assert exchanges(sent) == (1, 1)
+        plan = sent._jdf.queryExecution().executedPlan().toString()
+        # What the exchange brings along is the state.
+        assert plan.index("SelectedBucketsCount") < plan.index("Exchange hashpartitioning(src") \
+            or "pagerank" in plan.split("Exchange hashpartitioning")[1]
+        assert exchanges(ranking._round(along, state, 0.15, 0.85)) == (2, 2)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_busy_sources_are_dealt_evenly(spark, monkeypatch):
+    pairs = random_pairs(60, 150, 5, hub=7)
+    vertices, edges = make(spark, pairs)
+    plain = {r["id"]: r["pagerank"] for r in ranking.pagerank(vertices, edges, iterations=4).collect()}
+    monkeypatch.setattr(graph.Adjacency, "BUSY", 10)
+    monkeypatch.setattr(graph.Adjacency, "SMALL", 0)
+    along = graph.Adjacency(edges)
+    assert [r["src"] for r in along._busy.collect()] == [7]
+    sent = along.send(vertices, "id", "value").collect()
+    assert sorted((r["value"], r["dst"]) for r in sent) == sorted(pairs)
+    split = {r["id"]: r["pagerank"] for r in ranking.pagerank(vertices, edges, iterations=4).collect()}
+    assert split == pytest.approx(plain)
+
+
+def slow_components(pairs, ids):
+    """Strongly connected components by two depth-first passes."""
+    out, back = defaultdict(list), defaultdict(list)
+    for a, b in pairs:
+        out[a].append(b)
+        back[b].append(a)
+    order, seen = [], set()
+    for i in ids:
+        stack = [(i, iter(out[i]))] if i not in seen else []
+        seen.add(i)
+        while stack:
+            at, rest = stack[-1]
+            step = next((x for x in rest if x not in seen), None)
+            if step is None:
+                order.append(stack.pop()[0])
+            else:
+                seen.add(step)
+                stack.append((step, iter(out[step])))
+    name = {}
+    for i in reversed(order):
+        if i in name:
+            continue
+        members, todo = [], [i]
+        name[i] = i
+        while todo:
+            members.append(todo.pop())
+            for x in back[members[-1]]:
+                if x not in name:
+                    name[x] = i
+                    todo.append(x)
+        name.update(dict.fromkeys(members, min(members)))
+    return name
+
+
+@pytest.mark.parametrize("kind", ["path", "cycle", "beads"])
+def test_long_chains_take_few_rounds(spark, monkeypatch, kind):
+    ids = list(range(10_000))
+    random.Random(4).shuffle(ids)
+    pairs = list(zip(ids, ids[1:]))
+    if kind == "cycle":
+        pairs.append((ids[-1], ids[0]))
+    if kind == "beads":  # cycles joined by chains, with leaves
+        pairs += [(ids[k + 100], ids[k]) for k in range(0, 9000, 300)]
+        pairs += [(ids[k], 20_000 + k) for k in range(0, 9000, 450)]
+    vertices, edges = make(spark, pairs)
+    written, write = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name="table": written.append(name) or write(df, name))
+    got = {r["id"]: r["component"] for r in components.strongly_connected_components(
+        vertices, edges).select("id", "component").collect()}
+    assert got == slow_components(pairs, sorted(got))
+    assert written.count("chain") + written.count("state") < (100 if kind == "beads" else 60)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_strong_components_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    pairs = random_pairs(60, rng.choice((50, 70, 90, 140)), seed)
+    chain = list(range(100, 130))  # a chain and a loop behind a random vertex
+    pairs += [(rng.randrange(60), 100), (129, rng.randrange(60))] + list(zip(chain, chain[1:]))
+    pairs += [(200, 201), (201, 202), (202, 200), (5, 300), (300, 5)]
+    vertices, edges = make(spark, sorted(set(pairs)), ids=[70])
+    got = {r["id"]: r["component"] for r in components.strongly_connected_components(
+        vertices, edges).collect()}
+    assert got == slow_components(pairs, sorted(got))
+
+
 @pytest.mark.usefixtures("joins")
 def test_triangles(spark):
     pairs = random_pairs(16, 60, 9, hub=0)

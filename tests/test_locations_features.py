@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagtrail.functions import frames
-from tagtrail.operators import features, locations, summaries
+from tagtrail.operators import features, locations, statistics, summaries
 
 DAY = 86400
 SCHEMA = ("refers_to_object_id long, location_id long, visit_raw long, room_floor int, "
@@ -170,3 +170,41 @@ def test_drop_time_columns(spark):
                                      "s": F.lit("x")})
     assert frames.drop_time_columns(df).columns == ["id", "s"]
     assert frames.sanitize_names(spark.range(1).toDF("a.b")).columns == ["a_b"]
+
+
+def test_level_sets_are_the_ones_of_the_matrix(spark):
+    matrix = {r["id"]: {c for c, x in r.asDict().items() if c != "id" and x == 1}
+              for r in features.feature_matrix(modelled(spark)).collect()}
+    sets = features.level_sets(modelled(spark)).cache()
+    assert {r["id"]: set(r["levels"]) for r in sets.collect()} == matrix
+    numbered = features.dictionary(sets).cache()
+    places = {r["level"]: r["index"] for r in numbered.collect()}
+    assert places == {n: i for i, n in enumerate(sorted(set().union(*matrix.values())))}
+    codes = features.coded(sets, numbered).cache()
+    assert {r["id"]: r["indices"] for r in codes.collect()} == \
+        {i: sorted(places[n] for n in names) for i, names in matrix.items()}
+    back = {}
+    for r in features.decoded(codes, numbered).collect():
+        back.setdefault(r["id"], set()).add(r["level"])
+    assert back == {i: n for i, n in matrix.items() if n}
+
+
+def test_level_correlation_is_that_of_the_columns(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 6)) < [0.1, 0.5, 0.9, 0.3, 1.0, 0.5]
+    sets = spark.createDataFrame([([f"f{k}" for k in range(6) if row[k]],) for row in x],
+                                 "levels array<string>")
+    got = {r["level"]: r["corr"] for r in statistics.level_correlation(sets, "f1").collect()}
+    assert got.pop("f4") is None
+    for level, corr in got.items():
+        assert corr == pytest.approx(np.corrcoef(x[:, int(level[1])], x[:, 1])[0, 1])
+    assert statistics.level_correlation(sets.limit(0), "f1").count() == 0
+
+
+def test_many_thousand_levels_are_no_columns(spark):
+    sets = spark.range(60_000).selectExpr(
+        "id", "array(concat('room_', id), concat('m_', id % 3)) AS levels")
+    numbered = features.dictionary(sets).cache()
+    assert numbered.count() == 60_003
+    assert numbered.agg({"index": "max"}).first()[0] == 60_002
+    assert statistics.level_correlation(sets, "m_1").count() == 60_003

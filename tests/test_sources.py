@@ -96,11 +96,40 @@ def test_load_or_build(spark, tmp_path):
         calls.append(1)
         return {"a": spark.range(3), "b": spark.range(4)}
 
-    paths = {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")}
     for _ in range(2):
-        got = files.load_or_build(spark, paths, build)
+        got = files.load_or_build(spark, str(tmp_path / "s"), ["a", "b"], build)
         assert {k: d.count() for k, d in got.items()} == {"a": 3, "b": 4}
     assert calls == [1]
+    # A name that the version lacks needs a new one.
+    got = files.load_or_build(spark, str(tmp_path / "s"), ["c"], lambda: {"c": spark.range(2)})
+    assert got["c"].count() == 2
+
+
+def test_a_failed_rebuild_leaves_the_set_before_it(spark, tmp_path):
+    sets = files.SnapshotSets(spark, str(tmp_path / "s"))
+    assert sets.current() is None and sets.read() is None
+    sets.write({"a": spark.range(3), "b": spark.range(4)})
+    broken = spark.range(5).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sets.write({"a": spark.range(30), "b": broken})
+    assert {n: d.count() for n, d in sets.read().items()} == {"a": 3, "b": 4}
+    # Tables that were read stay readable while a new version comes.
+    held = sets.read()
+    sets.write({"a": held["a"].union(spark.range(2)), "b": spark.range(1)})
+    assert held["a"].count() == 3
+    assert {n: d.count() for n, d in sets.read().items()} == {"a": 5, "b": 1}
+
+
+def test_two_writers_take_two_numbers(spark, tmp_path, monkeypatch):
+    sets = files.SnapshotSets(spark, str(tmp_path / "s"))
+    sets.write({"a": spark.range(1)})
+    seen = sets._manifests()
+    sets.write({"a": spark.range(2)})
+    stale = iter([seen])  # what the other writer saw before
+    plain = files.SnapshotSets._manifests
+    monkeypatch.setattr(files.SnapshotSets, "_manifests", lambda self: next(stale, None) or plain(self))
+    sets.write({"a": spark.range(3)})
+    assert len(sets._manifests()) == 3 and sets.read()["a"].count() == 3
 
 
 def test_views_and_small_tables(spark):

@@ -118,10 +118,21 @@ def test_pca(points):
     z = (x - x.mean(axis=0)) / x.std(axis=0)
     values, vectors = np.linalg.eigh(z.T @ z)
     order = np.argsort(-values)
-    found = clustering.pca(clustering.from_array(df, "v"), 2)
-    assert found.ratios == pytest.approx(list(values[order][:2] / values.sum()))
-    mine = np.array([r["pca"].toArray() for r in found.projected.orderBy("id").collect()])
-    assert np.abs(mine) == pytest.approx(np.abs(z @ vectors[:, order[:2]]))
+    vectors = vectors[:, order[:2]]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), [0, 1]])
+    for parts in (1, 7, 40):  # 40 triangles are reduced in two steps
+        found = clustering.pca(clustering.from_array(df.repartition(parts), "v"), 2)
+        assert found.ratios == pytest.approx(list(values[order][:2] / values.sum()))
+        mine = np.array([r["pca"] for r in found.projected.orderBy("id").collect()])
+        assert mine == pytest.approx(z @ vectors) and found.loadings == pytest.approx(vectors.T)
+
+
+def test_pca_of_constant_and_dependent_features(spark):
+    rows = [(i, [float(i), 2.0 * i, 5.1, float(i % 3)]) for i in range(12)]
+    df = clustering.from_array(spark.createDataFrame(rows, "id long, v array<double>"), "v")
+    found = clustering.pca(df, 4)
+    assert sum(found.ratios) == pytest.approx(1) and found.ratios[2:] == pytest.approx([0, 0])
+    assert np.isfinite([r["pca"] for r in found.projected.collect()]).all()
 
 
 def test_scree(points):
@@ -132,23 +143,83 @@ def test_scree(points):
     assert got[-1]["cumulative"] == pytest.approx(1)
 
 
-def test_kmeans_finds_the_groups(points):
+def slow_kmeans(keys, x, k, starts, seed):
+    """Seeding and rounds of each start by itself, with loops; the best centres and cost."""
+    best = None
+    for s in range(starts):
+        centres = []
+        for place in range(k):
+            u = clustering.uniform(keys, starts, place, seed)[:, s]
+            near = [min((((p - c) ** 2).sum() for c in centres), default=1.0) for p in x]
+            times = [-np.log(a) / d if d > 1e-9 else np.inf for a, d in zip(u, near)]
+            centres.append(x[int(np.argmin(times))])
+        while True:
+            label = [int(np.argmin([((p - c) ** 2).sum() for c in centres])) for p in x]
+            new = [np.mean([p for p, m in zip(x, label) if m == i], axis=0) if i in label
+                   else centres[i] for i in range(k)]
+            done = np.allclose(new, centres, atol=1e-9)
+            centres = new
+            if done:
+                break
+        cost = sum(((p - centres[m]) ** 2).sum() for p, m in zip(x, label))
+        if best is None or cost < best[0] * (1 - 1e-12):
+            best = cost, np.array(centres), np.array(label)
+    return best
+
+
+def slow_silhouette(x, label):
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    out = []
+    for i, m in enumerate(label):
+        if (label == m).sum() == 1:
+            out.append(0.0)
+            continue
+        a = d[i, label == m].sum() / ((label == m).sum() - 1)
+        b = min(d[i, label == o].mean() for o in set(label) - {m})
+        out.append((b - a) / max(a, b))
+    return np.mean(out)
+
+
+@pytest.mark.parametrize("parts", [1, 5, 70])
+def test_kmeans_against_one_start_at_a_time(spark, points, parts):
     local, df = points
-    vectors = clustering.from_array(df.drop("cluster"), "v")
-    rows, centres = clustering.kmeans(vectors, 3, n_init=3)
-    found = rows.toPandas()
-    assert found.groupby("cluster")["id"].count().tolist() == [30, 30, 30]
-    for c in centres.collect():
-        members = np.vstack(found[found["cluster"] == c["cluster"]]["v"])
-        assert c["centroid"] == pytest.approx(list(members.mean(axis=0)))
-
-
-def test_sweep_and_bisecting(points):
+    vectors = clustering.from_array(df.drop("cluster").repartition(parts), "v")
+    x = np.vstack(local["v"])
+    hashed = spark.range(90).selectExpr("xxhash64(id) AS h").collect()
+    keys = np.array([r["h"] for r in hashed])
+    sweep = {r["k"]: r for r in clustering.kmeans_sweep(vectors, "id", [2, 3, 5], starts=4).collect()}
+    for k in (2, 3, 5):
+        cost, centres, label = slow_kmeans(keys, x, k, 4, 1)
+        assert sweep[k]["sse"] == pytest.approx(cost)
+        assert sweep[k]["silhouette_sq"] == pytest.approx(slow_silhouette(x, label))
+        rows, found = clustering.kmeans(vectors, "id", k, starts=4)
+        found = found.orderBy("cluster").collect()
+        assert np.array([r["centroid"] for r in found]) == pytest.approx(centres)
+        assert [r["cluster"] for r in rows.orderBy("id").collect()] == list(label)
+        assert [r["size"] for r in found] == list(np.bincount(label, minlength=k))
+
+
+def test_kmeans_with_fewer_distinct_rows_than_clusters(spark):
+    rows = [(i, [float(i % 2), 1.0]) for i in range(10)]
+    df = clustering.from_array(spark.createDataFrame(rows, "id long, v array<double>"), "v")
+    found, centres = clustering.kmeans(df, "id", 4, starts=3)
+    assert sorted(r["size"] for r in centres.collect()) == [0, 0, 5, 5]
+    assert found.select("cluster").distinct().count() == 2
+    assert clustering.kmeans(df.limit(0), "id", 2)[1].count() == 0
+
+
+def test_seeds_are_drawn_by_squared_distance():
+    x = np.array([[0.0], [1.0], [3.0]])
+    chosen = np.zeros((20_000, 1, 1))  # the first row is the first seed of every start
+    times = clustering.race(np.array([5, 6, 7]), x, chosen, 1)
+    assert not np.isfinite(times[0]).any()
+    assert (times.argmin(axis=0) == 2).mean() == pytest.approx(0.9, abs=0.01)
+
+
+def test_bisecting_and_projected_clusters(points):
     vectors = clustering.from_array(points[1].drop("cluster"), "v")
-    got = clustering.kmeans_sweep(vectors, [2, 3, 6], n_init=2).collect()
-    assert [r["k"] for r in got] == [2, 3, 6]
-    assert max(got, key=lambda r: r["silhouette_sq"])["k"] == 3
-    assert got[0]["sse"] > got[1]["sse"] > got[2]["sse"] > 0
-    assert clustering.hierarchical_clusters(vectors, 3).select("cluster").distinct().count() == 3
-    shown = clustering.projected_clusters(vectors, 3, n_init=1)
+    assert clustering.bisected_clusters(vectors, 3).select("cluster").distinct().count() == 3
+    shown = clustering.projected_clusters(vectors, "id", 3, starts=2)
     assert shown.count() == 90 and {"x", "y", "centre_x", "centre_y"} <= set(shown.columns)
+    sizes = shown.groupBy("cluster").count().collect()
+    assert [r["count"] for r in sizes] == [30, 30, 30]

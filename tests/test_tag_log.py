@@ -83,14 +83,6 @@ def test_hour_bins_and_week_of_month(spark):
         [1, 1, 2, 2, 3, 4, 4, 4]
 
 
-@pytest.mark.parametrize("percent", [0, 33, 50, 70, 85, 95, 100])
-def test_percentile_of_sorted(spark, percent):
-    values = [1, 2, 4, 8, 9, 40, 41]
-    df = spark.createDataFrame([(values,)], "v array<int>")
-    got = df.select(binning.percentile_of_sorted(F.col("v"), percent)).first()[0]
-    assert got == pytest.approx(np.percentile(values, percent))
-
-
 def test_text_labels(spark):
     names = spark.createDataFrame([("Second Floor, 206, Spot 2",), ("Lobby, Desk",), ("Hall",)],
                                   "n string")
