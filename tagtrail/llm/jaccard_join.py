@@ -39,8 +39,8 @@ from .text import mix, shingles
 THRESHOLD, GRAM = 0.8, 5
 RATE, LEVELS, SMALL = 2.0, 3, 64
 RECALL = 0.99
-#: Sets that one task compares with as many others at a time.
-BLOCK = 256
+#: Sets, and hashes in them, that one task compares with as many others at a time: 4 MiB.
+BLOCK, BLOCK_HASHES = 1024, 1 << 19
 
 
 def runs_needed(recall: float = RECALL) -> int:
@@ -96,28 +96,33 @@ _ID = "xxhash64(a, b, n)"
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
-    """(bucket, id): which set is in which bucket of two or more."""
-    path = sets.select("id", "least", F.posexplode("picks").alias("run", "levels")) \
-        .select("id", "least", "run", "levels", F.explode(F.element_at("levels", 1)).alias("pick")) \
-        .select("id", "least", "levels", F.xxhash64("run", "pick").alias("bucket"))
+    """(bucket, id, n): which set is in which bucket of two or more. Rows are narrow; the picks of a set
+    are fetched again for the crowded buckets only."""
+    path = sets.select("id", "n", F.posexplode("picks").alias("run", "levels")) \
+        .select("id", "n", "run", F.explode(F.element_at("levels", 1)).alias("pick")) \
+        .select("id", "n", "run", F.xxhash64("run", "pick").alias("bucket"))
     done = []
     for level in range(1, LEVELS + 1):
         path = stored(path, f"level{level}")
         sizes = stored(path.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
                        .where("size > 1"), "sizes")
         if level == LEVELS:
-            done.append(path.select("id", "bucket").join(sizes.select("bucket"), "bucket"))
+            done.append(path.join(sizes.select("bucket"), "bucket").select("bucket", "id", "n"))
             break
-        large = path.join(sizes.where(f"size > {SMALL}"), "bucket")
-        alike = large.groupBy("bucket", "size", "least").agg(F.count(F.lit(1)).alias("n")) \
-            .groupBy("bucket", "size").agg(F.max("n").alias("most")).where("2 * most >= size")
-        whole = stored(sizes.where(f"size <= {SMALL}").select("bucket")
-                       .union(alike.select("bucket")), "whole")
-        done.append(path.select("id", "bucket").join(whole, "bucket"))
-        path = large.join(whole, "bucket", "left_anti").select(
-            "id", "least", "levels", "bucket",
-            F.explode(F.element_at("levels", level + 1)).alias("pick")) \
-            .select("id", "least", "levels", F.xxhash64("bucket", "pick").alias("bucket"))
+        # A table of its own, so that its size is known before the join to it is planned.
+        crowded = stored(sizes.where(f"size > {SMALL}"), "crowded")
+        picks = sets.select("id", "least", "picks")
+        large = stored(path.join(crowded, "bucket").join(picks, "id").select(
+            "id", "n", "run", "least", "bucket", "size",
+            F.element_at(F.element_at("picks", F.col("run") + 1), level + 1).alias("next")), "large")
+        alike = stored(large.groupBy("bucket", "size", "least").agg(F.count(F.lit(1)).alias("n"))
+                       .groupBy("bucket", "size").agg(F.max("n").alias("most"))
+                       .where("2 * most >= size").select("bucket"), "alike")
+        whole = stored(sizes.where(f"size <= {SMALL}").select("bucket").union(alike), "whole")
+        done.append(path.join(whole, "bucket").select("bucket", "id", "n"))
+        path = large.join(alike, "bucket", "left_anti") \
+            .select("id", "n", "run", "bucket", F.explode("next").alias("pick")) \
+            .select("id", "n", "run", F.xxhash64("bucket", "pick").alias("bucket"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -125,10 +130,10 @@ def _buckets(sets: DataFrame) -> DataFrame:
 
 
 def _places(buckets: DataFrame) -> DataFrame:
-    """(leader, id): buckets with the same smallest id are one, as they hold much the same sets."""
+    """(leader, id, n): buckets with the same smallest id are one, as they hold much the same sets."""
     buckets = stored(buckets, "buckets")
-    leaders = buckets.groupBy("bucket").agg(F.min("id").alias("leader"))
-    return stored(buckets.join(leaders, "bucket").select("leader", "id").distinct(), "places")
+    leaders = stored(buckets.groupBy("bucket").agg(F.min("id").alias("leader")), "leaders")
+    return stored(buckets.join(leaders, "bucket").select("leader", "id", "n").distinct(), "places")
 
 
 def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -213,9 +218,12 @@ def _links(group: pd.DataFrame) -> pd.DataFrame | None:
 
 def _compared(places: DataFrame, firsts: DataFrame, documents: DataFrame) -> DataFrame:
     """(id, links, root) of the sets that are similar to another, per task that found it."""
-    sizes = places.groupBy("leader").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Written first, so that the join to a leader with very many sets can be split.
+    sizes = stored(places.groupBy("leader").agg(F.count(F.lit(1)).alias("size"),
+                                                F.sum("n").alias("hashes")).where("size > 1"), "sizes")
+    needed = F.greatest(F.col("size") / BLOCK, F.col("hashes") / BLOCK_HASHES)
     dealt = places.join(sizes, "leader") \
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")) \
+        .withColumn("blocks", F.ceil(needed).cast("int")) \
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     wanted = dealt.groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("leader", "block", "blocks"))).alias("to")) \
@@ -242,15 +250,15 @@ def similar_classes(documents: DataFrame) -> DataFrame:
                   .withColumn("id", F.expr(f"CASE WHEN n > 0 THEN {_ID} END")), "sets")
     # Equal sets are one, under the smallest document id.
     firsts = stored(rows.where("id IS NOT NULL").groupBy("id").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies")), "firsts")
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.min("n").alias("n"),
+        F.any_value("least").alias("least"), F.any_value("picks").alias("picks")), "firsts")
     named = firsts.where("doc_id IS NOT NULL")
-    sets = rows.join(named.select("id", "doc_id"), ["id", "doc_id"]).select("id", "least", "picks") \
-        .dropDuplicates(["id"])
+    sets = named.select("id", "n", "least", "picks")
     found = stored(_compared(_places(_buckets(sets)), named, documents), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     parts = connected_components(links.select("id"), found.select(
         F.col("id").alias("src"), F.col("root").alias("dst")))
-    linked = stored(links.join(parts, "id").join(firsts, "id"), "linked")
+    linked = stored(links.join(parts, "id").join(firsts.select("id", "doc_id"), "id"), "linked")
     classes = linked.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     of_set = firsts.join(linked.join(classes, "component").select("id", "n_links", "class_id"),
                          "id", "left") \
