@@ -1,9 +1,9 @@
 """Audit of how the sources of each language diverge in their words, by in-mapper stripes.
 
 Each task folds whole documents into stripes, one for a term of a language: the number of documents
-that hold it and its occurrences in each source. When a task holds ``CELLS`` entries it spills them.
-Stripes of a term are merged as a sorted stream, so that a task holds one stripe at a time, and those
-in ``LEAST_DOCUMENTS`` documents are kept. Merged stripes directly give the divergences: blocks of
+that hold it and its occurrences in each source. When a task holds ``CELLS`` cells it spills them.
+Cells are merged to whole stripes as a sorted stream, so that a task holds one stripe at a time, and
+stripes in ``LEAST_DOCUMENTS`` documents are kept. Merged stripes directly give the divergences: blocks of
 terms by sources, from which each task folds its pair sums and its best ``TOP`` terms of each source.
 Two sources in which a term does not occur give the same value for every such term, so that value
 counts once for all of them.
@@ -23,18 +23,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale.durable import stored
 
 LEAST_DOCUMENTS, TOP, SCALE = 3, 200, 10 ** 9
-#: Entries that a task holds before it spills, and cells of a block of numbers.
-CELLS, BLOCK = 250_000, 2_000_000
+#: Cells of stripes that a task holds before it spills, and numbers in a block of terms by sources.
+CELLS, BLOCK = 600_000, 2_000_000
 _LONG_TEXT = 1 << 20
 
 _LETTER = re.compile(rb"[a-z\x80-\xff]+")
@@ -51,70 +53,102 @@ def terms(text: str) -> Counter:
     return Counter(plain.split())
 
 
+_CELL = "lang string, term string, source string, n long, documents long"
 _STRIPE = "lang string, term string, n_documents long, sources array<string>, counts array<long>"
-
-
-def _spilled(stripes: dict) -> Iterator[pd.DataFrame]:
-    rows = []
-    for lang, by_term in stripes.items():
-        for term, stripe in by_term.items():
-            n = stripe.pop(None)
-            rows.append((lang, term.decode("utf-8", "replace"), n, list(stripe), list(stripe.values())))
-            if len(rows) == 10_000:
-                yield pd.DataFrame(rows, columns=["lang", "term", "n_documents", "sources", "counts"])
-                rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=["lang", "term", "n_documents", "sources", "counts"])
-
-
-def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stripes of the documents of a task: per language and term a dict of source to occurrences,
-    with the number of documents under None."""
-    stripes: dict[str, dict[bytes, dict]] = {}
-    held = 0
-    for frame in frames:
-        for lang, source, text in zip(frame["lang"], frame["source"], frame["text"]):
-            by_term = stripes.setdefault(lang, {})
+#: A cell of a stripe holds occurrences below this bit and documents from it on.
+_DOCUMENTS = 40
+_MOST_DOCUMENTS = 1 << 22
+
+
+def _spilled(cells: dict) -> Iterator[pa.RecordBatch]:
+    """The cells of all stripes, a batch for each language and source."""
+    for (lang, source), by_term in cells.items():
+        packed = np.fromiter(by_term.values(), np.int64, len(by_term))
+        same = pa.array(np.zeros(len(by_term), np.int32))
+        yield pa.RecordBatch.from_arrays([
+            pa.array([lang]).take(same), pa.array(list(by_term), pa.binary()).cast(pa.string()),
+            pa.array([source]).take(same), pa.array(packed & ((1 << _DOCUMENTS) - 1)),
+            pa.array(packed >> _DOCUMENTS)], names=["lang", "term", "source", "n", "documents"])
+
+
+def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stripes of the documents of a task, held as their cells: occurrences and documents of a term in a
+    source of a language. One dict a source costs a third of one dict a term, as most terms are rare. A
+    document has one source, so that the documents of a stripe's cells add up."""
+    cells: dict[tuple[str, str], dict[bytes, int]] = {}
+    held = documents = 0
+    one = 1 << _DOCUMENTS
+    for batch in batches:
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
+            by_term = cells.setdefault((lang, source), {})
+            before, get = len(by_term), by_term.get
             for term, n in terms(text).items():
-                stripe = by_term.get(term)
-                if stripe is None:
-                    by_term[term] = {None: 1, source: n}
-                    held += 2
-                else:
-                    stripe[None] += 1
-                    if source not in stripe:
-                        held += 1
-                    stripe[source] = stripe.get(source, 0) + n
-            if held >= CELLS:
-                yield from _spilled(stripes)
-                stripes, held = {}, 0
-    yield from _spilled(stripes)
-
-
-def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole stripes from a stream sorted by language and term."""
-    key, total, stripe = None, 0, {}
-    for frame in frames:
-        rows = []
-        for lang, term, n, sources, counts in frame.itertuples(index=False):
-            if (lang, term) != key:
-                if total >= LEAST_DOCUMENTS:
-                    rows.append((*key, total, list(stripe), list(stripe.values())))
-                key, total, stripe = (lang, term), 0, {}
-            total += n
-            for source, count in zip(sources, counts.tolist()):
-                stripe[source] = stripe.get(source, 0) + count
-        yield pd.DataFrame(rows, columns=frame.columns)
-    if total >= LEAST_DOCUMENTS:
-        yield pd.DataFrame([(*key, total, list(stripe), list(stripe.values()))],
-                           columns=["lang", "term", "n_documents", "sources", "counts"])
+                by_term[term] = get(term, 0) + n + one
+            held += len(by_term) - before
+            documents += 1
+            if held >= CELLS or documents >= _MOST_DOCUMENTS:
+                yield from _spilled(cells)
+                cells, held, documents = {}, 0, 0
+    yield from _spilled(cells)
+
+
+def _starts(*columns: pa.Array) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _added(cells: pa.Table) -> pa.Table:
+    """Sorted cells with those of one source and stripe added up."""
+    columns = {c: cells.column(c).combine_chunks() for c in cells.column_names}
+    at = _starts(columns["lang"], columns["term"], columns["source"])
+    return pa.table({c: pa.array(np.add.reduceat(columns[c].to_numpy(), at)) if c in ("n", "documents")
+                     else columns[c].take(pa.array(at)) for c in columns})
+
+
+def _kept(cells: pa.Table) -> pa.RecordBatch:
+    """Stripes in enough documents, from whole sorted stripes with cells added up."""
+    columns = {c: cells.column(c).combine_chunks() for c in cells.column_names}
+    at = _starts(columns["lang"], columns["term"])
+    held = np.add.reduceat(columns["documents"].to_numpy(), at)
+    sizes = np.diff(np.append(at, len(cells)))
+    kept = held >= LEAST_DOCUMENTS
+    inside = pa.array(np.flatnonzero(np.repeat(kept, sizes)))
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes[kept]))).astype(np.int32))
+    first = pa.array(at[kept])
+    return pa.RecordBatch.from_arrays(
+        [columns["lang"].take(first), columns["term"].take(first), pa.array(held[kept]),
+         pa.ListArray.from_arrays(ends, columns["source"].take(inside)),
+         pa.ListArray.from_arrays(ends, columns["n"].take(inside))],
+        names=["lang", "term", "n_documents", "sources", "counts"])
+
+
+def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole stripes from a stream of cells sorted by language, term and source. What is held of the
+    last stripe is a cell for each source."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = pa.Table.from_batches([batch])
+        cells = _added(cells if held is None else pa.concat_tables([held, cells]))
+        last = int(_starts(*(cells.column(c).combine_chunks() for c in ("lang", "term")))[-1])
+        if last:
+            yield _kept(cells.slice(0, last))
+        held = cells.slice(last)
+    if held is not None:
+        yield _kept(held)
 
 
 def stripes(documents: DataFrame) -> DataFrame:
     """(lang, term, n_documents, sources, counts) of the kept terms."""
     filled = documents.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return stored(filled.mapInPandas(_fold, _STRIPE).repartition("lang", "term")
-                  .sortWithinPartitions("lang", "term").mapInPandas(_merge, _STRIPE), "stripes")
+    order = ["lang", "term", "source"]
+    return stored(filled.mapInArrow(_fold, _CELL).repartition("lang", "term")
+                  .sortWithinPartitions(*order).mapInArrow(_merge, _STRIPE), "stripes")
 
 
 def share(count: np.ndarray, whole: np.ndarray | int) -> np.ndarray:

@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import compare
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from helpers import documents
 
@@ -68,19 +70,18 @@ def test_against_slow_form(spark, seed):
 
 
 def test_spills_and_small_blocks_give_the_same(monkeypatch):
-    import pandas as pd
     rows = random_rows(9, 80)
-    frame = pd.DataFrame([(r[2] or "", r[3], r[1]) for r in rows], columns=["lang", "source", "text"])
+    table = pa.table({"lang": [r[2] or "" for r in rows], "source": [r[3] for r in rows],
+                      "text": [r[1] for r in rows]})
     made = []
-    for cells, block in ((1 << 20, 1 << 20), (10, 7), (40, 30)):
+    for cells, block, batch in ((1 << 20, 1 << 20, 1000), (10, 7, 3), (40, 30, 50)):
         monkeypatch.setattr(dv, "CELLS", cells)
         monkeypatch.setattr(dv, "BLOCK", block)
-        parts = pd.concat(dv._fold(iter([frame.iloc[:50], frame.iloc[50:]]))) \
-            .sort_values(["lang", "term"])
-        parts["counts"] = parts["counts"].map(np.array)
-        kept = pd.concat(dv._merge(iter([parts.iloc[:30], parts.iloc[30:]])))
-        kept["counts"] = kept["counts"].map(np.array)
-        names = sorted(set(frame["source"]))
+        parts = pa.Table.from_batches(dv._fold(table.to_batches(max_chunksize=batch))) \
+            .sort_by([("lang", "ascending"), ("term", "ascending"), ("source", "ascending")])
+        kept = pa.Table.from_batches(dv._merge(parts.combine_chunks().to_batches(max_chunksize=batch))) \
+            .to_pandas()
+        names = sorted(set(table["source"].to_pylist()))
         totals = Counter()
         for lang, sources, counts in zip(kept["lang"], kept["sources"], kept["counts"]):
             for s, n in zip(sources, counts):
