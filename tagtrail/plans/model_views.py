@@ -79,27 +79,37 @@ class Views:
                          F.lit(", Spot "), F.col("s_suppkey").cast("string")).alias("spot_name"),
                 F.col("s_name").alias("spot_description"))
 
-    @cached_property
-    def rooms(self) -> DataFrame:
-        return self.visits.groupBy(F.col("room_id").alias("id"), F.col("room_name").alias("name"),
-                                   F.col("room_floor").alias("floor")) \
+    @staticmethod
+    def _rooms(visits: DataFrame) -> DataFrame:
+        return visits.groupBy(F.col("room_id").alias("id"), F.col("room_name").alias("name"),
+                              F.col("room_floor").alias("floor")) \
             .agg(F.count_distinct("refers_to_object_id").alias("count_objects"),
                  F.count_distinct("spot_id").alias("count_spots"))
 
+    @staticmethod
+    def _spots(visits: DataFrame) -> DataFrame:
+        return visits.groupBy(F.col("spot_id").alias("id"), F.col("spot_name").alias("name"),
+                              F.col("spot_description").alias("description")) \
+            .agg(F.count_distinct("refers_to_object_id").alias("count_objects"))
+
+    @cached_property
+    def rooms(self) -> DataFrame:
+        return self._rooms(self.visits)
+
     @cached_property
     def spots(self) -> DataFrame:
-        return self.visits.groupBy(F.col("spot_id").alias("id"), F.col("spot_name").alias("name"),
-                                   F.col("spot_description").alias("description")) \
-            .agg(F.count_distinct("refers_to_object_id").alias("count_objects"))
+        return self._spots(self.visits)
 
     @cached_property
     def locations(self) -> DataFrame:
-        rooms = self.rooms.select(F.col("id").alias("room_id"),
-                                  F.col("count_objects").alias("room_count_objects"),
-                                  F.col("count_spots").alias("room_count_spots"))
-        spots = self.spots.select(F.col("id").alias("spot_id"),
-                                  F.col("count_objects").alias("spot_count_objects"))
-        located = lookup_join(self.visits, rooms, ["room_id"], "inner")
+        """Visits with the counts of their room and spot: three readings of one written table."""
+        visits = stored(self.visits, "visits")
+        rooms = self._rooms(visits).select(F.col("id").alias("room_id"),
+                                           F.col("count_objects").alias("room_count_objects"),
+                                           F.col("count_spots").alias("room_count_spots"))
+        spots = self._spots(visits).select(F.col("id").alias("spot_id"),
+                                           F.col("count_objects").alias("spot_count_objects"))
+        located = lookup_join(visits, rooms, ["room_id"], "inner")
         return lookup_join(located, spots, ["spot_id"], "inner")
 
     @cached_property
