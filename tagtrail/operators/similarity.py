@@ -7,14 +7,22 @@ and compares block by block, so work is spread over block pairs and no group is
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType
 
+from ..scale.durable import buckets
 from .summaries import top_per_group
 
 BLOCK_ROWS = 2048
+# The most rows of a block of ``cosine_similarity``: every row is sent to each block twice.
+WIDE_ROWS = 16_384
+# Rows by columns of the products that are looked at at a time.
+TILE = 2048
 
 
 def sample_rows(df: DataFrame, fraction: float | None = None, rows: int | None = None,
@@ -59,8 +67,10 @@ def _block_count(df: DataFrame, block_rows: int) -> int:
     return max(1, -(-df.count() // block_rows))
 
 
-def _dealt(df: DataFrame, key: str, vector: str, blocks: int) -> DataFrame:
-    return df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"),
+def _dealt(df: DataFrame, key: str, vector: str, blocks: int, kind: DataType) -> DataFrame:
+    """Vectors of single floats stay so, as they are sent around."""
+    kind = kind if kind == ArrayType(FloatType()) else ArrayType(DoubleType())
+    return df.select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("v"),
                      F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
 
 
@@ -102,13 +112,53 @@ def pairwise_distance(sample: DataFrame, key: str, vector: str, metric: str = "c
         "a", "b", distance(F.col("va"), F.col("vb"), metric).alias("distance"))
 
 
+def best_others(rows: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray,
+                n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other, product): for each row of ``x`` the ``n`` rows of ``y`` with other names and the
+    greatest products, ties (equal to nine decimals) to the first name. ``others``, the names of
+    ``y``, ascend. A tile adds only what beats the ``n`` found before it."""
+    out = []
+    lost_x, lost_y = ~np.isfinite(x).all(axis=1), ~np.isfinite(y).all(axis=1)
+    for top in range(0, len(rows), TILE):
+        ids = rows[top:top + TILE]
+        every = np.arange(len(ids))
+        at, to, product = np.empty(0, np.int64), np.empty(0, others.dtype), np.empty(0)
+        least = np.full(len(ids), -np.inf)
+        for left in range(0, len(others), TILE):
+            names = others[left:left + TILE]
+            tile = x[top:top + TILE] @ y[left:left + TILE].T
+            tile[ids[:, None] == names[None, :]] = -np.inf
+            tile[lost_x[top:top + TILE]] = -np.inf
+            tile[:, lost_y[left:left + TILE]] = -np.inf
+            bar = np.partition(tile, -n, axis=1)[:, -n] if left == 0 and len(names) > n else least
+            i, j = np.nonzero(tile >= bar[:, None] - 1e-9)
+            new = tile[i, j]
+            known = np.isfinite(new)
+            at, to = np.concatenate((at, i[known])), np.concatenate((to, names[j[known]]))
+            product = np.concatenate((product, new[known]))
+            order = np.lexsort((to, -np.round(product, 9), at))
+            at, to, product = at[order], to[order], product[order]
+            kept = np.arange(len(at)) - np.searchsorted(at, every)[at] < n
+            at, to, product = at[kept], to[kept], product[kept]
+            full = np.bincount(at, minlength=len(ids)) == n
+            least[full] = np.round(product[np.searchsorted(at, every, side="right")[full] - 1], 9)
+        out.append((ids[at], to, product))
+    return tuple(np.concatenate(parts) for parts in zip(*out))
+
+
 def cosine_similarity(objects: DataFrame, key: str, vector: str, n: int = 10,
-                      block_rows: int = BLOCK_ROWS) -> DataFrame:
+                      block_rows: int | None = None) -> DataFrame:
     """(id, other, similarity): for each object the ``n`` most similar others, exactly. Only
     the best ``n`` of a block leave the task that compares it. Ties (equal to nine decimals) go
-    to the lower id."""
-    blocks = _block_count(objects, block_rows)
-    dealt = _dealt(objects, key, vector, blocks)
+    to the lower id. Blocks are as large as ``WIDE_ROWS``, or smaller where that leaves tasks without
+    work."""
+    if block_rows is None:
+        total = objects.count()
+        busy = math.isqrt(2 * buckets(objects.sparkSession)) + 1
+        blocks = max(1, -(-total // WIDE_ROWS), min(busy, -(-total // BLOCK_ROWS)))
+    else:
+        blocks = _block_count(objects, block_rows)
+    dealt = _dealt(objects, key, vector, blocks, objects.schema[vector].dataType)
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = dealt.select("id", "v", F.col("block").alias("i"), spread.alias("j"),
                         F.lit(True).alias("asks"))
@@ -116,7 +166,7 @@ def cosine_similarity(objects: DataFrame, key: str, vector: str, n: int = 10,
                          F.lit(False).alias("asks"))
 
     def unit(frame: pd.DataFrame) -> np.ndarray:
-        m = np.vstack(frame["v"].to_numpy())
+        m = np.vstack(frame["v"].to_numpy()).astype("float64")
         length = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
@@ -126,14 +176,8 @@ def cosine_similarity(objects: DataFrame, key: str, vector: str, n: int = 10,
             return pd.DataFrame({"id": [], "other": [], "similarity": []}) \
                 .astype({"id": "int64", "other": "int64"})
         b = b.sort_values("id")
-        rows, others = a["id"].to_numpy(), b["id"].to_numpy()
-        sims = unit(a) @ unit(b).T
-        sims[rows[:, None] == others[None, :]] = -np.inf
-        best = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :n]
-        out = pd.DataFrame({"id": np.repeat(rows, best.shape[1]),
-                            "other": others[best].ravel(),
-                            "similarity": np.take_along_axis(sims, best, axis=1).ravel()})
-        return out[np.isfinite(out["similarity"])]
+        found = best_others(a["id"].to_numpy(), unit(a), b["id"].to_numpy(), unit(b), n)
+        return pd.DataFrame(dict(zip(("id", "other", "similarity"), found)))
 
     near = left.unionByName(right).groupBy("i", "j") \
         .applyInPandas(compare, "id long, other long, similarity double")
