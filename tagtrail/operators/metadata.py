@@ -6,7 +6,8 @@ of levels and size of set, the ``n + 1`` smallest ids that have it. The best ``n
 are all in it: one that shares exactly the combination S with the object is either in the list of S and
 of its size, or that list has ``n + 1`` smaller ids of the same size that share at least as much, and
 then it is not among the best. So work grows with the objects, a frequent level is one list of ``n + 1``
-ids, and no pair of objects is looked at beyond those lists. Objects with the same levels are one
+ids, and no pair of objects is looked at beyond those lists. Only the ``n + 1`` smallest ids of a set of
+levels enter the index, as the rest are in no list; combinations are made of them alone. Objects with the same levels are one
 profile when they look up; the index is written before the look-up, so that joins to it can be split.
 """
 
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale.durable import stored
+from ..scale.durable import buckets, stored
 from .summaries import top_per_group
 
 MOST_COLUMNS = 8
@@ -49,9 +50,14 @@ def object_similarity(objects: DataFrame, key: str, columns: Sequence[str], n: i
     rows = objects.select(F.col(key).alias("id"),
                           *[F.col(c).cast("string").alias(to) for c, to in zip(columns, levels)])
     size = sum((F.col(c).isNotNull().cast("int") for c in levels), F.lit(0))
-    rows = stored(rows.withColumn("size", size).where("size > 0"), "levels")
+    # A small file would be one task, with all the combinations of all objects.
+    rows = stored(rows.withColumn("size", size).where("size > 0")
+                  .repartition(buckets(objects.sparkSession), "id"), "levels")
+    # What is not among the smallest ids of its profile is not among those of any combination.
+    least = Window.partitionBy(*levels, "size").orderBy("id")
+    first = rows.withColumn("k", F.row_number().over(least)).where(F.col("k") <= n + 1).drop("k")
     order = Window.partitionBy("combination", "size").orderBy("id")
-    index = _combinations(rows, levels, "id", "size").withColumn("k", F.row_number().over(order)) \
+    index = _combinations(first, levels, "id", "size").withColumn("k", F.row_number().over(order)) \
         .where(F.col("k") <= n + 1).groupBy("combination", "size") \
         .agg(F.collect_list("id").alias("ids"))
     index = stored(index.groupBy("combination")
