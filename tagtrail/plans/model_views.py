@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -61,22 +61,30 @@ class Views:
             (size % 2).cast("string").alias("is_loan_object"))
 
     @cached_property
-    def visits(self) -> DataFrame:
-        places = self.table("supplier") \
+    def places(self) -> DataFrame:
+        return self.table("supplier") \
             .join(self.table("nation"), F.col("n_nationkey") == F.col("s_nationkey")) \
             .join(self.table("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+
+    @staticmethod
+    def _spot_name() -> Column:
+        return F.concat(F.lit("Floor "), (F.col("r_regionkey") + 1).cast("string"), F.lit(", "),
+                        (F.col("n_nationkey") + 100).cast("string"), F.lit(", Spot "),
+                        F.col("s_suppkey").cast("string"))
+
+    @cached_property
+    def visits(self) -> DataFrame:
         day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
         number = (F.col("n_nationkey") + 100).cast("string")
         floor = F.col("r_regionkey") + 1
         return self.table("lineitem") \
-            .join(places, F.col("s_suppkey") == F.col("l_suppkey")).select(
+            .join(self.places, F.col("s_suppkey") == F.col("l_suppkey")).select(
                 F.col("l_partkey").alias("refers_to_object_id"),
                 (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("location_id"),
                 ((day % 30).cast("long") * 86400 + VISIT_START).alias("visit_raw"),
                 floor.alias("room_floor"), F.col("n_nationkey").alias("room_id"),
                 number.alias("room_name"), F.col("s_suppkey").alias("spot_id"),
-                F.concat(F.lit("Floor "), floor.cast("string"), F.lit(", "), number,
-                         F.lit(", Spot "), F.col("s_suppkey").cast("string")).alias("spot_name"),
+                self._spot_name().alias("spot_name"),
                 F.col("s_name").alias("spot_description"))
 
     @staticmethod
@@ -98,7 +106,15 @@ class Views:
 
     @cached_property
     def spots(self) -> DataFrame:
-        return self._spots(self.visits)
+        """As ``_spots`` of the visits: each place of a supplier has all lines of that supplier, so
+        objects are counted on two keys, before names are joined."""
+        counted = self.table("lineitem").groupBy(F.col("l_suppkey").alias("id")) \
+            .agg(F.count_distinct("l_partkey").alias("count_objects"))
+        named = self.places.select(
+            F.col("s_suppkey").alias("id"), self._spot_name().alias("name"),
+            F.col("s_name").alias("description")).distinct()
+        return lookup_join(named, counted, ["id"], "inner") \
+            .select("id", "name", "description", "count_objects")
 
     @cached_property
     def locations(self) -> DataFrame:

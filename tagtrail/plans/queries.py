@@ -152,7 +152,10 @@ SELECT CAST(s.id AS VARCHAR) AS id, s.name, s.description, CAST(r.room_id AS VAR
        s.count_objects
 FROM spots s JOIN (SELECT DISTINCT spot_id, room_id FROM visits) r ON r.spot_id = s.id"""))
 def site_spots(v: Views) -> DataFrame:
-    rooms = v.visits.select(F.col("spot_id").alias("id"), "room_id").distinct()
+    # Of the suppliers' places those that have a visit.
+    met = v.table("lineitem").select(F.col("l_suppkey").alias("id")).distinct()
+    rooms = v.places.select(F.col("s_suppkey").alias("id"), F.col("n_nationkey").alias("room_id")) \
+        .distinct().join(met, "id", "left_semi")
     return dumps.site_spots(v.spark, _pages(v, v.spots.join(rooms, "id"), "spots.spot"))
 
 
