@@ -54,7 +54,7 @@ def majority_labels(communities: DataFrame, k: int = 5) -> DataFrame:
 def majority_clusters(communities: DataFrame, k: int = 5) -> DataFrame:
     """Vertices of the ``k`` largest communities (``k`` labels are broadcast)."""
     chosen = majority_labels(communities, k).select("label")
-    return communities.join(F.broadcast(chosen), "label") \
+    return communities.join(F.broadcast(chosen), "label", "left_semi") \
         .select("id", "department", "type", "loan", "label")
 
 
@@ -86,8 +86,10 @@ def cluster_attribute_counts(tags: DataFrame, clusters: DataFrame, attribute: st
 
 
 def cluster_room_counts(loctypes: DataFrame, clusters: DataFrame, top: int = 5) -> DataFrame:
-    """Location rows of each community by room, the ``top`` rooms per label."""
-    places = loctypes.groupBy("id", "room_name").agg(F.count(F.lit(1)).alias("n"))
+    """Location rows of each community by room, the ``top`` rooms per label. Rows of other objects go
+    before anything is counted."""
+    members = clusters.select("id").distinct()
+    places = loctypes.join(members, "id", "left_semi").groupBy("id", "room_name").agg(F.count(F.lit(1)).alias("n"))
     return top_per_group(_label_counts(places, clusters, "room_name"), "label", "room_name",
                          "count", top)
 

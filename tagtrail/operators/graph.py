@@ -96,7 +96,8 @@ class Adjacency:
         edges = stored(edges.select("src", "dst"), "edges")
         total = edges.count()
         self._busy = self._spread = None
-        if total < self.SMALL:
+        self._dealt = total >= self.SMALL
+        if not self._dealt:
             self._edges = edges
             return
         most = max(total // n, self.BUSY)
@@ -112,7 +113,9 @@ class Adjacency:
     def send(self, state: DataFrame, value: str, name: str = "value") -> DataFrame:
         """(dst, value) for each edge; ``value`` is an SQL expression over the source's row."""
         state = state.selectExpr("id AS src", f"{value} AS {name}")
-        sent = self._edges.join(state, "src").select("dst", name)
+        # A bucket's share of the state is hashed, so that its edges need no sorting in every pass.
+        held = state.hint("shuffle_hash") if self._dealt else state
+        sent = self._edges.join(held, "src").select("dst", name)
         if self._busy is None:
             return sent
         few = state.join(F.broadcast(self._busy), "src", "left_semi")

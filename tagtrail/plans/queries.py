@@ -810,13 +810,13 @@ def _labelled_sql(sql: str, *views: str, grid: str = "") -> str:
     return with_views("basket_vertices", "basket_edges", *views, sql=f"WITH {LABELS},\n{MAJOR}{grid}\n{sql}")
 
 
-def _communities(v: Views) -> DataFrame:
-    return communities.label_propagation(v.basket_vertices, v.basket_edges,
+def _communities(v: Views, edges: DataFrame | None = None) -> DataFrame:
+    return communities.label_propagation(v.basket_vertices, v.basket_edges if edges is None else edges,
                                          max_iter=LABEL_ROUNDS)
 
 
-def _majority(v: Views) -> DataFrame:
-    return communities.majority_clusters(_communities(v))
+def _majority(v: Views, edges: DataFrame | None = None) -> DataFrame:
+    return communities.majority_clusters(_communities(v, edges))
 
 
 @query("label_propagation", _labelled_sql("SELECT * FROM communities"))
@@ -882,7 +882,8 @@ SELECT src, dst FROM (
   WHERE src IN (SELECT id FROM major) OR dst IN (SELECT id FROM major))
 WHERE n <= 15"""))
 def community_subgraph(v: Views) -> DataFrame:
-    return communities.community_subgraph(v.basket_edges, _majority(v))
+    edges = stored(v.basket_edges, "basket-edges")
+    return communities.community_subgraph(edges, _majority(v, edges))
 
 
 @query("community_vertices", _labelled_sql("SELECT id, type, label FROM major"))
