@@ -118,7 +118,9 @@ def nearest_by_day(tags: DataFrame, locations: DataFrame) -> DataFrame:
                    *[c for c in ["location_id"] if c in locations.columns])
     days = stored(tags.filter(F.col("refers_to_object_id").isNotNull()).select(
         "refers_to_object_id", cal.utc_date(F.col("created")).alias("day")).distinct())
-    known = locations.filter(F.col("refers_to_object_id").isNotNull())
+    # Visits of objects that no tag asks for go before they are gathered.
+    known = locations.join(days.select("refers_to_object_id").distinct(), "refers_to_object_id",
+                           "left_semi")
     visits = known.groupBy("refers_to_object_id", cal.utc_date(F.col("visit_raw")).alias("day")) \
         .agg(F.min(row).alias("loc")).withColumn("asked", F.lit(0))
     asked = days.withColumns({"loc": F.lit(None).cast(visits.schema["loc"].dataType),
