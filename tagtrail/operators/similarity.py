@@ -69,7 +69,8 @@ def _block_count(df: DataFrame, block_rows: int) -> int:
 
 def _dealt(df: DataFrame, key: str, vector: str, blocks: int, kind: DataType) -> DataFrame:
     """Vectors of single floats stay so, as they are sent around."""
-    kind = kind if kind == ArrayType(FloatType()) else ArrayType(DoubleType())
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    kind = ArrayType(FloatType() if single else DoubleType())
     return df.select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("v"),
                      F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
 
