@@ -29,6 +29,7 @@ ROUNDS, EPOCHS, RATE = 4, 2, 0.005
 CUT = 0.5
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 _SPACE = np.uint32(32)
+_SLICE = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -76,10 +77,21 @@ def _ratios(sample: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"y": y, "place": np.append(at, PLACES),
                                 "n": np.append(seen[y][at], size[y])})
 
-    found = np.zeros((2, PLACES + 1))
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros((2, _SLICE), np.int64)
+        block[part["y"], part["place"] % _SLICE] = part["n"]
+        return pd.DataFrame({"slice": part["slice"].iloc[:1], "packed": [block.tobytes()]})
+
+    # The driver gets a row for each slice of places, 4 MB in all, not one for each place.
     rows = (sample.mapInPandas(counts, "y int, place long, n long")
-            .groupBy("y", "place").agg(F.sum("n").alias("n")).toPandas())  # 2 * 2**18 rows at most
-    found[rows["y"].to_numpy(int), rows["place"].to_numpy(int)] = rows["n"]
+            .groupBy("y", "place").agg(F.sum("n").alias("n"))
+            .withColumn("slice", F.floor(F.col("place") / _SLICE).cast("int"))
+            .groupBy("slice").applyInPandas(pack, "slice int, packed binary").collect())
+    found = np.zeros((2, PLACES + _SLICE))  # the sizes stand behind the last place
+    for r in rows:
+        found[:, r["slice"] * _SLICE:(r["slice"] + 1) * _SLICE] = \
+            np.frombuffer(r["packed"], np.int64).reshape(2, _SLICE)
+    found = found[:, :PLACES + 1]
     share = (found[:, :PLACES] + 1) / (found[:, PLACES:] + 2)
     return np.log(share[1] / share[0])
 

@@ -131,3 +131,18 @@ def test_language_takes_odd_rows(spark):
     nothing = language.train(documents(spark, []), F.lit(True))
     assert nothing == {}
     assert [r["lang_pred"] for r in language.identify(odd, nothing).collect()] == ["und"] * 7
+
+
+def test_ratios_send_a_row_per_slice_of_places_to_the_driver(spark, monkeypatch):
+    texts = [("abc def", 1), ("abc", 1), ("xyz", 0), ("def ghi", 0), (None, 0), ("abc", 0)]
+    sample = spark.createDataFrame(texts, "text string, y int").repartition(3)
+    brought, kind = [], type(sample)
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(kind, name, lambda self, do=getattr(kind, name): (
+            out := do(self), brought.append(len(out)))[0])
+    ratios = toxicity._ratios(sample)
+    assert sum(brought) <= toxicity.PLACES // toxicity._SLICE + 1
+    grams, seen = toxicity.Grams(), np.zeros((2, toxicity.PLACES))
+    for text, y in texts:
+        seen[y][grams(text)] += 1
+    assert np.array_equal(ratios, np.log((seen[1] + 1) / (2 + 2) / ((seen[0] + 1) / (4 + 2))))
