@@ -179,10 +179,10 @@ class Fit:
     sums: np.ndarray
 
 
-def _pieces(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pieces(frames: Iterable[pd.DataFrame], rows: int = _ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for frame in frames:
-        for low in range(0, len(frame), _ROWS):
-            part = frame.iloc[low:low + _ROWS]
+        for low in range(0, len(frame), rows):
+            part = frame.iloc[low:low + rows]
             yield part["h"].to_numpy(np.int64), _matrix(part["v"])
 
 
@@ -216,6 +216,22 @@ def _seeds(points: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
     return chosen
 
 
+def _added(packed: pd.Series) -> bytes:
+    out = np.zeros(len(packed.iloc[0]) // 8)
+    for p in packed:
+        out += np.frombuffer(p)
+    return out.tobytes()
+
+
+def _merged(parts: DataFrame, keys: Sequence[str], add: Callable[[pd.DataFrame], pd.DataFrame],
+            schema: str, tasks: int) -> DataFrame:
+    """What the tasks have summed, added up per key; in two steps where there are many tasks."""
+    if tasks > _MERGE:
+        parts = parts.groupBy(*keys, F.pmod(F.spark_partition_id(), F.lit(_MERGE)).alias("m")) \
+            .applyInPandas(add, schema)
+    return parts.groupBy(*keys).applyInPandas(add, schema)
+
+
 def _sums(points: DataFrame, centres: dict[tuple[int, int], np.ndarray]) \
         -> dict[tuple[int, int], np.ndarray]:
     """Per run a row per cluster: size, cost, squared norms, and the sum of its rows."""
@@ -242,22 +258,62 @@ def _sums(points: DataFrame, centres: dict[tuple[int, int], np.ndarray]) \
             total[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(len(group["packed"].iloc[0]) // 8)
-        for p in group["packed"]:
-            out += np.frombuffer(p)
         return pd.DataFrame({"k": group["k"].iloc[:1], "start": group["start"].iloc[:1],
-                             "packed": [out.tobytes()]})
+                             "packed": [_added(group["packed"])]})
 
     schema = "k int, start int, packed binary"
-    parts = points.mapInPandas(fold, schema)
-    if points.rdd.getNumPartitions() > _MERGE:
-        parts = parts.groupBy("k", "start", F.pmod(F.spark_partition_id(), F.lit(_MERGE)).alias("m")) \
-            .applyInPandas(add, schema)
-    rows = parts.groupBy("k", "start").applyInPandas(add, schema).collect()
+    rows = _merged(points.mapInPandas(fold, schema), ["k", "start"], add, schema,
+                   points.rdd.getNumPartitions()).collect()
     shared.unpersist()
     return {(r["k"], r["start"]): np.frombuffer(r["packed"]).reshape(r["k"], -1) for r in rows}
 
 
+def _rounds(points: DataFrame, centres: dict[tuple[int, int], np.ndarray]) \
+        -> dict[tuple[int, int], np.ndarray]:
+    """As ``_sums``, but of each cluster only the size and the sum of its rows, which is all that moves
+    the centres. All starts of a k are one product with few enough columns to stay in the cache. A row's
+    own norm, the same for all centres, is left out; a centre that repeats an earlier one of its run
+    never is the nearest."""
+    groups: dict[int, tuple[list[int], np.ndarray]] = {}
+    for k in sorted({k for k, _ in centres}):
+        starts = sorted(s for n, s in centres if n == k)
+        every = np.stack([centres[k, s] for s in starts])
+        norms = (every * every).sum(axis=2)
+        for run, own in zip(every, norms):
+            kept = np.unique(run, axis=0, return_index=True)[1]
+            own[np.setdiff1d(np.arange(k), kept)] = np.inf
+        flat = every.reshape(len(starts) * k, -1)
+        groups[k] = starts, np.vstack((-2 * flat.T, norms.reshape(1, -1)))
+    shared = points.sparkSession.sparkContext.broadcast(groups)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups = shared.value
+        total = {k: np.zeros((m.shape[1], m.shape[0])) for k, (_, m) in groups.items()}
+        for _, x in _pieces(frames, 2 * _ROWS):
+            wide = np.hstack((x, np.ones((len(x), 1))))
+            at = np.arange(len(x))[:, None]
+            for k, (starts, m) in groups.items():
+                label = (wide @ m).reshape(len(x), len(starts), k).argmin(axis=2)
+                member = np.zeros((len(x), m.shape[1]))
+                member[at, label + np.arange(len(starts)) * k] = 1
+                total[k] += member.T @ wide
+        yield pd.DataFrame({"k": list(total), "packed": [t.tobytes() for t in total.values()]})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": group["k"].iloc[:1], "packed": [_added(group["packed"])]})
+
+    schema = "k int, packed binary"
+    rows = _merged(points.mapInPandas(fold, schema), ["k"], add, schema,
+                   points.rdd.getNumPartitions()).collect()
+    shared.unpersist()
+    found = {}
+    for r in rows:
+        starts, m = groups[r["k"]]
+        every = np.frombuffer(r["packed"]).reshape(len(starts), r["k"], -1)
+        found.update({(r["k"], s): t for s, t in zip(starts, every)})
+    return found
+
+
 def best_fits(df: DataFrame, key: str, ks: Iterable[int], starts: int = 100, features: str = "features",
               seed: int = 1, max_iter: int = 100, tol: float = 1e-12) -> dict[int, Fit]:
     """The best of ``starts`` runs for each k, by cost. A run ends when its centres move by ``tol`` at
@@ -272,9 +328,9 @@ def best_fits(df: DataFrame, key: str, ks: Iterable[int], starts: int = 100, fea
     for _ in range(max_iter):
         if not moving:
             break
-        for run, total in _sums(points, {r: centres[r] for r in sorted(moving)}).items():
-            size = total[:, :1]
-            new = np.where(size > 0, total[:, 3:] / np.maximum(size, 1), centres[run])
+        for run, total in _rounds(points, {r: centres[r] for r in sorted(moving)}).items():
+            size = total[:, -1:]
+            new = np.where(size > 0, total[:, :-1] / np.maximum(size, 1), centres[run])
             if ((new - centres[run]) ** 2).sum() <= tol:
                 moving.discard(run)
             centres[run] = new

@@ -223,3 +223,20 @@ def test_bisecting_and_projected_clusters(points):
     assert shown.count() == 90 and {"x", "y", "centre_x", "centre_y"} <= set(shown.columns)
     sizes = shown.groupBy("cluster").count().collect()
     assert [r["count"] for r in sizes] == [30, 30, 30]
+
+
+def test_rounds_of_kmeans_give_sizes_and_sums_of_the_nearest(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 6))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                                   "h long, v array<double>").repartition(3)
+    centres = {(k, s): rng.normal(size=(k, 6)) for k in (2, 5, 9) for s in (0, 1, 4)}
+    centres[5, 1][3] = centres[5, 1][1]  # the later of two equal centres stays empty
+    found = clustering._rounds(points, centres)
+    assert set(found) == set(centres)
+    for run, c in centres.items():
+        label = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for j in range(len(c)):
+            assert found[run][j, -1] == (label == j).sum()
+            assert np.allclose(found[run][j, :-1], x[label == j].sum(axis=0))
+    assert found[5, 1][3, -1] == 0 < found[5, 1][1, -1]
