@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import binning as b
 from ..functions import calendar as cal
 from ..scale.durable import stored
+from ..scale.skew import lookup_join
 from .locations import impute_locations
 from .selection import distinct_percentiles
 
@@ -129,10 +130,17 @@ def dictionary(sets: DataFrame) -> DataFrame:
 
 
 def coded(sets: DataFrame, numbered: DataFrame, key: str = "id") -> DataFrame:
-    """(key, indices): sparse indicator vectors, as the ascending indices that are 1. A frequent level
-    is one row of the dictionary, whose join can be split."""
-    at = sets.select(key, F.explode("levels").alias("level")).join(numbered, "level")
-    some = at.groupBy(key).agg(F.array_sort(F.collect_list("index")).alias("indices"))
+    """(key, indices): sparse indicator vectors, as the ascending indices that are 1. Levels are looked
+    up once for every distinct set, and rows meet their set whole, so that a row stays one row in what
+    is shuffled. Rows of one key share what they have; a frequent set is one row of a look-up, whose
+    join can be split."""
+    kinds = stored(sets.select("levels").distinct()
+                   .withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    found = kinds.select("kind", F.explode("levels").alias("level")).join(numbered, "level") \
+        .groupBy("kind").agg(F.collect_list("index").alias("some"))
+    known = kinds.join(found, "kind").select("levels", "some")
+    some = lookup_join(sets.select(key, "levels"), known, ["levels"], "inner") \
+        .groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("some"))).alias("indices"))
     return sets.select(key).join(some, key, "left") \
         .withColumn("indices", F.coalesce("indices", F.array().cast("array<long>")))
 

@@ -15,6 +15,7 @@ from ..operators import (clustering, communities, components, exhibitions, featu
                          journeys, linkage, locations, metadata, ranking, selection, similarity,
                          statistics, summaries, times)
 from ..scale.durable import scratch_path, stored
+from ..scale.skew import lookup_join
 from ..sources import dumps, files, store
 from .model_views import Views
 from .oracle import pagerank_views, propagation_views, with_views
@@ -1399,8 +1400,12 @@ def feature_codes(v: Views) -> DataFrame:
     sets = stored(features.level_sets(v.modelled), "level-sets")
     numbered = stored(features.dictionary(sets), "dictionary")
     codes = stored(features.coded(sets, numbered), "codes")
-    names = features.decoded(codes, numbered).groupBy("id") \
-        .agg(F.array_join(F.array_sort(F.collect_list("level")), ",").alias("levels"))
+    # Each distinct vector is unpacked once; rows then meet what theirs says.
+    vectors = codes.select("indices").distinct()
+    words = stored(features.decoded(vectors, numbered, "indices").groupBy("indices")
+                   .agg(F.collect_list("level").alias("words")), "words")
+    names = lookup_join(codes, words, ["indices"], "inner").groupBy("id") \
+        .agg(F.array_join(F.array_sort(F.flatten(F.collect_list("words"))), ",").alias("levels"))
     return codes.join(names, "id").select("id", F.array_join("indices", ",").alias("indices"), "levels")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagtrail.functions import frames
+from tagtrail.scale import durable
 from tagtrail.operators import features, locations, statistics, summaries
 
 DAY = 86400
@@ -208,3 +209,23 @@ def test_many_thousand_levels_are_no_columns(spark):
     assert numbered.count() == 60_003
     assert numbered.agg({"index": "max"}).first()[0] == 60_002
     assert statistics.level_correlation(sets, "m_1").count() == 60_003
+
+
+def test_levels_are_looked_up_once_for_each_distinct_set(spark, monkeypatch):
+    rows = [(i, ["a", "b"] if i % 2 else ["b", "c", "d"]) for i in range(200)]
+    rows += [(1, ["d"]), (1000, []), (None, ["a"])]
+    sets = spark.createDataFrame(rows, "id long, levels array<string>").repartition(4)
+    numbered = features.dictionary(sets)
+    made = {}
+
+    def kept(df, name="table"):
+        out = durable.stored(df, name)
+        made[name] = out.count()
+        return out
+    monkeypatch.setattr(features, "stored", kept)
+    got = sorted((str(r["id"]), r["indices"]) for r in features.coded(sets, numbered).collect())
+    assert made["kinds"] == 5
+    # Rows of a key share what they have; a null key meets none.
+    want = [(i, [0, 1] if i % 2 else [1, 2, 3]) for i in range(200) if i != 1]
+    want += [(1, [0, 1, 3])] * 2 + [(1000, []), (None, [])]
+    assert got == sorted((str(i), x) for i, x in want)
