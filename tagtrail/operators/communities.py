@@ -16,7 +16,7 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, max_iter: int = 50)
     labels of a round are those of the round before or of the one before that, as it is then known
     what later rounds give."""
     ids = stored(vertices.select("id"), "ids")
-    along = Adjacency(both_ways(edges))
+    along = Adjacency(both_ways(stored(edges.select("src", "dst"), "edges")), written=True)
     state = ids.selectExpr("id", "id AS label", "CAST(NULL AS BIGINT) AS before")
     for i in range(1, max_iter + 1):
         votes = along.send(state, "label", "label").groupBy("dst", "label") \

@@ -90,10 +90,11 @@ class Adjacency:
 
     BUSY, SMALL = 10_000, 1 << 20
 
-    def __init__(self, edges: DataFrame):
+    def __init__(self, edges: DataFrame, written: bool = False):
+        """``written`` edges are cheap to read, so they are only written into their buckets."""
         spark = edges.sparkSession
         n = buckets(spark)
-        edges = stored(edges.select("src", "dst"), "edges")
+        edges = edges.select("src", "dst") if written else stored(edges.select("src", "dst"), "edges")
         total = edges.count()
         self._busy = self._spread = None
         self._dealt = total >= self.SMALL

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tagtrail.scale import durable
 from tagtrail.operators import communities, components, graph, ranking
 from tagtrail.schemas import EDGES
 
@@ -340,3 +341,23 @@ def test_profiles_count_each_tag_once(spark, rows):
     assert rows(got["exhibitions"]) == [(0, 1, 1), (1, 0, 1), (1, 1, 2)]
     assert rows(got["departments"]) == [(0, "dept0", 1), (1, "dept1", 3)]
     assert rows(got["rooms"]) == [(1, "201", 2), (1, "202", 1)]
+
+
+def test_label_propagation_writes_each_edge_once_before_it_is_dealt(spark, monkeypatch):
+    pairs = [(i, (i * 7 + 3) % 40) for i in range(40)] + [(i, (i + 1) % 40) for i in range(40)]
+    pairs = sorted({p for p in pairs if p[0] != p[1]})
+    vertices = spark.range(40)
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    plain = {tuple(r) for r in communities.label_propagation(vertices, edges, 7).collect()}
+    rows = []
+
+    def kept(df, name="table"):
+        out = durable.stored(df, name)
+        if name == "edges":
+            rows.append(out.count())
+        return out
+    monkeypatch.setattr(graph.Adjacency, "SMALL", 0)
+    for module in (graph, communities):
+        monkeypatch.setattr(module, "stored", kept)
+    dealt = {tuple(r) for r in communities.label_propagation(vertices, edges, 7).collect()}
+    assert rows == [len(pairs)] and dealt == plain
