@@ -10,30 +10,73 @@ from ..scale.skew import lookup_join
 from .graph import Adjacency, both_ways
 from .summaries import top_per_group
 
+PACKED = (1 << 31) - 1  # the largest label, and number of edges, that fit into one long together
+
+def _votes(along: Adjacency, state: DataFrame, proper: bool) -> DataFrame:
+    """(dst, label, n): how many neighbours of a vertex have a label."""
+    sent = along.send(state, "label", "label")
+    return (along.by_target(sent) if proper else sent).groupBy("dst", "label").agg(F.expr("count(1) AS n"))
+
+
+def _changed_votes(counts: DataFrame, along: Adjacency, state: DataFrame) -> DataFrame:
+    """The votes ``counts`` of the last round after the labels that it changed: neighbours lose a vote for
+    the label before and gain one for the new label."""
+    moves = along.send(state.where("label <> before"), "array(struct(label, 1L AS n), "
+                       "struct(before AS label, -1L AS n))", "moves").selectExpr("dst", "inline(moves)")
+    return counts.union(moves).groupBy("dst", "label").agg(F.expr("sum(n) AS n")).where("n > 0")
+
+
+def _elected(state: DataFrame, votes: DataFrame, packs: bool) -> DataFrame:
+    """(id, label, before, earlier, held): the label with the most votes, then the smallest. The last two
+    labels ride along with no votes. Where votes and label fit into one long (``packs``), the largest is
+    the one wanted, and nothing is sorted for it."""
+    best, label = ("max(struct(n, -label AS low))", "-best.low") if not packs else (
+        f"max(CASE WHEN label BETWEEN 0 AND {PACKED} THEN shiftleft(n, 31) + ({PACKED} - label) END)",
+        f"{PACKED} - (best & {PACKED})")
+    nothing = "CAST(NULL AS BIGINT)"
+    held = state.selectExpr("id AS dst", "id AS label", "0L AS n", "label AS before", "before AS earlier",
+                            "1L AS held")
+    return stored(held.union(votes.selectExpr("dst", "label", "n", nothing, nothing, "0L"))
+                  .groupBy("dst")
+                  .agg(F.expr(f"{best} AS best"), F.expr("max(before) AS before"),
+                       F.expr("max(earlier) AS earlier"), F.expr("sum(held) AS held"))
+                  .selectExpr("dst AS id", f"{label} AS label", "before", "earlier", "held"), "labels")
+
+
 def label_propagation(vertices: DataFrame, edges: DataFrame, max_iter: int = 50) -> DataFrame:
     """Vertices with a community ``label``: each round every vertex takes the most frequent
     label of its neighbours (edges count both ways), ties to the smallest. Ends early once the
     labels of a round are those of the round before or of the one before that, as it is then known
-    what later rounds give."""
+    what later rounds give.
+
+    The labels of the first round are the ids, so that it counts edges where they lie. Once fewer than
+    half of the vertices change, the votes are kept, and while fewer than a quarter do, only changes are
+    sent. Both need every end of an edge to be a vertex, once; with others a round sends all labels."""
     ids = stored(vertices.select("id"), "ids")
     along = Adjacency(both_ways(stored(edges.select("src", "dst"), "edges")), written=True)
     state = ids.selectExpr("id", "id AS label", "CAST(NULL AS BIGINT) AS before")
+    low, high, size = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
+    packs = size > 0 and 0 <= low and high <= PACKED and along.total <= PACKED
+    proper, counts, moved = True, None, size
     for i in range(1, max_iter + 1):
-        votes = along.send(state, "label", "label").groupBy("dst", "label") \
-            .agg(F.expr("count(1) AS n"))
-        # The most votes, then the smallest label.
-        # The last two labels ride along with no votes.
-        held = state.selectExpr("id AS dst", "id AS label", "0L AS n", "label AS before",
-                                "before AS earlier")
-        nothing = "CAST(NULL AS BIGINT)"
-        last_state, state = state, stored(held.union(votes.selectExpr("dst", "label", "n", nothing, nothing))
-                       .groupBy("dst")
-                       .agg(F.expr("max(struct(n, -label AS low)) AS best"),
-                            F.expr("max(before) AS before"), F.expr("max(earlier) AS earlier"))
-                       .selectExpr("dst AS id", "-best.low AS label", "before", "earlier"),
-                       "labels")
+        last_state, last_counts, counts = state, counts, None
+        if i == 1:
+            votes = along.counted().selectExpr("src AS dst", "dst AS label", "n")
+        elif last_counts is not None and moved * 4 < size:
+            votes = _changed_votes(last_counts, along, state)
+        else:
+            votes = _votes(along, state, proper)
+        if i > 1 and proper and moved * 2 < size:
+            votes = counts = stored(votes, "votes")
+        state = _elected(last_state, votes, packs)
+        if i == 1 and not state.agg(F.expr("bool_and(held = 1 AND id IS NOT NULL)")).first()[0]:
+            release(state)
+            proper = packs = False
+            state = _elected(last_state, _votes(along, last_state, proper), packs)
         release(last_state)
-        moved, new = state.agg(F.expr("bool_or(label <> before)"),
+        if last_counts is not None:
+            release(last_counts)
+        moved, new = state.agg(F.expr("count_if(label <> before)"),
                                F.expr("bool_or(earlier IS NULL OR label <> earlier)")).first()
         if not moved:
             break

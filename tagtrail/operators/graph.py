@@ -86,16 +86,16 @@ class Adjacency:
     of the vertices to them, and edges are never shuffled. A source with more edges than a bucket holds
     on average, or than ``BUSY``, would fill a bucket by itself: there are no more such sources than
     buckets, so their edges are dealt evenly and their values sent to all tasks. Fewer edges than ``SMALL`` stay as they are: one task reads them faster than many open
-    their buckets."""
+    their buckets. There are enough buckets that one holds about ``BUCKET`` edges at most."""
 
-    BUSY, SMALL = 10_000, 1 << 20
+    BUSY, SMALL, BUCKET = 10_000, 1 << 20, 1 << 21
 
     def __init__(self, edges: DataFrame, written: bool = False):
         """``written`` edges are cheap to read, so they are only written into their buckets."""
         spark = edges.sparkSession
-        n = buckets(spark)
         edges = edges.select("src", "dst") if written else stored(edges.select("src", "dst"), "edges")
-        total = edges.count()
+        self.total = total = edges.count()
+        self._n = n = max(buckets(spark), total // self.BUCKET)
         self._busy = self._spread = None
         self._dealt = total >= self.SMALL
         if not self._dealt:
@@ -109,7 +109,21 @@ class Adjacency:
             self._spread = stored(edges.join(F.broadcast(busy), "src", "left_semi").repartition(n),
                                   "edges")
             edges = edges.join(F.broadcast(busy), "src", "left_anti")
-        self._edges = bucketed(edges.repartition(n, "src"), "src", "edges")
+        self._edges = bucketed(edges.repartition(n, "src"), "src", "edges", n)
+
+    def counted(self) -> DataFrame:
+        """(src, dst, n): how often each edge is there. Sources that aren't busy are counted where they lie."""
+        def times(edges: DataFrame) -> DataFrame:
+            return edges.groupBy("src", "dst").agg(F.expr("count(1) AS n"))
+        own = times(self._edges)
+        return own if self._busy is None else own.union(times(self._spread))
+
+    def by_target(self, sent: DataFrame) -> DataFrame:
+        """``sent`` with the rows of a target in one task, if no source is busy. That is for edges that go
+        both ways, where a target has as many edges as it has as a source."""
+        if self._busy is not None:
+            return sent
+        return sent.repartition(self._n, "dst") if self._dealt else sent.repartition("dst")
 
     def send(self, state: DataFrame, value: str, name: str = "value") -> DataFrame:
         """(dst, value) for each edge; ``value`` is an SQL expression over the source's row."""

@@ -54,13 +54,13 @@ def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucketed(df: DataFrame, key: str, name: str = "table") -> DataFrame:
-    """``df`` as ``stored`` gives it, dealt into buckets by ``key``: tables with the same key join, and
-    group by it, where they lie. Rows that aren't dealt by the key yet should be repartitioned by it
-    into ``buckets`` first, or each task writes a file to every bucket."""
+def bucketed(df: DataFrame, key: str, name: str = "table", n: int | None = None) -> DataFrame:
+    """``df`` as ``stored`` gives it, dealt into ``n`` buckets (``buckets``, if not given) by ``key``: tables
+    with the same key join, and group by it, where they lie. Rows that aren't dealt by the key yet should
+    be repartitioned by it into as many first, or each task writes a file to every bucket."""
     spark = df.sparkSession
     path, table = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets(spark), key).option("path", path).saveAsTable(table)
+    df.write.format("parquet").bucketBy(n or buckets(spark), key).option("path", path).saveAsTable(table)
     out = spark.table(table)
     out._scratch, out._named = path, table
     return out

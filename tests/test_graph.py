@@ -361,3 +361,55 @@ def test_label_propagation_writes_each_edge_once_before_it_is_dealt(spark, monke
         monkeypatch.setattr(module, "stored", kept)
     dealt = {tuple(r) for r in communities.label_propagation(vertices, edges, 7).collect()}
     assert rows == [len(pairs)] and dealt == plain
+
+
+@pytest.mark.parametrize("least, hub", [(0, None), (-7, None), (1 << 40, None), (0, 5)])
+def test_label_propagation_sends_all_labels_in_few_rounds(spark, monkeypatch, least, hub):
+    pairs = [(a + 10 * k, b + 10 * k) for k in range(4) for a in range(10) for b in range(a)]
+    pairs += [(9, 10), (19, 20), (29, 30)] + [(40 + i, 41 + i) for i in range(12)]
+    pairs += [(hub, i) for i in range(20, 40)] if hub is not None else []
+    pairs = sorted({(a + least, b + least) for a, b in pairs})
+    vertices, edges = make(spark, pairs, ids=[least + 99])
+    ids = [r["id"] for r in vertices.collect()]
+    monkeypatch.setattr(graph.Adjacency, "SMALL", 0)
+    if hub is not None:
+        monkeypatch.setattr(graph.Adjacency, "BUSY", 25)
+    sent, rounds = [], []
+    send, elected = graph.Adjacency.send, communities._elected
+    monkeypatch.setattr(graph.Adjacency, "send", lambda self, state, value, name="value":
+                        sent.append(value) or send(self, state, value, name))
+    monkeypatch.setattr(communities, "_elected", lambda state, votes, packs:
+                        rounds.append(packs) or elected(state, votes, packs))
+    got = {r["id"]: r["label"] for r in communities.label_propagation(vertices, edges, 30).collect()}
+    assert got == plain_labels(ids, pairs, 30)
+    assert len(sent) == len(rounds) - 1 and sent.count("label") < len(rounds) / 2
+    assert set(rounds) == {least == 0}
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_label_propagation_with_repeated_and_unknown_vertices(spark, monkeypatch, small):
+    monkeypatch.setattr(graph.Adjacency, "SMALL", small)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (5, 6), (None, 6)], EDGES)
+
+    def labels(ids, rounds):
+        vertices = spark.createDataFrame([(i,) for i in ids], "id long")
+        return sorted(tuple(r) for r in communities.label_propagation(vertices, edges, rounds).collect())
+    # The vertex listed twice has two votes in the first round; 4 is no vertex and has none.
+    assert labels([1, 2, 3, 3, 5, 6], 1) == [(1, 2), (2, 3), (3, 2), (3, 2), (5, 6), (6, 5)]
+
+
+def test_votes_are_counted_without_sorting(spark, monkeypatch):
+    monkeypatch.setattr(graph.Adjacency, "SMALL", 0)
+    vertices, edges = make(spark, random_pairs(300, 900, 3))
+    along = graph.Adjacency(graph.both_ways(edges))
+    state = communities.stored(vertices.selectExpr("id", "id AS label", "CAST(NULL AS BIGINT) AS before"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(along.counted()) == (0, 0)  # edges are counted where they lie
+        votes = communities._votes(along, state, True)
+        assert exchanges(votes)[1] == 2  # the state, the messages
+        monkeypatch.setattr(communities, "stored", lambda df, name: df)
+        plan = communities._elected(state, votes, True)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "Sort [" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
