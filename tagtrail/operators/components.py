@@ -10,19 +10,23 @@ from ..scale.skew import lookup_join
 from .graph import Adjacency, both_ways, reversed_edges
 
 
-def _spread_min(state: DataFrame, along: Adjacency) -> DataFrame:
-    """Repeat ``value = min(own, values of in-neighbours)`` until nothing changes."""
+def _spread_min(state: DataFrame, along: Adjacency, first: str = "true") -> DataFrame:
+    """Repeat ``value = min(own, values of in-neighbours)`` until nothing changes. Only vertices whose
+    value fell in the round before send it, as the others' neighbours have it; at first those where
+    ``first`` holds, which has to be all that can lower another's."""
     state = held = stored(state.select("id", "value"), "state")
+    news = state.where(first)
     while True:
-        got = along.send(state, "value").selectExpr("dst AS id", "value",
-                                                    "CAST(NULL AS BIGINT) AS before")
+        got = along.send(news, "value").selectExpr("dst AS id", "value",
+                                                   "CAST(NULL AS BIGINT) AS before")
         best = state.selectExpr("id", "value", "value AS before").union(got).groupBy("id") \
             .agg(F.expr("min(value) AS value"), F.expr("max(before) AS before")) \
             .filter("before IS NOT NULL")
         both = stored(best, "state")
-        changed = not both.filter("value <> before").isEmpty()
+        fell = both.filter("value < before")
+        changed = not fell.isEmpty()
         release(held)
-        held, state = both, both.select("id", "value")
+        held, state, news = both, both.select("id", "value"), fell.select("id", "value")
         if not changed:
             return state
 
@@ -86,16 +90,24 @@ def _ends(chain: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return state
 
 
+def _degrees(open_: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, ins, outs): edges in and out of each vertex and each end of an edge."""
+    return stored(open_.selectExpr("id", "0 AS ins", "0 AS outs").unionByName(
+        edges.selectExpr("src AS id", "0 AS ins", "1 AS outs")).unionByName(
+        edges.selectExpr("dst AS id", "1 AS ins", "0 AS outs")).groupBy("id").agg(
+        F.sum("ins").alias("ins"), F.sum("outs").alias("outs")), "degrees")
+
+
 def _coloured(open_: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, colour, value): every vertex with the smallest id that reaches it, and value 0 where it
     reaches that vertex in turn; and the edges within a colour."""
-    colour = _spread_min(open_.select("id", F.col("id").alias("value")), Adjacency(edges)) \
+    colour = _spread_min(open_.select("id", F.col("id").alias("value")), Adjacency(edges, written=True)) \
         .select("id", F.col("value").alias("colour"))
     inner = stored(_within(edges, colour), "graph")
     # 0 marks "reaches the vertex the colour is named after".
     start = colour.select("id", F.when(F.col("id") == F.col("colour"), F.lit(0))
                           .otherwise(F.lit(1)).cast("long").alias("value"))
-    reach = _spread_min(start, Adjacency(reversed_edges(inner)))
+    reach = _spread_min(start, Adjacency(reversed_edges(inner), written=True), "value = 0")
     return stored(colour.join(reach, "id"), "graph"), inner
 
 
@@ -118,10 +130,7 @@ def strongly_connected_components(vertices: DataFrame, edges: DataFrame,
     left, colourings = open_.count(), 0
     while left:
         before = left
-        degree = stored(open_.selectExpr("id", "0 AS ins", "0 AS outs").unionByName(
-            edges.selectExpr("src AS id", "0 AS ins", "1 AS outs")).unionByName(
-            edges.selectExpr("dst AS id", "1 AS ins", "0 AS outs")).groupBy("id").agg(
-            F.sum("ins").alias("ins"), F.sum("outs").alias("outs")), "degrees")
+        degree = _degrees(open_, edges)
         chain = degree.where("ins = 1 AND outs = 1").select("id")
         if not chain.isEmpty():
             ends = _ends(chain, edges, left)
@@ -134,13 +143,14 @@ def strongly_connected_components(vertices: DataFrame, edges: DataFrame,
             edges = stored(kept.select("src", "dst").union(led.select("up", "down"))
                            .where("src <> dst").distinct(), "graph")
             open_ = stored(open_.join(ends.select("id"), "id", "left_anti"), "graph")
-        alone = open_.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_semi") \
-            .join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-        core = stored(alone, "core")
-        parts.append(open_.join(core, "id", "left_anti").select("id", F.col("id").alias("component")))
-        for end in ("src", "dst"):
-            edges = edges.join(core.select(F.col("id").alias(end)), end, "left_semi")
-        open_, edges = core, stored(edges.select("src", "dst"), "graph")
+            degree = _degrees(open_, edges)
+        core = stored(open_.join(degree.where("ins > 0 AND outs > 0"), "id", "left_semi"), "core")
+        if not degree.join(core, "id", "left_anti").isEmpty():
+            parts.append(open_.join(core, "id", "left_anti").select("id", F.col("id").alias("component")))
+            for end in ("src", "dst"):
+                edges = edges.join(core.select(F.col("id").alias(end)), end, "left_semi")
+            edges = stored(edges.select("src", "dst"), "graph")
+        open_ = core
         left = open_.count()
         if before - left >= before / 10 or not left:
             continue

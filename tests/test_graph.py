@@ -413,3 +413,35 @@ def test_votes_are_counted_without_sorting(spark, monkeypatch):
         assert "SortAggregate" not in plan and "Sort [" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_values_are_sent_once_after_they_fell(spark, monkeypatch, small):
+    monkeypatch.setattr(graph.Adjacency, "SMALL", small)
+    n = 40
+    pairs = sorted({(i, (i * k + 1) % n) for i in range(n) for k in (1, 7, 11)} - {(i, i) for i in range(n)})
+    vertices, edges = make(spark, pairs, ids=[99])
+    sent, passes, made = [], [], []
+    send, spread, adjacency = graph.Adjacency.send, components._spread_min, graph.Adjacency.__init__
+
+    def counted(self, state, value, name="value"):
+        sent[-1].append(state.count())
+        return send(self, state, value, name)
+    monkeypatch.setattr(graph.Adjacency, "send", counted)
+    monkeypatch.setattr(graph.Adjacency, "__init__", lambda self, edges, written=False:
+                        made.append(written) or adjacency(self, edges, written))
+    monkeypatch.setattr(components, "_spread_min", lambda *args: sent.append([]) or spread(*args))
+    got = {r["id"]: r["component"] for r in components.strongly_connected_components(
+        vertices, edges).collect()}
+    assert got == slow_components(pairs, sorted(got))
+    down, back = sent[:2]
+    assert down[0] == n and sum(down[1:]) < n * (len(down) - 1)
+    assert back[0] == 1 and sum(back) == n  # each vertex is reached once
+    assert all(made)  # edges that are written already are not written again before they are dealt
+
+
+def test_strong_components_with_unknown_ends(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 9), (9, 4), (4, 5), (5, 4), (4, 9)], EDGES)
+    vertices = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6)], "id long")
+    got = sorted(tuple(r) for r in components.strongly_connected_components(vertices, edges).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)]
