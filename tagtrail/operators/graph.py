@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..scale.durable import bucketed, buckets, stored
 from ..scale.skew import lookup_join
-from .journeys import transitions
+from .journeys import packing, transitions
+
+SLOTS = 1 << 16
 
 
 def graph_vertices(tags: DataFrame, objects: DataFrame, departments: DataFrame) -> DataFrame:
@@ -30,16 +32,19 @@ def graph_vertices(tags: DataFrame, objects: DataFrame, departments: DataFrame)
         .withColumn("meta_store", F.coalesce("meta_store", F.lit(0)))
 
 
-def all_edges(tags: DataFrame) -> DataFrame:
-    """Distinct consecutive pairs of journeys, self-loops included."""
-    return transitions(tags).dropDuplicates()
+def all_edges(tags: DataFrame, written: bool = False) -> DataFrame:
+    """Distinct consecutive pairs of journeys, self-loops included. ``written`` tags are cheap to read,
+    so they are looked over first for whether their ids can be packed (``journeys.packing``)."""
+    return transitions(tags, packing(tags) if written else None).dropDuplicates()
 
 
-def graph_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """The edges whose two ends have metadata."""
-    valid = stored(vertices.filter("meta_store = 1").select("id"), "valid")
+def graph_edges(edges: DataFrame, vertices: DataFrame, known: bool = False) -> DataFrame:
+    """The edges whose two ends have metadata. If every end is ``known`` to be one of the vertices, edges
+    are compared with the vertices without metadata only, mostly few, which need no shuffle of edges."""
+    some, how = ("meta_store = 0", "left_anti") if known else ("meta_store = 1", "left_semi")
+    listed = stored(vertices.filter(some).select("id"), "listed")
     for end in ("src", "dst"):
-        edges = lookup_join(edges, valid.withColumnRenamed("id", end), [end], "left_semi")
+        edges = lookup_join(edges, listed.withColumnRenamed("id", end), [end], how)
     return edges.select("src", "dst")
 
 
@@ -79,6 +84,16 @@ def endpoints(edges: DataFrame) -> DataFrame:
     return both_ways(edges).select(F.col("src").alias("id")).distinct()
 
 
+def _frequent(edges: DataFrame, most: int) -> DataFrame:
+    """(src) of the sources with more than ``most`` edges. Edges are first counted in a few slots by the
+    hash of their source, as a source cannot have more than its slot; only full slots are counted by source."""
+    slot = F.pmod(F.hash("src"), F.lit(SLOTS))
+    full = stored(edges.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+                  .where(F.col("n") > most).select("slot"), "full")  # total / most slots at most
+    return edges.withColumn("slot", slot).join(F.broadcast(full), "slot", "left_semi") \
+        .groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("src")
+
+
 class Adjacency:
     """Edges kept for repeated passes that send a value along each edge.
 
@@ -102,8 +117,7 @@ class Adjacency:
             self._edges = edges
             return
         most = max(total // n, self.BUSY)
-        busy = stored(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-                      .select("src"), "busy")
+        busy = stored(_frequent(edges, most), "busy")
         if not busy.isEmpty():  # n sources at most
             self._busy = busy
             self._spread = stored(edges.join(F.broadcast(busy), "src", "left_semi").repartition(n),
@@ -118,6 +132,11 @@ class Adjacency:
         own = times(self._edges)
         return own if self._busy is None else own.union(times(self._spread))
 
+    @property
+    def gathers(self) -> bool:
+        """Whether ``by_target`` brings the rows of a target together."""
+        return self._busy is None
+
     def by_target(self, sent: DataFrame) -> DataFrame:
         """``sent`` with the rows of a target in one task, if no source is busy. That is for edges that go
         both ways, where a target has as many edges as it has as a source."""

@@ -19,9 +19,32 @@ JOURNEY = ["bundle_id", "created_date_est"]
 BUCKET_SECONDS = 600
 
 
-def journey_steps(tags: DataFrame) -> DataFrame:
+def packing(tags: DataFrame) -> int | None:
+    """How many bits an object needs where the id of a tag and its object fit into one long together,
+    neither of them negative and no id null; else None."""
+    types = dict(tags.dtypes)
+    if any(types[c] not in ("int", "bigint") for c in ("id", "refers_to_object_id")):
+        return None
+    low, high, least, most, missing = tags.agg(
+        F.min("id"), F.max("id"), F.min("refers_to_object_id"), F.max("refers_to_object_id"),
+        F.count_if(F.col("id").isNull())).first()
+    if missing or low is None or least is None or low < 0 or least < 0:
+        return None
+    return most.bit_length() if high.bit_length() + most.bit_length() <= 63 else None
+
+
+def journey_steps(tags: DataFrame, bits: int | None = None) -> DataFrame:
     """(bundle, local date, second, object) of wall tags; of several tags in one second the
-    last by id (then by object) stays."""
+    last by id (then by object) stays. With ``bits`` of ``packing`` that is the largest of one number, so
+    that rows are hashed and not sorted."""
+    if bits is not None:
+        wall = wall_tags(tags).filter(F.col("bundle_id").isNotNull())
+        kind = tags.schema["refers_to_object_id"].dataType
+        last = wall.groupBy("bundle_id", "created").agg(F.max(
+            F.shiftleft(F.col("id").cast("long"), bits).bitwiseOR(F.col("refers_to_object_id").cast("long")))
+            .alias("last"))
+        return last.select("bundle_id", cal.local_date(F.col("created")).alias("created_date_est"), "created",
+                           F.col("last").bitwiseAND((1 << bits) - 1).cast(kind).alias("refers_to_object_id"))
     return (wall_tags(tags).filter(F.col("bundle_id").isNotNull())
             .groupBy("bundle_id", cal.local_date(F.col("created")).alias("created_date_est"),
                      "created")
@@ -43,10 +66,10 @@ def journey_starts(tags: DataFrame) -> DataFrame:
         .agg(F.min_by("refers_to_object_id", "created").alias("object_id"))
 
 
-def transitions(tags: DataFrame) -> DataFrame:
-    """(src, dst) of consecutive steps of a journey, with repeats."""
+def transitions(tags: DataFrame, bits: int | None = None) -> DataFrame:
+    """(src, dst) of consecutive steps of a journey, with repeats; ``bits`` as in ``journey_steps``."""
     along = Window.partitionBy(*JOURNEY).orderBy("created")
-    return (journey_steps(tags)
+    return (journey_steps(tags, bits)
             .select(F.col("refers_to_object_id").alias("src"),
                     F.lead("refers_to_object_id").over(along).alias("dst"))
             .filter(F.col("dst").isNotNull()))

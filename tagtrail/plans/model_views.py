@@ -222,13 +222,13 @@ class Views:
     @cached_property
     def baskets(self) -> DataFrame:
         """A larger tag log: order lines as tags of parts by customers, a minute apart. Vertices and
-        edges both read it, so it is written."""
+        edges both read it, so it is written. Bundles stay numbers, which only group the tags."""
         lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
         return stored(lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-            F.lit(0).alias("tool_id"), F.col("o_custkey").cast("string").alias("bundle_id"),
+            F.lit(0).alias("tool_id"), F.col("o_custkey").alias("bundle_id"),
             F.col("l_partkey").alias("refers_to_object_id"),
             (day.cast("long") * 86400 + F.col("l_linenumber") * 60).alias("created")), "baskets")
 
@@ -239,4 +239,4 @@ class Views:
 
     @cached_property
     def basket_edges(self) -> DataFrame:
-        return graph.graph_edges(graph.all_edges(self.baskets), self.basket_vertices)
+        return graph.graph_edges(graph.all_edges(self.baskets, written=True), self.basket_vertices, known=True)
